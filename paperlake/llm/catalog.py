@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .compression import op6_quality_classifier, op9_language_id
+from .license_scan import op7_license_scan
 from .quality_rules import op5_quality_rules
 
+QUERIES = (op5_quality_rules, op6_quality_classifier, op7_license_scan, op9_language_id)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
