@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .compression import op6_quality_classifier, op9_language_id
+from .decontamination import OP3_SQL, op3_benchmark_decontamination
 from .license_scan import op7_license_scan
 from .quality_rules import op5_quality_rules
 
-QUERIES = (op5_quality_rules, op6_quality_classifier, op7_license_scan, op9_language_id)
+QUERIES = (op3_benchmark_decontamination, op5_quality_rules, op6_quality_classifier, op7_license_scan, op9_language_id)
 
 
 def queries() -> dict:
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": OP3_SQL}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import table
 
 #: Labelled texts that reach the driver for each class, and bytes of a dictionary, at most: the bounds of the fitted sample.
-MAX_TEXTS, MAX_TEXT_BYTES, DICTIONARY_BYTES = 600, 20_000, 112 * 1024
+MAX_TEXTS, MAX_TEXT_BYTES, DICTIONARY_BYTES, LANGUAGE_DICTIONARY_BYTES = 600, 20_000, 112 * 1024, 400 * 1024
 LEVEL = 3
 
 
@@ -36,17 +37,26 @@ def sample_of(docs: DataFrame, keys: DataFrame, label: str, limit: int) -> list[
     return [(r[label], r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """Raw content: equal shares of the texts, whole texts while they fit."""
+def dictionary(texts: list[bytes], most: int = DICTIONARY_BYTES) -> bytes:
+    """Raw content: whole texts while they fit."""
     out, size = [], 0
-    for t in texts:
-        b = t.encode()
-        if size + len(b) <= DICTIONARY_BYTES:
+    for b in texts:
+        if size + len(b) <= most:
             out.append(b)
             size += len(b)
     return b"\n".join(out) or b"\n" * 8
 
 
+def unshared(documents: dict) -> dict:
+    """Documents as lists of lines, by class, without the lines that more than one class has."""
+    seen: dict[bytes, set] = {}
+    for label, own in documents.items():
+        for lines in own:
+            for line in lines:
+                seen.setdefault(line, set()).add(label)
+    return {label: [kept for lines in own if (kept := [x for x in lines if len(seen[x]) == 1])] for label, own in documents.items()}
+
+
 class Sizer:
     """Compressed sizes of a text behind each dictionary."""
 
@@ -74,7 +84,8 @@ def quality_features(sizer: Sizer, text: str) -> list[float]:
     n = len(data) + 16
     difference, rate = (bad - good) / n, (good + 8) / n
     alone = (len(sizer.plain.compress(data)) + 8) / n
-    return [1.0, 10 * difference, 4 * rate, 4 * alone, 10 * difference * rate, 4 * math.log1p(1 / (alone + 0.02)) - 4]
+    length = math.log(n) - 7
+    return [1.0, 10 * difference, 4 * rate, 4 * alone, 10 * difference * rate, 4 * math.log1p(1 / (alone + 0.02)) - 4, length, length * alone, 10 * length * difference, length * length / 4]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
@@ -97,7 +108,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> dict:
     texts = {q: [t for label, t in rows if (label > 0) == q] for q in (True, False)}
     if not texts[True] or not texts[False]:
         return {"dictionaries": None, "prior": (len(texts[True]) + 1) / (len(rows) + 2)}
-    dictionaries = [dictionary(texts[q][::2]) for q in (True, False)]
+    dictionaries = [dictionary([b"\n".join(d) for d in own]) for own in unshared({q: [t.encode().split(b"\n") for t in texts[q][::2]] for q in (True, False)}).values()]
     sizer = Sizer(dictionaries)
     held = [(q, t) for q in (True, False) for t in texts[q][1::2] or texts[q]]
     x = np.array([quality_features(sizer, t) for _, t in held])
@@ -129,12 +140,35 @@ def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+#: ASCII other than letters becomes a space before languages are told apart.
+NOT_LETTER = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalpha()), b" " * sum(not chr(i).isalpha() for i in range(128)))
+
+
+def letters_of(text: str) -> bytes:
+    """The whole text as lower-case words with single spaces; ASCII marks and digits, and a word's immediate repeats, left out."""
+    return b" ".join(w for w, _ in groupby(text.lower().encode().translate(NOT_LETTER).split()))
+
+
+def language_dictionaries(rows: list[tuple], langs: list[str]) -> list[bytes]:
+    """A dictionary for each language, without lines that languages share or that the other half gives to another one.
+
+    Documents quote passages of other languages; such a line would claim every text that quotes it too.
+    """
+    own = unshared({g: [[letters_of(x) for x in t.split("\n")] for label, t in rows if label == g] for g in langs})
+    first = [Sizer([dictionary([b"\n".join(d) for d in own[g][half::2]], LANGUAGE_DICTIONARY_BYTES) for g in langs]) for half in (0, 1)]
+    lines: dict[str, list[bytes]] = {g: [] for g in langs}
+    for k, g in enumerate(langs):
+        for i, document in enumerate(own[g]):
+            lines[g] += [x for x in document if x and (len(x) < 20 or int(np.argmin(first[1 - i % 2].sizes(x))) == k)]
+    return [dictionary(list(dict.fromkeys(lines[g])), LANGUAGE_DICTIONARY_BYTES) for g in langs]
+
+
 def learn_languages(docs: DataFrame, *, limit: int = MAX_TEXTS) -> dict:
     """One raw-content dictionary for each learned language."""
     known = docs.where(F.col("lang").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1))
     rows = sample_of(docs, known.select("doc_id", "lang"), "lang", limit)
     langs = sorted({label for label, _ in rows})
-    return {"langs": langs, "dictionaries": [dictionary([t for label, t in rows if label == g]) for g in langs]}
+    return {"langs": langs, "dictionaries": language_dictionaries(rows, langs)}
 
 
 def identify(docs: DataFrame, model: dict, *, margin: float = 0.01) -> DataFrame:
@@ -153,10 +187,7 @@ def identify(docs: DataFrame, model: dict, *, margin: float = 0.01) -> DataFrame
                 if not t or not langs or not any(map(str.isalpha, t)):
                     pred.append("und"), score.append(0.0), reject.append(True)
                     continue
-                data = t.encode()
-                sizes = np.array(sizer.sizes(data), dtype=float)
-                if np.count_nonzero(sizes == sizes.min()) > 1:  # a very short text: its copies in a row tell languages apart
-                    sizes = sizes + np.array(sizer.sizes(t.lower().encode())) / 4
+                sizes = np.array(sizer.sizes(letters_of(t)), dtype=float)
                 order = np.argsort(sizes, kind="stable")
                 p = np.exp(-(sizes - sizes[order[0]]) / (2 + 0.02 * sizes[order[0]]))
                 pred.append(langs[order[0]])
