@@ -5,9 +5,10 @@ from __future__ import annotations
 from .compression import op6_quality_classifier, op9_language_id
 from .decontamination import OP3_SQL, op3_benchmark_decontamination
 from .license_scan import op7_license_scan
+from .ngram_join import op8_ngram_jaccard_join
 from .quality_rules import op5_quality_rules
 
-QUERIES = (op3_benchmark_decontamination, op5_quality_rules, op6_quality_classifier, op7_license_scan, op9_language_id)
+QUERIES = (op3_benchmark_decontamination, op5_quality_rules, op6_quality_classifier, op7_license_scan, op8_ngram_jaccard_join, op9_language_id)
 
 
 def queries() -> dict:
