@@ -8,9 +8,22 @@ from .license_scan import op7_license_scan
 from .mixing import op2_temperature_mixing
 from .ngram_join import op8_ngram_jaccard_join
 from .pii import op1_pii_surrogates
-from .quality_rules import op5_quality_rulesfrom .repeats import op10_repeated_bytesfrom .wrapper_extraction import op4_wrapper_extraction
+from .quality_rules import op5_quality_rules
+from .repeats import op10_repeated_bytes
+from .wrapper_extraction import op4_wrapper_extraction
 
-QUERIES = (op1_pii_surrogates, op2_temperature_mixing, op3_benchmark_decontamination, op4_wrapper_extraction, op5_quality_rules, op6_quality_classifier, op7_license_scan, op8_ngram_jaccard_join, op9_language_id, op10_repeated_bytes)
+QUERIES = (
+    op1_pii_surrogates,
+    op2_temperature_mixing,
+    op3_benchmark_decontamination,
+    op4_wrapper_extraction,
+    op5_quality_rules,
+    op6_quality_classifier,
+    op7_license_scan,
+    op8_ngram_jaccard_join,
+    op9_language_id,
+    op10_repeated_bytes,
+)
 
 
 def queries() -> dict:
