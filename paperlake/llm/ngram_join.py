@@ -228,7 +228,8 @@ def join_classes(docs: DataFrame, *, words: int = WORDS, threshold: float = THRE
     sizes = groups_.groupBy("component").agg(F.count("*").alias("n"))
     members = store(groups_.join(sizes, "component").join(nodes.drop("sign"), groups_["node"] == nodes["set_id"]).select("set_id", "component", "n", "copies", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "members")
     texts = docs.select("doc_id", "text")
-    texts = texts.join(members, (texts["doc_id"].cast("long") == members["_id"]) & (F.xxhash64(texts["text"]) == members["_hash"]))
+    # sort-merge at every size: members grow with the corpus
+    texts = texts.join(members.hint("merge"), (texts["doc_id"].cast("long") == members["_id"]) & (F.xxhash64(texts["text"]) == members["_hash"]))
     found = store(verified(tiles(texts.select("set_id", "component", "n", "copies", "text"), "component", "n", limit), threshold=threshold, words=words), "links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = components(found.where("first <> set_id").select(F.col("set_id").alias("a"), F.col("first").alias("b")))
