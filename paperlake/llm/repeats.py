@@ -115,7 +115,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     by = wanted.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.text_id").alias("_text")).agg(
         F.collect_list("context").alias("context"), F.collect_list("phrase").alias("phrase"), F.collect_list("at.lo").alias("lo"),
         F.collect_list("at.off").alias("off"), F.collect_list("at.span").alias("span"), F.collect_list("n").alias("n"))
-    held = docs.join(by, docs["doc_id"].eqNullSafe(by["_doc"]) & (docs["text_id"] == by["_text"])).drop("_doc", "_text", "doc_id", "text_id")
+    held = docs.join(by.hint("merge"), docs["doc_id"].eqNullSafe(by["_doc"]) & (docs["text_id"] == by["_text"])).drop("_doc", "_text", "doc_id", "text_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("text_id"), "text")
     spans = store(repeated_spans(texts, **options), "spans")
-    joined = texts.join(spans.withColumnRenamed("text_id", "_id"), F.col("text_id") == F.col("_id"), "left").select("doc_id", "text", "spans.start", "spans.end")
+    joined = texts.join(spans.withColumnRenamed("text_id", "_id").hint("merge"), F.col("text_id") == F.col("_id"), "left").select("doc_id", "text", "spans.start", "spans.end")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
