@@ -1,8 +1,55 @@
-"""Stages are added as their operators are."""
+"""A training corpus from documents, in stages of Spark operators.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from paperlake.llm import decontamination, mixing, ngram_join, pii, quality_rules
+from paperlake.llm.shared import store, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the learned decision list keep."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (word 5-grams, Jaccard 0.8 or more)."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with surrogates for personal data."""
+    return pii.pseudonymise(docs).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The order in which documents are drawn, sources at their temperature weights."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("pii surrogates", surrogates),
+    ("temperature mixing", mixture),
+]
+#: Hash orders and a learned list are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import store, table
+from .shared import free_name, store, table
 from .tokens import groups, hash_words, mix, slices
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -248,7 +248,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     best = store(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")), "kept")
     hash_ = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
     kept = docs.join(best, (docs["doc_id"].cast("long") == best["_id"]) & (hash_ == F.coalesce(best["_hash"], F.lit(0))), "left_semi")
-    kept = kept.dropDuplicates() if kept.groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows: one of them
+        name = free_name(docs, "_hash")
+        kept = kept.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
