@@ -216,8 +216,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that neither the base rule nor a learned rule rejects."""
     rules = learn(docs, labels, **options)
     counts = free_name(docs, "_statistics")
-    scored = with_statistics(docs, into=counts)
-    return scored.where(~base_failed(counts) & (decision(rules, counts) == 0)).select(*docs.columns)
+    tag = free_name(docs, "_tag")
+    # the tag keeps Spark from moving the filter below the statistics, where every word would split its text anew
+    scored = with_statistics(docs, into=counts).withColumn(tag, F.monotonically_increasing_id())
+    return scored.where((F.col(tag) >= 0) & ~base_failed(counts) & (decision(rules, counts) == 0)).select(*docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
