@@ -77,7 +77,7 @@ def index_delta(listing: DataFrame, index: DataFrame) -> DataFrame:
     j = listing.alias("l").join(index.alias("x"), "path", "full_outer")
     state = (
         F.when(F.col("x.mtime").isNull(), "new").when(F.col("l.mtime").isNull(), "gone")
-        .when(F.abs(F.unix_micros("l.mtime") - F.unix_micros("x.mtime")) >= 1_000_000, "changed").otherwise("unchanged"))
+        .when(F.abs(F.unix_micros(F.col("l.mtime").cast("timestamp")) - F.unix_micros(F.col("x.mtime").cast("timestamp"))) >= 1_000_000, "changed").otherwise("unchanged"))
     return j.select("path", state.alias("state"))
 
 

@@ -42,7 +42,7 @@ def sides(scans: DataFrame, *, minutes: int = 30) -> DataFrame:
         moved = fresh | acc["last"].isin("Front", "Back")
         return F.struct(F.when(moved, x["ts"]).otherwise(acc["at"]).alias("at"), last.alias("last"), F.concat(acc["out"], F.array(F.struct(x["scan_id"].alias("scan_id"), side.alias("side")))).alias("out"))
 
-    rows = scans.groupBy("person", "doc_type", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "scan_id"))).alias("rows"))
+    rows = scans.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("person", "doc_type", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "scan_id"))).alias("rows"))
     return rows.select("person", "doc_type", "day", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("s")).select("person", "doc_type", "day", "s.scan_id", "s.side")
 
 

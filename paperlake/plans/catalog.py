@@ -2,14 +2,524 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, fields, text
+from ..operators import dedup, lifecycle, pages, rules, stats
+from ..sources import readers, writers
+from ..streaming import inbox
+from .views import AS_OF, FILE_INDEX, LIFECYCLE, RULES, SCAN_DOCS, file_index, scan_docs, t
+from .views import lifecycle as life
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+# ---- rules and classification -------------------------------------------------------------------------------------
+
+CLASSIFIED = "with " + SCAN_DOCS + """,
+low as (select *, lower(text) as low from scan_docs),
+matched as (select *,
+  case when contains(low, 'invoice') or contains(low, 'amount due') then 'bill' when contains(low, 'prescription') or regexp_matches(low, '\\brx\\b') then 'prescription' when regexp_matches(low, 'lab\\s+requisition') then 'lab_requisition'
+       when contains(low, 'credit limit') then 'insurance' when contains(low, 'account number') then 'business' end as type0,
+  list_filter([case when regexp_matches(low, '\\bautomobile\\b') then 'autohaus' end, case when regexp_matches(low, '\\bbuilding\\b') then 'buildco' end, case when regexp_matches(low, '\\bfurniture\\b') then 'furnish' end,
+               case when regexp_matches(low, '\\bhousehold\\b') then 'homecare' end, case when regexp_matches(low, '\\bpatient\\b') then 'patients' end], lambda x: x is not null) as orgs,
+  case when contains(low, 'customer#000000001') or contains(low, 'customer#000000007') then 'Ada' when contains(low, 'customer#00000000') then 'Bo' when contains(low, 'customer#0000000') then 'Cy' else 'Shared' end as person from low),
+typed as (select *, case when type0 = 'insurance' then 'business' else type0 end as doc_type,
+  coalesce(case when type0 in ('prescription', 'lab_requisition') then list_filter(orgs, lambda x: x in ('furnish', 'homecare', 'patients'))[1] when type0 in ('bill', 'insurance') then list_filter(orgs, lambda x: x = 'autohaus')[1]
+                when type0 = 'business' then list_filter(orgs, lambda x: x = 'buildco')[1] end, orgs[1]) as org,
+  concat(regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 3), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 1), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 2)) as doc_date,
+  regexp_extract(text, '\\$\\s*([0-9]{1,3}(?:,[0-9]{3})*(?:\\.[0-9]{2})?)', 1) as amount from matched),
+placed as (select *, case org when 'autohaus' then 'Auto_Haus' when 'homecare' then 'Home-Care' else org end as provider,
+  case org when 'autohaus' then 'Insurance' when 'buildco' then 'Business' when 'furnish' then 'Medical' when 'homecare' then 'Medical' when 'patients' then 'Lab' end as org_category,
+  case doc_type when 'bill' then 'Bill' when 'prescription' then 'Medical' when 'lab_requisition' then 'Lab' when 'business' then 'Business' end as type_category,
+  substr(doc_date, 1, 4) as y from typed),
+classified as (select *,
+  case when doc_type = 'bill' and org_category = 'Insurance' then 'InsuranceBill' when doc_type = 'bill' then 'Bill' when doc_type = 'prescription' then 'Rx' when doc_type = 'lab_requisition' then 'LabReq' when doc_type = 'business' then 'Statement' else 'Document' end as label,
+  case when type_category = 'Bill' and cast(y as int) < 1996 then concat('Archive/', y, '/Finance/', provider, '/') when type_category = 'Bill' then concat('Finance/', provider, '/', y, '/') when type_category = 'Medical' then concat('Health/', person, '/', substr(doc_date, 1, 7), '/')
+       when type_category = 'Lab' then concat('Health/', person, '/Lab/') when type_category = 'Business' then concat('Companies/', provider, '/', y, '/') when org = 'buildco' then 'Companies/Build/' else 'Inbox/Unsorted/' end as destination,
+  case when doc_type is not null and org is not null then 0.92 when doc_type is not null then 0.88 when org is not null then 0.72 else 0.55 end as rule_confidence,
+  concat(coalesce(doc_type, 'none'), ':', coalesce(org, 'none')) as rule_match_id from placed),
+scored as (select *, round(cast(greatest(0.0, least(1.0, cast(rule_confidence as double) - case when len(orgs) > 1 then 0.15 else 0 end - case when length(text) < 100 then 0.15 else 0 end + case when type_category = org_category then 0.05 else 0 end)) as double), 4) as confidence,
+  concat(doc_date, '_', provider, '_', label, '_', person, case when doc_type = 'bill' and amount <> '' then concat('_$', amount) else '' end, '.pdf') as proposed_name from classified)
+"""
+
+
+def classified(spark, sf):
+    return rules.classify(scan_docs(spark, sf), RULES)
+
+
+def flagship(spark, sf):
+    return documents_by_type(spark, sf)
+
+
+@query(CLASSIFIED + "select coalesce(doc_type, 'none') as doc_type, count(*) as n, round(avg(confidence), 4) as mean_confidence from scored group by 1")
+def documents_by_type(spark, sf):
+    """How many documents of each type there are, with what mean confidence (AGG-08 over RUL-*)."""
+    return classified(spark, sf).groupBy(F.coalesce("doc_type", F.lit("none")).alias("doc_type")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+
+
+@query(CLASSIFIED + "select doc_id, doc_type, org, array_to_string(orgs, ',') as orgs, person, label, rule_match_id, cast(rule_confidence as double) as rule_confidence, confidence from scored")
+def classify_documents(spark, sf):
+    return classified(spark, sf).select("doc_id", "doc_type", "org", F.array_join("orgs", ",").alias("orgs"), "person", "label", "rule_match_id", "rule_confidence", "confidence")
+
+
+@query(CLASSIFIED + "select doc_id, provider, doc_date, amount, destination, proposed_name from scored")
+def propose_names(spark, sf):
+    return classified(spark, sf).select("doc_id", "provider", "doc_date", "amount", "destination", "proposed_name")
+
+
+@query(CLASSIFIED + """select reason, count(*) as n from (select case when length(text) < 20 then 'weak text' when confidence < 0.8 then 'low confidence' when doc_type in ('identity_card', 'business') then 'never'
+ when coalesce(doc_type, '') not in ('prescription', 'lab_requisition', 'bill') then 'not safe' else 'ok' end as reason from scored) group by reason""")
+def auto_approve_gate(spark, sf):
+    return rules.auto_approve(classified(spark, sf), threshold=0.8).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(CLASSIFIED + ", g as (select destination, proposed_name, count(*) over (partition by destination) as n, row_number() over (partition by destination order by proposed_name, doc_id) as k from scored) select destination, proposed_name, n, k, greatest(n - 3, 0) as more from g where n <= 3 or k <= 2 or k = n")
+def notification_samples(spark, sf):
+    rows = classified(spark, sf).select("destination", "proposed_name", F.struct("proposed_name", "doc_id").alias("o"))
+    return pages.samples(rows, order="o").select("destination", "proposed_name", "n", "k", "more")
+
+
+@query(CLASSIFIED + """select destination, count(*) as n, min(confidence) as least_confidence, cast(min(rule_confidence) as double) as least_rule_confidence,
+ case when min(confidence) >= 0.85 then 'high' when min(confidence) >= 0.70 then 'good' when min(confidence) >= 0.50 then 'medium' else 'low' end as badge from scored group by destination""")
+def notification_groups(spark, sf):
+    out = classified(spark, sf).groupBy("destination").agg(F.count("*").alias("n"), F.min("confidence").alias("least_confidence"), F.min("rule_confidence").alias("least_rule_confidence"))
+    return out.withColumn("badge", dates.band(F.col("least_confidence"), ((0.85, "high"), (0.70, "good"), (0.50, "medium")), "low"))
+
+
+@query(CLASSIFIED + """select person, type_category as section, count(*) as n, string_agg(distinct provider, ',' order by provider) as providers from scored group by 1, 2""")
+def person_index(spark, sf):
+    return classified(spark, sf).groupBy("person", F.col("type_category").alias("section")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("provider")), ",").alias("providers"))
+
+
+@query("with " + SCAN_DOCS + """, c(id, org_id, kw, corrected) as (values (1, null, ['patient', 'prescription', 'label', 'total'], 'prescription'), (2, 'buildco', ['account', 'statement', 'credit', 'building'], 'bank_statement'), (3, null, ['lab', 'requisition', 'fasting', 'patient'], 'lab_requisition')),
+ w as (select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x not in ('date', 'page', 'name', 'number'))) as words, lower(text) as low, text from scan_docs),
+ o as (select *, case when contains(low, 'automobile') then 'autohaus' when contains(low, 'building') then 'buildco' when contains(low, 'furniture') then 'furnish' when contains(low, 'household') then 'homecare' else 'patients' end as first_org from w),
+ j as (select doc_id, id, corrected, len(list_intersect(words, kw)) as overlap, len(kw) as n from o join c on c.org_id is null or (c.org_id = 'buildco' and contains(low, 'building') and contains(low, 'account number'))),
+ r as (select *, row_number() over (partition by doc_id order by overlap desc, id desc) as k from j where overlap >= 3)
+ select doc_id, cast(id as bigint) as correction_id, corrected as corrected_doc_type, round(least(0.10, 0.05 + 0.05 * overlap / n), 6) as boost from r where k = 1""")
+def learned_corrections(spark, sf):
+    held = spark.createDataFrame([(1, None, ["patient", "prescription", "label", "total"], "prescription", "1998-01-01"), (2, "buildco", ["account", "statement", "credit", "building"], "bank_statement", "1998-01-02"), (3, None, ["lab", "requisition", "fasting", "patient"], "lab_requisition", "1998-01-03")],
+                                 "id long, org_id string, keywords array<string>, corrected_doc_type string, correction_date string")
+    return rules.apply_corrections(classified(spark, sf), held).withColumn("boost", F.round("boost", 6))
+
+
+# ---- fields -------------------------------------------------------------------------------------------------------
+
+
+@query("with " + SCAN_DOCS + """ select doc_id, concat(regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 3), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 1), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 2)) as doc_date,
+ regexp_extract(text, '\\$([0-9]{1,3}(?:\\.[0-9]{2})?)', 1) as amount, doc_id % 4 + 1 as page, 4 as total, substr(regexp_extract(text, 'date (\\d{2}/\\d{2}/\\d{4})', 1), 7, 4) || '-' || substr(regexp_extract(text, 'date (\\d{2}/\\d{2}/\\d{4})', 1), 1, 2) as month_bucket from scan_docs""")
+def extract_fields(spark, sf):
+    p = text.page_indicator(F.col("text"))
+    return scan_docs(spark, sf).select("doc_id", dates.document_date(F.col("text")).alias("doc_date"), dates.amount(F.col("text")).alias("amount"), p["page"].cast("bigint").alias("page"), p["total"].alias("total"), dates.month_bucket(dates.document_date(F.col("text"))).alias("month_bucket"))
+
+
+FIELD_SQL = """with d as (select o_orderkey as k, o_orderdate as d from orders),
+x as (select k, strftime(d, '%m/%d/%Y') as long, strftime(d, '%m/%d/%y') as short, strftime(d, '%Y-%m-%d') as iso, cast(strftime(d, '%Y') as int) as y, d from d)
+select k as doc_id, iso as statement_end, iso as closing, iso as due, iso as expiry, case when y >= 1996 then iso end as later, 'XK' || lpad(cast(k as varchar), 8, '0') as tag, iso as named,
+ case k % 3 when 0 then 'Recognition' when 1 then 'Evaluation' else 'Employment' end as employment, 'ACME PARTS ' || 'LLC' as company, case k % 3 when 0 then 'Front' when 1 then 'Back' end as side from x"""
+
+
+@query(FIELD_SQL)
+def extract_statement_fields(spark, sf):
+    """Statement, closing, due and expiry dates, vehicle tags, employment kinds, companies, sides of scans."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    long, short = F.date_format(d, "MM/dd/yyyy"), F.date_format(d, "MM/dd/yy")
+    hr = F.when(k % 3 == 0, "nominated by staff").when(k % 3 == 1, "performance review").otherwise("contract")
+    stem = F.concat(F.date_format(d, "yyyyMMdd"), F.when(k % 3 == 0, "_PassFront_x").when(k % 3 == 1, "_pass_back").otherwise("_pass"))
+    return t(spark, sf, "orders").select(
+        k.alias("doc_id"), dates.statement_date(F.concat(F.lit("Statement Period 01/01/1990 - "), long)).alias("statement_end"), dates.statement_date(F.concat(F.lit("closing date: "), short)).alias("closing"),
+        dates.due_date(F.concat(F.lit("Please pay. Payment due by mail "), long)).alias("due"), dates.expiry_date(F.concat(F.lit("Expires "), short)).alias("expiry"), dates.expiry_date(F.concat(F.lit("on "), long), 1996).alias("later"),
+        fields.vehicle(F.concat(F.lit("TAG/DECAL/VESS#: XK"), F.lpad(k.cast("string"), 8, "0")))["tag"].alias("tag"), dates.date_in_name(stem).alias("named"), fields.employment_kind(hr).alias("employment"),
+        fields.business_name(F.concat(F.lit("x\nACME PARTS LLC\n"), F.lpad(k.cast("string"), 12, "4"), F.lit("\n"))).alias("company"), fields.side_in_name(stem).alias("side"))
+
+
+@query("with " + SCAN_DOCS + " select doc_id, regexp_extract(path, '/(\\d{4})/', 1) as year, regexp_extract(path, '/inbox/([^/]+)/', 1) as company, true as scanner, strftime(mtime, '%Y-%m-%d') as scan_date from scan_docs where regexp_matches(path, '/inbox/[A-Z][^/]{2,}/')")
+def folder_and_name_facts(spark, sf):
+    d = scan_docs(spark, sf)
+    f = fields.folder_facts(F.col("path"))
+    out = d.select("doc_id", f.alias("f"), fields.scanner_default(text.stem(F.col("path"))).alias("scanner"), F.date_format("mtime", "yyyy-MM-dd").alias("scan_date"))
+    return out.select("doc_id", "f.year", "f.company", "scanner", "scan_date")
+
+
+# ---- text ---------------------------------------------------------------------------------------------------------
+
+
+@query("""select doc_id, substr(sha256(text), 1, 16) as short_hash, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as squeezed, substr(text, 1, 240) as preview,
+ coalesce(nullif(trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'Unknown') as safe_part, length(text) < 100 as low_text, sha256(substr(text, 1, 512)) as prefix from documents""")
+def text_basics(spark, sf):
+    c = F.col("text")
+    return t(spark, sf, "documents").select("doc_id", text.short_hash(c).alias("short_hash"), F.sha2(text.normalise_spaces(c), 256).alias("squeezed"), F.substring(c, 1, 240).alias("preview"), text.safe_part(F.substring(c, 1, 40)).alias("safe_part"), (F.length(c) < 100).alias("low_text"), text.prefix_fingerprint(c, 512).alias("prefix"))
+
+
+STOP_LIST = ", ".join(f"'{w}'" for w in sorted(set(text.STOP_WORDS)))
+
+
+@query(f"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]{{3,}}') as w from documents), p as (select doc_id, w, unnest(generate_series(1, len(w))) as i from w), k as (select doc_id, w[i] as word, min(i) as first from p where w[i] not in ({STOP_LIST}) group by 1, 2),
+ r as (select *, row_number() over (partition by doc_id order by first) as k from k) select doc_id, string_agg(word, ' ' order by k) as keywords from r where k <= 20 group by doc_id""")
+def keyword_lists(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords")).where("keywords <> ''")
+
+
+COMMON_SQL = " + ".join(f"cast(contains(low, '{w}') as int)" for w in text.COMMON_WORDS)
+
+
+@query(f"""with l as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> '') as lines from documents),
+ s as (select *, list_filter(lines, lambda x: length(regexp_replace(x, '[^\\p{{L}}\\s]', '', 'g')) / length(x) >= 0.2) as signal from l),
+ j as (select *, array_to_string(signal, chr(10)) as joined from s), w as (select *, list_filter(regexp_split_to_array(joined, '\\s+'), lambda x: x <> '') as words, lower(joined) as low from j),
+ m as (select *, length(regexp_replace(joined, '[^\\p{{L}}\\p{{N}}.,;:!?\\-''"()/@#$%&+= ]', '', 'g')) / length(replace(joined, ' ', '')) as printable, length(array_to_string(words, '')) / len(words) as mean,
+   len(list_filter(signal, lambda x: length(x) > 5 and len(list_distinct(string_split(replace(x, ' ', ''), ''))) <= 2)) + len(list_filter(words, lambda x: length(x) > 4 and length(regexp_replace(x, '\\p{{L}}', '', 'g')) / length(x) > 0.5)) as artefacts,
+   (len(lines) - len(signal)) / len(lines) as noise, {COMMON_SQL} as hits from w)
+ select doc_id, round(case when length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) < 10 then 0.0 when len(signal) = 0 then 0.1 else least(1.0, least(1.0, printable) * case when mean < 2 then 0.3 when mean < 3 then 0.7 else 1.0 end
+   * case when artefacts > 5 then 0.7 when artefacts > 2 then 0.85 else 1.0 end * case when noise > 0.5 then 0.5 when noise > 0.3 then 0.75 else 1.0 end + case when hits >= 5 then 0.10 when hits >= 2 then 0.05 else 0.0 end) end, 6) as quality from m""")
+def text_quality(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.round(text.quality(F.col("text")), 6).alias("quality"))
+
+
+@query("""with l as (select page_id, string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)) as lines from pages), p as (select page_id, unnest(generate_series(1, len(lines))) as i, lines from l),
+ k as (select page_id, i, trim(lines[i]) as t from p), c as (select page_id, case when t = '' then 'blank' when starts_with(t, '### ') then 'heading_3' when starts_with(t, '## ') then 'heading_2' when starts_with(t, '# ') then 'heading_1' when regexp_matches(t, '^-{3,}$') then 'divider'
+ when regexp_matches(t, '^[-*] ') then 'bullet' when starts_with(t, '|') then 'table' else 'paragraph' end as kind, i from k), r as (select *, case when kind = lag(kind) over (partition by page_id order by i) then 0 else 1 end as new from c),
+ g as (select *, sum(new) over (partition by page_id order by i) as run from r), b as (select page_id, run, kind, count(*) as lines from g where kind <> 'blank' group by all), n as (select *, row_number() over (partition by page_id order by run) as block from b)
+ select page_id, block, (block - 1) // 20 as chunk, kind, lines from n where block <= 100""")
+def typed_blocks(spark, sf):
+    """Lines of a page as typed blocks (runs of one kind), the first hundred, in chunks of twenty."""
+    lines = t(spark, sf, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n")).alias("i", "line")).withColumn("kind", text.markdown_kind(F.col("line")))
+    w = Window.partitionBy("page_id").orderBy("i")
+    run = F.sum(F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("_new", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1))
+    lines = lines.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = lines.where("kind <> 'blank'").groupBy("page_id", "run", "kind").agg(F.count("*").alias("lines"))
+    out = blocks.withColumn("block", F.row_number().over(Window.partitionBy("page_id").orderBy("run"))).where("block <= 100")
+    return out.select("page_id", F.col("block").cast("bigint").alias("block"), F.floor((F.col("block") - 1) / 20).alias("chunk"), "kind", "lines")
+
+
+@query("""select page_id, regexp_extract(url, '://([^/]*)', 1) as host, regexp_replace(regexp_replace(url, '.*/', ''), '[?#].*', '') as leaf, 'Archive/' || regexp_extract(url, '://([^/]*)', 1) || '/Unknown_x/' as filled, length(url) as n from pages""")
+def path_parts(spark, sf):
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    filled = text.tidy_path(text.fill_template(F.lit("Archive//{host}/{gone}/{none}_x"), {"host": host, "none": F.lit(None).cast("string")}))
+    return t(spark, sf, "pages").select("page_id", host.alias("host"), F.regexp_replace(text.file_name(F.col("url")), "[?#].*", "").alias("leaf"), filled.alias("filled"), F.length(text.guard_length(F.col("url"))).cast("bigint").alias("n"))
+
+
+# ---- duplicates, index, sync --------------------------------------------------------------------------------------
+
+
+def half(spark, sf):
+    idx = file_index(spark, sf)
+    return idx.where("doc_id % 2 = 0"), idx.where("doc_id % 2 = 1")
+
+
+@query("with " + FILE_INDEX + """, d as (select * from file_index where doc_id % 2 = 0), i as (select * from file_index where doc_id % 2 = 1),
+ h as (select d.doc_id, i.path, 0 as tier from d join i on d.sha256 = i.sha256 and d.path <> i.path union all select d.doc_id, i.path, 1 from d join i on d.target = i.path and d.sha256 <> i.sha256 and d.path <> i.path union all select d.doc_id, i.path, 2 from d join i on d.text_hash = i.text_hash and d.path <> i.path)
+ select doc_id, path, case min(tier) when 0 then 'exact' when 1 then 'name' else 'text' end as match_type, 1.0::double as match_score from h group by doc_id, path""")
+def duplicate_tiers(spark, sf):
+    return dedup.tiered(*half(spark, sf))
+
+
+@query("with " + FILE_INDEX + """, d as (select *, case when doc_id % 5 = 0 then '' else provider end as p1, case when doc_id % 7 = 0 then '' else person end as p2 from file_index where doc_id % 40 = 0), i as (select * from file_index where doc_id % 4 = 1)
+ select d.doc_id, i.path, 3 as tier, 1.0::double as score from d join i on (p1 = '' or p1 = i.provider) and (p2 = '' or p2 = i.person) and d.doc_type = i.doc_type and d.path <> i.path""")
+def metadata_duplicates(spark, sf):
+    idx = file_index(spark, sf)
+    new = idx.where("doc_id % 40 = 0").withColumns({"provider": F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("provider")), "person": F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("person"))})
+    return dedup.metadata_overlap(new, idx.where("doc_id % 4 = 1"))
+
+
+@query("with " + FILE_INDEX + " select sha256, count(*) as copies, min(path) as first_path, min(doc_id) as first_id from file_index group by sha256 having count(*) > 1")
+def duplicate_groups(spark, sf):
+    return dedup.duplicate_groups(file_index(spark, sf))
+
+
+@query("with " + FILE_INDEX + ", g as (select *, count(*) over (partition by size, prefix_hash, sha256) as n from file_index) select path, sha256 from g where n > 1")
+def staged_duplicates(spark, sf):
+    return dedup.staged(file_index(spark, sf)).select("path", "sha256")
+
+
+@query("""with l as (select o_orderkey as path, o_orderdate as m from orders where o_orderkey % 5 <> 0), x as (select o_orderkey as path, case when o_orderkey % 3 = 0 then o_orderdate - interval '2' second else o_orderdate end as m from orders where o_orderkey % 7 <> 0)
+ select coalesce(l.path, x.path) as path, case when x.m is null then 'new' when l.m is null then 'gone' when l.m <> x.m then 'changed' else 'unchanged' end as state from l full join x on l.path = x.path""")
+def index_delta(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
+    old = o.where("path % 7 <> 0").withColumn("mtime", F.when(F.col("path") % 3 == 0, F.col("mtime") - F.expr("interval 2 seconds")).otherwise(F.col("mtime")))
+    return dedup.index_delta(o.where("path % 5 <> 0"), old)
+
+
+@query("""select cast(page_id as varchar) as key, case when page_id % 3 = 0 then 'create' when page_id % 3 = 1 then 'skip' else 'update' end as action from pages""")
+def sync_plan(spark, sf):
+    p = t(spark, sf, "pages").select(F.col("page_id"), F.col("page_id").cast("string").alias("key"), text.short_hash(F.col("html")).alias("hash"))
+    remote = p.where("page_id % 3 <> 0").select("key", F.when(F.col("page_id") % 3 == 1, F.col("hash")).otherwise("old").alias("hash"))
+    return dedup.sync_plan(p.drop("page_id"), remote)
+
+
+@query("with " + FILE_INDEX + ", l as (select * from file_index where doc_id % 3 <> 0) select path from file_index where path not in (select path from l)")
+def pruned_index(spark, sf):
+    idx = file_index(spark, sf)
+    return idx.join(idx.where("doc_id % 3 <> 0").select("path"), "path", "left_anti").select("path")
+
+
+@query("""with k as (select doc_id, concat(source, ':', lang) as key, case when doc_id % 9 = 4 then doc_id end as hits from documents) select doc_id, first_value(hits ignore nulls) over (partition by key order by doc_id rows between unbounded preceding and current row) as served from k""")
+def reused_neighbours(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.concat("source", F.lit(":"), "lang").alias("key"), F.when(F.col("doc_id") % 9 == 4, F.col("doc_id")).alias("hits"))
+    return dedup.reuse_neighbours(d).select("doc_id", "served")
+
+
+# ---- statistics ---------------------------------------------------------------------------------------------------
+
+
+def over(name: str, sql: str):
+    """A query over lifecycle rows."""
+    def add(f):
+        QUERIES[name] = lambda spark, sf: f(life(spark, sf))
+        SQL[name] = f"with {LIFECYCLE} {sql}"
+        return f
+
+    return add
+
+
+OVERRIDDEN = "override_type in ('retype', 'rename', 'redirect')"
+TOTALS_SQL = f"""select count(*) as total, count(*) filter (override_type = 'none') as as_proposed, count(*) filter ({OVERRIDDEN}) as overridden, coalesce(round(1 - count(*) filter ({OVERRIDDEN}) / nullif(count(*), 0), 2), 0) as accuracy,
+ coalesce(round(avg(approval_attempts) filter (approved_at is not null), 2), 0) as mean_attempts from lifecycle"""
+over("lifecycle_totals", TOTALS_SQL)(lambda d: stats.totals(d))
+over("lifecycle_totals_recent", TOTALS_SQL + f" where first_seen_at >= timestamp '{AS_OF}' - interval '30' day")(lambda d: stats.totals(d, as_of=as_of(), days=30))
+over("override_breakdown", "select override_type as value, count(*) as n from lifecycle group by 1")(lambda d: stats.breakdown(d, F.col("override_type")))
+over("approval_breakdown", "select case when override_type = 'deny' then 'denied' when override_type = 'expired' then 'expired' when approved_at is not null and override_type <> 'none' then 'overridden' when approved_at is not null then 'auto_approved' else 'pending' end as value, count(*) as n from lifecycle group by 1")(lambda d: stats.breakdown(d, stats.approval_state()))
+over("worst_types", f"select proposed_doc_type, count(*) as total, count(*) filter ({OVERRIDDEN}) as overridden, round(1 - count(*) filter ({OVERRIDDEN}) / count(*), 2) as accuracy from lifecycle group by 1 order by accuracy, total desc, 1 limit 10")(stats.worst_types)
+over("confusion_top", "select proposed_doc_type, final_doc_type, count(*) as n from lifecycle where override_type in ('retype', 'rename') group by 1, 2 order by n desc, 1, 2 limit 20")(stats.confusion)
+over("confidence_by_type", "select proposed_doc_type, count(*) as n, round(avg(classification_confidence), 4) as mean_confidence from lifecycle group by 1 order by mean_confidence, 1 limit 10")(lambda d: stats.mean_confidence(d, "proposed_doc_type", "classification_confidence", 10))
+over("confidence_bands", "select case when classification_confidence >= 0.9 then 'high' when classification_confidence >= 0.75 then 'good' when classification_confidence >= 0.5 then 'medium' else 'low' end as band, count(*) as n from lifecycle group by 1")(stats.confidence_bands)
+over("correction_rate", f"select concat(count(*) filter ({OVERRIDDEN}), '/', count(*), ' (', cast(cast(round(100.0 * count(*) filter ({OVERRIDDEN}) / count(*)) as int) as varchar), '%)') as rate from lifecycle")(stats.correction_rate)
+over("expired_documents", f"select sha256, approved_at is null and first_seen_at < timestamp '{AS_OF}' - interval '24' hour as expired, case when approved_at is null and first_seen_at < timestamp '{AS_OF}' - interval '24' hour then 'expired' else override_type end as override_type from lifecycle")(lambda d: lifecycle.expire(d, as_of()).select("sha256", "expired", "override_type"))
+over("newest_lifecycle_page", "select original_filename, first_seen_at from lifecycle order by first_seen_at desc, original_filename limit 20 offset 5")(lambda d: d.orderBy(F.desc("first_seen_at"), "original_filename").offset(5).limit(20).select("original_filename", "first_seen_at"))
+over("lookup_by_hash_or_name", "(select sha256, original_filename from lifecycle where sha256 = sha256('7')) union all (select sha256, original_filename from lifecycle where original_filename like '%scan_12%' order by first_seen_at desc, sha256 limit 1)")(
+    lambda d: d.where(F.col("sha256") == F.sha2(F.lit("7"), 256)).select("sha256", "original_filename").unionAll(d.where(F.col("original_filename").like("%scan_12%")).orderBy(F.desc("first_seen_at"), "sha256").limit(1).select("sha256", "original_filename")))
+
+
+@query("with " + LIFECYCLE + ", r(id) as (values ('automobile'), ('building'), ('shipping'), ('5-low')) select id from r where id not in (select split_part(rule_match_id, ':', 2) from lifecycle)")
+def dead_rules(spark, sf):
+    return stats.dead_rules(life(spark, sf), spark.createDataFrame([("automobile",), ("building",), ("shipping",), ("5-low",)], "id string"))
+
+
+@query("""select case when l_discount > 0.05 then 'override_destination' else 'approve' end as type, cast(l_suppkey % 7 as varchar) as rule_match_id, l_returnflag as from_dest, l_linestatus as to_dest, count(*) as support from lineitem group by 1, 2, 3, 4 having count(*) >= 2""")
+def rule_suggestions(spark, sf):
+    return stats.suggestions(t(spark, sf, "lineitem").select(F.when(F.col("l_discount") > 0.05, "override_destination").otherwise("approve").alias("type"), (F.col("l_suppkey") % 7).cast("string").alias("rule_match_id"), F.col("l_returnflag").alias("from_dest"), F.col("l_linestatus").alias("to_dest")))
+
+
+@query("""with m as (select 'ocr_' || event_type as metric_name, value as metric_value, ts, max(ts) over () as now from events) select metric_name, count(*) as n, round(avg(metric_value), 1) as mean, min(metric_value) as least, max(metric_value) as most from m where ts >= now - interval '1' day group by 1""")
+def metric_summary(spark, sf):
+    e = t(spark, sf, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    return stats.metric_summary(e.select(F.concat(F.lit("ocr_"), "event_type").alias("metric_name"), F.col("value").alias("metric_value"), "ts"), F.lit(now))
+
+
+@query("""with f as (select doc_id % 3 <> 0 as a, doc_id % 4 <> 0 as b from documents) select count(*) as total, count(*) filter (a and b) as both, count(*) filter (a and not b) as only_text, count(*) filter (not a and b) as only_meta, count(*) filter (not a and not b) as neither, coalesce(round(100.0 * count(*) filter (a and b) / nullif(count(*), 0), 1), 0) as percent from f""")
+def sidecar_coverage(spark, sf):
+    return stats.sidecar_coverage(t(spark, sf, "documents").select((F.col("doc_id") % 3 != 0).alias("has_ocr"), (F.col("doc_id") % 4 != 0).alias("has_meta")))
+
+
+@query("""with c as (select c_mktsegment as k, n_name as v, count(*) as n, min(c_custkey) as f from customer join nation on c_nationkey = n_nationkey group by 1, 2), r as (select *, row_number() over (partition by k order by n desc, f) as i from c) select k as segment, v as nation from r where i = 1""")
+def most_common_value(spark, sf):
+    d = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return stats.most_common(d, "c_mktsegment", "n_name", "c_custkey").select(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"))
+
+
+@query("with " + LIFECYCLE + """ select sha256, lower(trim(coalesce(case when approval_attempts = 1 then null else ' ' || proposed_doc_type end, ''))) as doc_type, case when approval_attempts = 1 then '' else 'ann' end as patient from lifecycle""")
+def denormalised_meta(spark, sf):
+    j = F.when(F.col("approval_attempts") == 1, "{broken").otherwise(F.to_json(F.struct(F.concat(F.lit(" "), "proposed_doc_type").alias("doc_type"), F.lit("Ann ").alias("patient"))))
+    m = dates.denormalise_meta(j)
+    return life(spark, sf).select("sha256", m["doc_type"].alias("doc_type"), m["patient"].alias("patient"))
+
+
+# ---- lifecycle events ---------------------------------------------------------------------------------------------
+
+EVENTS_SQL = """ev as (select sha256(cast(l_orderkey as varchar)) as sha, l_shipdate as ts, l_linenumber as seq, case when l_linenumber % 3 = 0 then 'approved' when l_quantity > 48 then 'denied' else 'proposed' end as kind, l_returnflag || cast(l_suppkey % 2 as varchar) as name, l_linestatus as doc_type from lineitem)"""
+
+
+def decision_events(spark, sf):
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "approved").when(F.col("l_quantity") > 48, "denied").otherwise("proposed")
+    return t(spark, sf, "lineitem").select(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("sha"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("seq"), kind.alias("kind"), F.concat("l_returnflag", (F.col("l_suppkey") % 2).cast("string")).alias("name"), F.col("l_linestatus").alias("doc_type"))
+
+
+@query("with " + EVENTS_SQL + """, r as (select sha, min(ts) as first_seen_at, count(*) filter (kind = 'proposed') as attempts, arg_max(name, (ts, seq)) filter (kind = 'proposed') as proposed_name, arg_max(doc_type, (ts, seq)) filter (kind = 'proposed') as proposed_doc_type,
+ arg_max(name, (ts, seq)) filter (kind = 'approved') as final_name, arg_max(doc_type, (ts, seq)) filter (kind = 'approved') as final_doc_type, max(ts) filter (kind = 'approved') as approved_at, arg_max(kind, (ts, seq)) as last_kind from ev group by sha)
+ select *, case when last_kind = 'denied' then 'deny' when final_name is null then 'none' when proposed_name <> final_name and proposed_doc_type <> final_doc_type then 'retype' when proposed_name <> final_name then 'rename' when proposed_doc_type <> final_doc_type then 'redirect' else 'none' end as override_type from r""")
+def lifecycle_reduction(spark, sf):
+    return lifecycle.reduce_events(decision_events(spark, sf))
+
+
+@query("with " + EVENTS_SQL + ", p as (select sha, ts, seq from ev where kind = 'proposed') select sha, ts, seq, row_number() over (partition by sha order by ts, seq) as attempt, case when lead(ts) over (partition by sha order by ts, seq) is null then 'pending' else 'denied' end as status from p")
+def proposal_attempts(spark, sf):
+    return lifecycle.attempts(decision_events(spark, sf).where("kind = 'proposed'").select("sha", "ts", "seq")).withColumn("attempt", F.col("attempt").cast("bigint"))
+
+
+@query("select o_custkey, max(o_orderkey) as o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as o_totalprice from orders group by o_custkey")
+def upsert_latest(spark, sf):
+    o = t(spark, sf, "orders")
+    new = lifecycle.latest_wins(o.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), "o_custkey", ["o_orderdate", "o_orderkey"])
+    return new.select("o_custkey", "o_totalprice").join(o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")), "o_custkey")
+
+
+@query("select o_orderkey as sha, 0 as stage_order, 'detected' as stage, o_orderdate as ts from orders union all select l_orderkey, 1, 'proposed', l_shipdate from lineitem where l_linenumber = 1")
+def stage_timeline(spark, sf):
+    return lifecycle.timeline({"detected": t(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("ts")), "proposed": t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("sha"), F.col("l_shipdate").alias("ts"))})
+
+
+@query("""select 'p' || o_orderkey as target, case when o_orderkey % 11 = 0 then 'missing' when o_orderkey % 5 = 0 then 'hash differs' else 'ok' end as result from orders""")
+def verified_moves(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("target"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    landed = o.where("o_orderkey % 11 <> 0").select(F.col("target").alias("path"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return lifecycle.verify_moves(o.drop("o_orderkey"), landed)
+
+
+@query("select l_orderkey, count(*) as moves, string_agg(cast(l_linenumber as varchar), ',' order by l_shipdate desc, l_linenumber desc) as newest from (select *, row_number() over (partition by l_orderkey order by l_shipdate desc, l_linenumber desc) as k from lineitem) where k <= 5 group by 1")
+def newest_moves(spark, sf):
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_shipdate"), F.desc("l_linenumber"))
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("k")).where("k <= 5")
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("moves"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "l_linenumber"))), lambda x: x["l_linenumber"].cast("string")), ",").alias("newest"))
+
+
+# ---- sequences ----------------------------------------------------------------------------------------------------
+
+
+@query("""with p as (select conv_id as folder, turn as page, 4 + conv_id % 2 as total, 'n' || turn as name from conversations), g as (select *, count(*) over (partition by folder, total) as n, count(distinct page) over (partition by folder, total) as d from p)
+ select folder, page, case when n > 1 and n = d then name || '_' || lpad(cast(page as varchar), 3, '0') else name end as grouped_name from g""")
+def page_groups(spark, sf):
+    p = t(spark, sf, "conversations").select(F.col("conv_id").alias("folder"), F.col("turn").alias("page"), (4 + F.col("conv_id") % 2).alias("total"), F.concat(F.lit("n"), F.col("turn").cast("string")).alias("name"))
+    return pages.page_groups(p).select("folder", "page", "grouped_name")
+
+
+@query("""with p as (select conv_id as folder, turn as page, role as doc_type from conversations), c as (select *, case when doc_type = lag(doc_type) over (partition by folder order by page) then 0 else 1 end as c from p), s as (select *, sum(c) over (partition by folder order by page) as segment from c)
+ select folder, page, cast(segment as bigint) as segment, row_number() over (partition by folder, segment order by page) - 1 as place from s""")
+def folder_segments(spark, sf):
+    p = t(spark, sf, "conversations").select(F.col("conv_id").alias("folder"), F.col("turn").alias("page"), F.col("role").alias("doc_type"))
+    return pages.segments(p).select("folder", "page", "segment", F.col("place").cast("bigint").alias("place"))
+
+
+@query("""with p as (select conv_id as folder, turn as page, role as doc_type, left(text, 1) as v from conversations), c as (select *, case when doc_type = lag(doc_type) over (partition by folder order by page) then 0 else 1 end as c from p), s as (select *, sum(c) over (partition by folder order by page) as segment from c),
+ v as (select folder, segment, v, row_number() over (partition by folder, segment order by count(*) desc, min(page)) as k from s where v <> '' group by folder, segment, v)
+ select s.folder, cast(s.segment as bigint) as segment, min(doc_type) as doc_type, count(*) as pages, min(page) as first_page, max(page) as last_page, any_value(v.v) as value from s left join v on v.folder = s.folder and v.segment = s.segment and v.k = 1 group by 1, 2""")
+def segment_summary(spark, sf):
+    p = t(spark, sf, "conversations").select(F.col("conv_id").alias("folder"), F.col("turn").alias("page"), F.col("role").alias("doc_type"), F.substring("text", 1, 1).alias("value"))
+    return pages.segment_summary(p)
+
+
+@query()
+def scan_sides(spark, sf):
+    """Front and back by scan order; a fold, held against plain Python in the tests."""
+    e = t(spark, sf, "events").select(F.col("user_id").alias("person"), F.col("event_type").alias("doc_type"), F.to_date("ts").alias("day"), F.col("event_id").alias("scan_id"), "ts")
+    return pages.sides(e)
+
+
+@query("""with p as (select p_brand as folder, p_type as name, p_partkey as path from part), g as (select *, count(*) over (partition by folder, name) as n, row_number() over (partition by folder, name order by path) - 1 as k from p) select path, case when n > 1 then name || '_' || lpad(cast(k as varchar), 3, '0') else name end as final_name from g""")
+def conflict_suffixes(spark, sf):
+    return pages.conflict_suffixes(t(spark, sf, "part").select(F.col("p_brand").alias("folder"), F.col("p_type").alias("name"), F.col("p_partkey").alias("path"))).select("path", "final_name")
+
+
+@query("""with p as (select p_type as name, p_partkey as path, row_number() over (partition by p_type order by p_partkey) as k from part where p_size < 25), u as (select distinct p_type as name, p_size - 24 as v from part where p_size >= 25),
+ f as (select name, v, row_number() over (partition by name order by v) as k from (select distinct p.name, g.v from (select distinct name from p) p, (select unnest(generate_series(1, 4000)) as v) g) x where not exists (select 1 from u where u.name = x.name and u.v = x.v))
+ select p.path, p.name, case when f.v = 1 then p.name else p.name || '_v' || f.v end as target from p join f on f.name = p.name and f.k = p.k""")
+def unique_targets(spark, sf):
+    p = t(spark, sf, "part")
+    return pages.unique_targets(p.where("p_size < 25").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("path")), p.where("p_size >= 25").select(F.col("p_type").alias("name"), (F.col("p_size") - 24).alias("version")))
+
+
+@query("""with p as (select user_id as file, event_id, ts, cast(floor(value / 100) as bigint) as size from events) select event_id, count(*) over w = 3 and min(size) over w = max(size) over w as stable from p window w as (partition by file order by ts, event_id rows between 2 preceding and current row)""")
+def stable_files(spark, sf):
+    p = t(spark, sf, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("poll_id"), "ts", F.floor(F.col("value") / 100).alias("size"))
+    return pages.stable(p).select(F.col("poll_id").alias("event_id"), "stable")
+
+
+@query("""with e as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as p from events), s as (select key, ts, sum(case when p is null or ts >= p + interval '1' hour then 1 else 0 end) over (partition by key order by ts rows between unbounded preceding and current row) as g from e) select key, count(*) as arrivals, max(ts) as last from s group by key, g""")
+def debounced_batches(spark, sf):
+    return inbox.debounced(t(spark, sf, "events").select(F.col("user_id").alias("key"), "ts"), gap="1 hour").select("key", "arrivals", "last")
+
+
+@query("select user_id as key, least(count(*), 3) as attempts, case when max(cast(value > 50 as int)) = 1 then case when count(*) > 1 then 'retried' else 'sent' end when count(*) >= 3 then 'failed' else 'pending' end as status from events group by 1")
+def delivery_log(spark, sf):
+    return inbox.delivery(t(spark, sf, "events").select(F.col("user_id").alias("key"), (F.col("value") > 50).alias("ok")))
+
+
+@query("with " + FILE_INDEX + " select sha256, min(doc_id) as doc_id from file_index group by sha256")
+def process_once(spark, sf):
+    d = file_index(spark, sf).select("sha256", F.timestamp_seconds("doc_id").alias("ts"), "doc_id")
+    return inbox.once(d).select("sha256", "doc_id")
+
+
+@query("""with now as (select max(ts) as n from events) select event_id, case when m < 60 then concat(m, 'm') when m < 1440 then concat(m // 60, 'h') else concat(m // 1440, 'd') end as age from (select event_id, cast(date_diff('second', ts, n) // 60 as bigint) as m from events, now) where m > 30""")
+def stuck_files(spark, sf):
+    e = t(spark, sf, "events")
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    m = F.floor((F.unix_seconds(now.cast('timestamp')) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 60)
+    return e.where(m > 30).select("event_id", dates.age_label(m).alias("age"))
+
+
+# ---- sources ------------------------------------------------------------------------------------------------------
+
+
+@query("""with c as (select l_orderkey as doc, l_linenumber as sheet, l_partkey % 9 as r, l_suppkey as col, l_returnflag || l_suppkey as v from lineitem), l as (select doc, sheet, r, string_agg(v, ' | ' order by col, v) as line from c group by 1, 2, 3),
+ k as (select *, row_number() over (partition by doc, sheet order by r) as k, dense_rank() over (partition by doc order by sheet) as s from l), b as (select doc, sheet, '[Sheet] ' || sheet || chr(10) || string_agg(line, chr(10) order by r) as body from k where k <= 50 and s <= 3 group by 1, 2)
+ select doc, string_agg(body, chr(10) order by sheet) as text from b group by doc""")
+def sheet_texts(spark, sf):
+    c = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("sheet"), (F.col("l_partkey") % 9).alias("row"), F.col("l_suppkey").alias("col"), F.concat("l_returnflag", F.col("l_suppkey").cast("string")).alias("value"))
+    return readers.sheet_text(c)
+
+
+@query("""with p as (select conv_id as doc, turn as n, case when conv_id % 3 = 0 then '' else text end as nat, text as ocr, conv_id % 3 = 0 as img from conversations), a as (select *, sum(length(trim(nat))) over (partition by doc) as total, bool_and(img) over (partition by doc) as imgs, coalesce(sum(length(ocr)) over (partition by doc order by n rows between unbounded preceding and 1 preceding), 0) as b from p),
+ s as (select *, case when total >= 200 then 'native' when total = 0 and imgs then 'ocr' else 'mixed' end as source from a), x as (select *, case when source = 'native' then nat when source = 'ocr' then ocr when b < 200 then coalesce(nullif(nat, ''), ocr) end as part from s)
+ select doc, any_value(source) as text_source, count(part) as pages_inspected, any_value(source) <> 'native' as needs_ocr, sha256(string_agg(part, chr(10) order by n)) as text_hash from x group by doc""")
+def page_texts(spark, sf):
+    c = t(spark, sf, "conversations")
+    p = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("text")).alias("native_text"), F.col("text").alias("ocr_text"), (F.col("conv_id") % 3 == 0).alias("has_image"))
+    return readers.page_text(p).select("doc", "text_source", "pages_inspected", "needs_ocr", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("with " + FILE_INDEX + """, c as (select sha256, min(case when doc_id % 4 = 0 then '  ' else 'cached ' || size end) as t from file_index where doc_id % 2 = 0 group by 1) select f.doc_id, case when trim(c.t) <> '' then c.t end as cached from file_index f left join c on c.sha256 = f.sha256""")
+def cached_texts(spark, sf):
+    idx = file_index(spark, sf)
+    held = idx.where("doc_id % 2 = 0").groupBy("sha256").agg(F.min(F.when(F.col("doc_id") % 4 == 0, "  ").otherwise(F.concat(F.lit("cached "), F.col("size").cast("string")))).alias("text")).withColumn("path", F.lit(None).cast("string"))
+    return readers.with_cache(idx.select("doc_id", "sha256", "path"), held).select("doc_id", "cached")
+
+
+@query("with " + SCAN_DOCS + " select path, trim(text) || chr(10) as ocr_txt, '{\"doc_type\":\"x\",\"provider\":\"y\",\"date\":\"' || strftime(mtime, '%Y-%m-%d') || '\",\"description\":\"x y\"}' as meta_json from scan_docs where doc_id % 3 <> 0")
+def sidecars_to_write(spark, sf):
+    d = scan_docs(spark, sf)
+    r = d.select("path", "text", F.lit("x").alias("doc_type"), F.lit("y").alias("provider"), F.lit(None).cast("string").alias("person"), F.date_format("mtime", "yyyy-MM-dd").alias("doc_date"))
+    return writers.sidecar_rows(r, d.where("doc_id % 3 = 0"))
+
+
+@query("with " + SCAN_DOCS + " select path from (select path || case doc_id % 3 when 0 then '' when 1 then '.zip' else '.txt' end as path from scan_docs) where ends_with(path, '.pdf')")
+def supported_files(spark, sf):
+    d = scan_docs(spark, sf).select(F.concat("path", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, ".zip").otherwise(".txt")).alias("path"))
+    return readers.keep_supported(d)
+
+
+@query("select c_mktsegment as path, min(c_custkey) as ord from customer group by 1")
+def distinct_paths(spark, sf):
+    return readers.first_of_each(t(spark, sf, "customer").select(F.col("c_mktsegment").alias("path"), F.col("c_custkey").alias("ord")))
+
+
+@query("select count(*) as files, count(*) filter (doc_id % 3 = 0) as ocr, count(*) filter (doc_id % 3 = 1) as native, count(*) filter (doc_id % 3 = 2) as name_only from documents")
+def session_counts(spark, sf):
+    return writers.session_row(t(spark, sf, "documents").select(F.when(F.col("doc_id") % 3 == 0, "ocr").when(F.col("doc_id") % 3 == 1, "native").otherwise("name").alias("source")))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
