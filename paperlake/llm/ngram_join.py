@@ -145,12 +145,27 @@ def least_linked(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def spanning(linked: np.ndarray, tile: np.ndarray, crossed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect what is linked: a star per component within a tile, and between two tiles one pair for
+    each two of their components that touch (the stars within are found where each tile is looked at alone)."""
+    if not crossed:
+        first = least_linked(linked)
+        other = np.flatnonzero(first != np.arange(len(linked)))
+        return other, first[other]
+    same = tile[:, None] == tile[None, :]
+    label = least_linked(linked & same)
+    i, j = np.nonzero(np.triu(linked & ~same))
+    pairs = np.unique(np.stack([label[i], label[j]]), axis=1)
+    return pairs[0], pairs[1]
+
+
 def alike(members: DataFrame, *, threshold: float) -> DataFrame:
-    """Edges (a, b) that join what seems alike within each tile pair, a star for each local component."""
+    """Edges (a, b) that span what seems alike within each tile pair. Nodes come in order, so that stars of different runs
+    have the same centres and fall together."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, "key"):
-            key, node = rows.column("key").to_numpy(), rows.column("set_id").to_numpy()
+            key, node, tile, crossed = (rows.column(c).to_numpy() for c in ("key", "set_id", "tile", "crossed"))
             sign = rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, T)
             cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
             a, b = [], []
@@ -159,16 +174,17 @@ def alike(members: DataFrame, *, threshold: float) -> DataFrame:
                 near = np.empty((hi - lo, hi - lo), bool)
                 for i in range(0, hi - lo, 64):
                     near[i : i + 64] = (own[i : i + 64, None, :] == own[None, :, :]).mean(axis=2) >= threshold - MARGIN
-                first = least_linked(near)
-                other = np.flatnonzero(first != np.arange(hi - lo))
-                a.append(node[lo:hi][other]), b.append(node[lo:hi][first[other]])
+                i, j = spanning(near, tile[lo:hi], bool(crossed[lo]))
+                a.append(node[lo:hi][i]), b.append(node[lo:hi][j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return members.select("key", "set_id", "sign").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    rows = members.select("key", "set_id", "tile", "crossed", "sign").repartition("key").sortWithinPartitions("key", "set_id")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def verified(texts: DataFrame, *, threshold: float, words: int) -> DataFrame:
-    """set_id, links (documents linked, this tile pair's share) and first (a node that it is linked with, or itself)."""
+    """set_id and links (documents linked, this tile pair's share), one row per member; and rows with an edge (set_id, other)
+    that together span the classes."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, "key"):
@@ -182,16 +198,19 @@ def verified(texts: DataFrame, *, threshold: float, words: int) -> DataFrame:
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 _, once = np.unique(node[lo:hi], return_index=True)  # repeated rows bring a text twice
                 at = lo + np.sort(once)
-                shared = intersections([sets[i] for i in at])
-                sizes = np.array([len(sets[i]) for i in at])
+                shared = intersections([sets[k] for k in at])
+                sizes = np.array([len(sets[k]) for k in at])
                 linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
                 np.fill_diagonal(linked, False)
+                i, j = spanning(linked, tile[at], bool(crossed[lo]))
                 if crossed[lo]:
                     linked &= tile[at][:, None] != tile[at][None, :]
-                out[0].append(node[at]), out[1].append(linked @ copies[at]), out[2].append(node[at][least_linked(linked)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["set_id", "links", "first"])
+                out[0].extend((node[at], node[at][i])), out[1].extend((linked @ copies[at], np.zeros(len(i)))), out[2].extend((np.full(len(at), -1), at[j]))
+            other = np.concatenate(out[2]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x).astype(np.int64)) for x in out[:2]] + [pa.array(node[np.maximum(other, 0)], mask=other < 0)], ["set_id", "links", "other"])
 
-    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(exact, "set_id long, links long, first long")
+    return texts.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(exact, "set_id long, links long, other long")
 
 
 def intersections(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -232,7 +251,7 @@ def join_classes(docs: DataFrame, *, words: int = WORDS, threshold: float = THRE
     texts = texts.join(members.hint("merge"), (texts["doc_id"].cast("long") == members["_id"]) & (F.xxhash64(texts["text"]) == members["_hash"]))
     found = store(verified(tiles(texts.select("set_id", "component", "n", "copies", "text"), "component", "n", limit), threshold=threshold, words=words), "links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
-    classes = components(found.where("first <> set_id").select(F.col("set_id").alias("a"), F.col("first").alias("b")))
+    classes = components(found.where("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b")))
     least = classes.join(nodes, classes["node"] == nodes["set_id"]).groupBy("component").agg(F.min("doc_id").alias("class_id"))
     classes = classes.join(least, "component").select(F.col("node").alias("set_id"), "class_id")
     known = nodes.select("set_id", F.col("doc_id").alias("same_as"), "copies").join(links, "set_id", "left").join(classes, "set_id", "left")
