@@ -356,9 +356,10 @@ def decision_events(spark, sf):
 
 @query("with " + EVENTS_SQL + """, r as (select sha, min(ts) as first_seen_at, count(*) filter (kind = 'proposed') as attempts, arg_max(name, (ts, seq)) filter (kind = 'proposed') as proposed_name, arg_max(doc_type, (ts, seq)) filter (kind = 'proposed') as proposed_doc_type,
  arg_max(name, (ts, seq)) filter (kind = 'approved') as final_name, arg_max(doc_type, (ts, seq)) filter (kind = 'approved') as final_doc_type, max(ts) filter (kind = 'approved') as approved_at, arg_max(kind, (ts, seq)) as last_kind from ev group by sha)
- select *, case when last_kind = 'denied' then 'deny' when final_name is null then 'none' when proposed_name <> final_name and proposed_doc_type <> final_doc_type then 'retype' when proposed_name <> final_name then 'rename' when proposed_doc_type <> final_doc_type then 'redirect' else 'none' end as override_type from r""")
+ select sha, strftime(first_seen_at, '%Y-%m-%d %H:%M:%S') as first_seen_at, attempts, proposed_name, proposed_doc_type, final_name, final_doc_type, strftime(approved_at, '%Y-%m-%d %H:%M:%S') as approved_at, last_kind, case when last_kind = 'denied' then 'deny' when final_name is null then 'none' when proposed_name <> final_name and proposed_doc_type <> final_doc_type then 'retype' when proposed_name <> final_name then 'rename' when proposed_doc_type <> final_doc_type then 'redirect' else 'none' end as override_type from r""")
 def lifecycle_reduction(spark, sf):
-    return lifecycle.reduce_events(decision_events(spark, sf))
+    out = lifecycle.reduce_events(decision_events(spark, sf))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen_at", "approved_at")})
 
 
 @query("with " + EVENTS_SQL + ", p as (select sha, ts, seq from ev where kind = 'proposed') select sha, ts, seq, row_number() over (partition by sha order by ts, seq) as attempt, case when lead(ts) over (partition by sha order by ts, seq) is null then 'pending' else 'denied' end as status from p")
