@@ -60,7 +60,7 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
 
 def tidy_path(path: Column) -> Column:
     """Empty and placeholder folders go; one slash at the end."""
-    out = F.regexp_replace(path, r"/(?:_|Unknown|None)(?=/)", "")
+    out = F.regexp_replace(path, r"/(?:_|Unknown|None)(?=/|$)", "")
     return F.concat(F.rtrim(F.regexp_replace(out, "/{2,}", "/"), F.lit("/")), F.lit("/"))
 
 
