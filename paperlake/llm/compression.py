@@ -29,8 +29,13 @@ def sample_of(docs: DataFrame, keys: DataFrame, label: str, limit: int) -> list[
 
     Texts over MAX_TEXT_BYTES are passed over here: a few of them would fill a dictionary. Scoring takes texts of any length.
     """
+    keys = keys.groupBy("doc_id").agg(F.min(label).alias(label))
+    sizes = keys.groupBy(label).count().collect()  # one row for each label
+    # a hash lets about three times the limit through, so that no task ranks all documents of a label
+    share = F.coalesce(*[F.when(F.col(label) == r[label], F.lit(min(1.0, 3 * limit / r["count"]))) for r in sizes], F.lit(0.0))
+    few = keys.where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) < share * (1 << 30))
     by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = keys.dropDuplicates(["doc_id"]).withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank")
+    chosen = few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank")
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, MAX_TEXT_BYTES))
     # limit ids for each of a few labels: a proven bound for the broadcast and for what comes to the driver
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", label, "text").dropDuplicates(["doc_id"]).collect()
