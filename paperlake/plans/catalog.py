@@ -519,8 +519,11 @@ def session_counts(spark, sf):
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
