@@ -32,7 +32,7 @@ from .shared import store, table
 from .tokens import groups, mix, slices
 
 LENGTH = 200
-REACH, GRAM = 100, 12
+REACH, GRAM = 128, 12
 CONTEXT = LENGTH - REACH
 BASE = np.uint64(0x9E3779B97F4A7C55)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
