@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def reduce_events(events: DataFrame) -> DataFrame:
     """One row per document from its events (sha, ts, seq, kind, name, doc_type): latest proposal and final values,
     attempts, first sight, the override's kind. One aggregation with map-side combine."""
-    at = F.struct("ts", "seq")
+    at = F.struct("ts", "seq", "kind", "name", "doc_type")  # events of one time and number: the greater one counts
     proposed, decided = F.col("kind") == "proposed", F.col("kind") == "approved"
     out = events.groupBy("sha").agg(
         F.min("ts").alias("first_seen_at"), F.count_if(proposed).alias("attempts"),

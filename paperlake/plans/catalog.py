@@ -354,8 +354,8 @@ def decision_events(spark, sf):
     return t(spark, sf, "lineitem").select(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("sha"), F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("seq"), kind.alias("kind"), F.concat("l_returnflag", (F.col("l_suppkey") % 2).cast("string")).alias("name"), F.col("l_linestatus").alias("doc_type"))
 
 
-@query("with " + EVENTS_SQL + """, r as (select sha, min(ts) as first_seen_at, count(*) filter (kind = 'proposed') as attempts, arg_max(name, (ts, seq)) filter (kind = 'proposed') as proposed_name, arg_max(doc_type, (ts, seq)) filter (kind = 'proposed') as proposed_doc_type,
- arg_max(name, (ts, seq)) filter (kind = 'approved') as final_name, arg_max(doc_type, (ts, seq)) filter (kind = 'approved') as final_doc_type, max(ts) filter (kind = 'approved') as approved_at, arg_max(kind, (ts, seq)) as last_kind from ev group by sha)
+@query("with " + EVENTS_SQL + """, r as (select sha, min(ts) as first_seen_at, count(*) filter (kind = 'proposed') as attempts, arg_max(name, (ts, seq, kind, name, doc_type)) filter (kind = 'proposed') as proposed_name, arg_max(doc_type, (ts, seq, kind, name, doc_type)) filter (kind = 'proposed') as proposed_doc_type,
+ arg_max(name, (ts, seq, kind, name, doc_type)) filter (kind = 'approved') as final_name, arg_max(doc_type, (ts, seq, kind, name, doc_type)) filter (kind = 'approved') as final_doc_type, max(ts) filter (kind = 'approved') as approved_at, arg_max(kind, (ts, seq, kind, name, doc_type)) as last_kind from ev group by sha)
  select sha, strftime(first_seen_at, '%Y-%m-%d %H:%M:%S') as first_seen_at, attempts, proposed_name, proposed_doc_type, final_name, final_doc_type, strftime(approved_at, '%Y-%m-%d %H:%M:%S') as approved_at, last_kind, case when last_kind = 'denied' then 'deny' when final_name is null then 'none' when proposed_name <> final_name and proposed_doc_type <> final_doc_type then 'retype' when proposed_name <> final_name then 'rename' when proposed_doc_type <> final_doc_type then 'redirect' else 'none' end as override_type from r""")
 def lifecycle_reduction(spark, sf):
     out = lifecycle.reduce_events(decision_events(spark, sf))
