@@ -9,7 +9,7 @@ from .mixing import op2_temperature_mixing
 from .ngram_join import op8_ngram_jaccard_join
 from .pii import op1_pii_surrogates
 from .quality_rules import op5_quality_rules
-from .repeats import op10_repeated_bytes
+from .repeats import OP10_SQL, op10_repeated_bytes
 from .wrapper_extraction import op4_wrapper_extraction
 
 QUERIES = (
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "op10_repeated_bytes": OP10_SQL}

@@ -242,3 +242,18 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
 
 def op10_repeated_bytes(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP10_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+p as (select doc_id, unnest(generate_series(0, len(hx) // 2 - 200)) as i from d where len(hx) >= 400),
+w as (select p.doc_id, p.i, md5_number(substr(d.hx, 2 * p.i + 1, 400)) as h from p join d using (doc_id)),
+hit as (select w.doc_id, w.i from w join (select h from w group by h having count(*) > 1) as m using (h)),
+g as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as new from hit),
+r as (select doc_id, i, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run from g),
+spans as (select doc_id, min(i) as a, max(i) + 200 as z from r group by doc_id, run),
+parts as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as b from spans),
+k as (select d.doc_id, any_value(d.hx) as hx, count(parts.a) as n_spans, coalesce(sum(parts.z - parts.a), 0) as n_removed, coalesce(max(parts.z), 0) as last_z,
+             coalesce(string_agg(substr(d.hx, 2 * parts.b + 1, 2 * (parts.a - parts.b)), '' order by parts.a), '') as head from d left join parts using (doc_id) group by d.doc_id)
+select doc_id, cast(len(hx) // 2 as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans, sha256(unhex(head || substr(hx, 2 * last_z + 1))) as kept_sha256 from k
+"""
