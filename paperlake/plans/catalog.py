@@ -203,7 +203,6 @@ def typed_blocks(spark, sf):
     """Lines of a page as typed blocks (runs of one kind), the first hundred, in chunks of twenty."""
     lines = t(spark, sf, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n")).alias("i", "line")).withColumn("kind", text.markdown_kind(F.col("line")))
     w = Window.partitionBy("page_id").orderBy("i")
-    run = F.sum(F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("_new", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1))
     lines = lines.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = lines.where("kind <> 'blank'").groupBy("page_id", "run", "kind").agg(F.count("*").alias("lines"))
