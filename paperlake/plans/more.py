@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import select
+from ..operators import proposals, select
 from .catalog import CLASSIFIED, as_of, classified, query
 from .views import AS_OF, FILE_INDEX, LIFECYCLE, SCAN_DOCS, file_index, scan_docs, t
 from .views import lifecycle as life
@@ -180,3 +180,16 @@ def shared_keywords(spark, sf):
     k = t(spark, sf, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
     nxt = k.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return k.join(nxt, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).cast("bigint").alias("shared"))
+
+
+@query("with " + SCAN_DOCS + """ select doc_id, case when contains(lower(text), 'credit limit') then 'BusinessCreditCard' when doc_id % 4 = 1 then 'Tax' end as kind, case when doc_id % 3 = 0 and doc_id % 2 = 1 then 'personal?' end as question,
+ case when contains(lower(text), 'invoice') then case when contains(lower(text), '000001') then 'One' else 'Zero' end else 'Me' end as person from scan_docs""")
+def proposal_branches(spark, sf):
+    """Business kind, open question and patient of every scanned document."""
+    d = scan_docs(spark, sf).withColumn("low", F.concat(F.lower("text"), F.when(F.col("doc_id") % 4 == 1, " internal revenue service").otherwise("")))
+    seen = proposals.patient(F.col("low"), (("One", ("000001",)), ("Zero", ("customer#",))))
+    # "customer#" stands before its number, so the nearest alias is Zero; a text with 000001 is asked for it alone
+    one = proposals.patient(F.col("low"), (("One", ("000001",)),))
+    kind = F.when(F.col("low").contains("invoice"), "bill").otherwise("other")
+    return d.select("doc_id", proposals.business_kind(F.col("low"), F.lit(True)).alias("kind"), proposals.ambiguity(F.col("doc_id") % 3 == 0, F.lit("personal?"), F.when(F.col("doc_id") % 2 == 0, "Acme")).alias("question"),
+                    proposals.prefer_patient(kind, F.coalesce(one, seen), F.lit("Me")).alias("person"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlake.functions import dates, fields, text
-from paperlake.operators import dedup, lifecycle, pages, rules, stats
+from paperlake.operators import dedup, lifecycle, pages, proposals, rules, stats
 from paperlake.plans.views import RULES
 from paperlake.sources import readers, writers
 from paperlake.streaming import inbox
@@ -146,3 +146,12 @@ def test_streams(spark, tmp_path):
 def test_debounce(spark, gap):
     events = spark.createDataFrame([("k", dt.datetime(2020, 1, 1, 0, 0, s)) for s in (0, 3, 7, 20)], "key string, ts timestamp")
     assert sorted(r["arrivals"] for r in inbox.debounced(events, gap=gap).collect()) == ([1, 3] if gap == "5 seconds" else [4])
+
+
+def test_identity(spark):
+    at = lambda m: dt.datetime(2020, 1, 1, 0, m)
+    rows = [(1, "Ann", "passport no", "Scan1", "2015-01-01", "2020-01-01", at(0)), (2, "Ann", "passport no", "Scan2", "2015-01-01", "2020-01-01", at(1)), (3, "Ann", "passport no", "Scan3", "2015-01-01", "2020-01-01", at(2)),
+            (4, "Ann", "", "ssn_back", "1980-01-01", "2020-01-01", at(0)), (5, "Bo", "", "x", None, "2020-01-01", at(0))]
+    scans = spark.createDataFrame(rows, "scan_id long, person string, low string, stem string, doc_date string, scan_date string, ts timestamp")
+    got = {r["scan_id"]: (r["label"], r["day"], r["needs_side"]) for r in proposals.identity_labels(scans).collect()}
+    assert got == {1: ("PassportFront", "2015-01-01", False), 2: ("PassportBack", "2015-01-01", False), 3: ("Passport", "2015-01-01", True), 4: ("SSNBack", "2020-01-01", False), 5: ("IDCardFront", "2020-01-01", False)}
