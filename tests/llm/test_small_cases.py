@@ -250,6 +250,31 @@ def test_pages(spark):
     assert wrapper_extraction.extract(pages).count() == len(rows) and wrapper_extraction.extract(pages.limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in wrapper_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_within_articles(spark):
+    """A notice within the article is template; articles that several pages of a host share are not."""
+    body = lambda i: [f"<p>page {i} says word{i * 7 + k} {'and more ' * k}</p>" for k in range(2 + i % 4)]
+    one = "<p>The same article on all of its pages.</p><p>It has two paragraphs.</p>"
+    notice = "<p>Read us every day, at home too.</p>"
+    rows = []
+    for i in range(8):
+        own = body(i)
+        rows.append((i, "http://a.org/x", f"<nav>n{i}</nav><article><h1>Title {i}</h1>{''.join(own[:-1])}{notice}{own[-1]}</article>"))
+        rows.append((20 + i, "http://b.org/x", f"<p>outside {i}</p><main>{one}</main>"))
+        rows.append((40 + i, "http://c.org/x", f"<p>outside {i}</p><article>{one if i < 3 else ''.join(own)}</article>"))
+        rows.append((60 + i, "http://d.org/x", f"<article>{one}<p>Edited: {i}.</p></article>"))  # near copies
+    got = extracted(spark, rows)
+    plain = re.compile("<p>|</p>")
+    same = "The same article on all of its pages.\nIt has two paragraphs."
+    for i in range(8):
+        own = [" ".join(plain.sub("", x).split()) for x in body(i)]
+        assert got[i] == "\n".join([f"Title {i}", *own])
+        assert got[20 + i] == same and got[40 + i] == (same if i < 3 else "\n".join(own)) and got[60 + i] == f"{same}\nEdited: {i}."
+
+
 def test_compression(spark):
     rng = random.Random(3)
     lexicon = {g: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 9))) for _ in range(200)] for g, a in (("xx", "abcdeilmnort"), ("yy", "abdefghkoszä"))}
