@@ -275,6 +275,26 @@ def test_template_within_articles(spark):
         assert got[20 + i] == same and got[40 + i] == (same if i < 3 else "\n".join(own)) and got[60 + i] == f"{same}\nEdited: {i}."
 
 
+def test_pages_without_article_keep_all_slots(spark):
+    """Headline and intro beside a large body stay; constant blocks go, however late on a flat page or deep on a nested one."""
+    rows, want = [], {}
+    for i in range(5):
+        body = " ".join(f"word{i}x{k}" for k in range(80))
+        rows.append((i, "http://a.org/x", f"<div id=post><h1>Title {i}</h1><p>Intro {i}</p><div class=body><p>{body}</p></div></div><div class=x>Fixed words</div>"))
+        want[i] = f"Title {i}\nIntro {i}\n{body}"
+        flat = [(f"<h2>Part {i} {k}</h2>", f"<p>Text {i} {k}</p>") for k in range(60 + i)]
+        rows.append((10 + i, "http://b.org/x", "".join(a + b + ("<p>In every page</p>" if k == 40 + 2 * i else "") for k, (a, b) in enumerate(flat)) + "<h3>The end</h3><p>of the site</p>"))
+        want[10 + i] = "\n".join(f"Part {i} {k}\nText {i} {k}" for k in range(60 + i))
+        rows.append((20 + i, "http://c.org/x", "<div>" * 300 + f"<p>Deep {i}</p><p>Fixed</p>" + "</div>" * 300))
+        want[20 + i] = f"Deep {i}"
+    rows.append((30, "http://d.org/x", f"<div id=post><h1>Title</h1><p>Intro</p><div class=body><p>{'long ' * 90}</p></div></div>"))
+    want[30] = f"Title\nIntro\n{('long ' * 90).strip()}"
+    # a text that the first page lacks
+    rows += [(40 + i, "http://e.org/x", f"<div><p>Own {i}</p>{'<p>Most pages have this</p>' if i else ''}<p>tail {i}</p></div>") for i in range(12)]
+    want |= {40 + i: f"Own {i}\ntail {i}" for i in range(12)}
+    assert extracted(spark, rows) == want
+
+
 def test_compression(spark):
     rng = random.Random(3)
     lexicon = {g: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 9))) for _ in range(200)] for g, a in (("xx", "abcdeilmnort"), ("yy", "abdefghkoszä"))}
