@@ -23,6 +23,8 @@ GROW_AFTER, MAX_DRAWS = 8, 48
 
 MALE, FEMALE, NEUTRAL = ("mr", "herr", "monsieur", "señor", "sr", "г-н"), ("mrs", "ms", "miss", "frau", "madame", "mme", "señora", "sra", "г-жа"), ("dr", "prof")
 TITLES = "|".join(sorted({t.capitalize() for t in (*MALE, *FEMALE, *NEUTRAL)} | {"г-н", "г-жа"}, key=lambda t: (-len(t), t)))
+#: Words before credentials, in any case.
+PASSWORDS, TOKENS = ("password", "passwd", "pwd"), ("token", "secret", "api_key", "apikey", "access_key")
 NAMES = {
     ("latin", "male"): ("Adrian", "Bruno", "Casper", "Dario", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Leon", "Milan", "Nico", "Oscar", "Pablo", "Ruben"),
     ("latin", "female"): ("Alma", "Bianca", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irma", "Julia", "Laura", "Marta", "Nora", "Olivia", "Paula", "Rosa"),
@@ -43,22 +45,23 @@ ENTITIES = {
     "phone": (r"(?<![\w])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", r"^\+?[\d(][\d ().-]+$"),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"),
     "key": (r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)", r"^A[KS]IA[A-Z0-9]{16}$"),
-    "password": (r"(?<=\b(?:password|passwd|pwd)[=:]\s?)[^\s\"',;]{4,}", None),
-    "token": (r"(?<=\b(?:token|secret|api_key|apikey|access_key)\s?[=:]\s?[\"'])[A-Za-z0-9+/_=-]{16,}", None),
+    "password": (rf"(?<=\b(?i:{'|'.join(PASSWORDS)})[=:]\s?)[^\s\"',;]{{4,}}", None),
+    "token": (rf"(?<=\b(?i:{'|'.join(TOKENS)})\s?[=:]\s?[\"'])[A-Za-z0-9+/_=-]{{16,}}", None),
     "name": (rf"(?<!\w)(?:{TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?", rf"^(?:{TITLES})\.? \p{{Lu}}"),
 }
 PATTERN = "|".join(f"(?:{p})" for p, _ in ENTITIES.values())
 
 
-#: A text without any of these has no entity; looking for them is much cheaper than the pattern.
-SIGNS = (*(t.capitalize() for t in (*MALE, *FEMALE, *NEUTRAL) if t.isascii() or t.startswith("señ")), "г-н", "г-жа", "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key")
+#: A text without a digit, an @, a title or a word before credentials has no entity; looking for them is much cheaper than the pattern.
+TITLE_SIGNS, WORD_SIGNS = tuple(TITLES.split("|")), (*PASSWORDS, *TOKENS)
 
 
 def has_entity(text: Column) -> Column:
     """Whether a text has an entity; false for null."""
     sign = text.rlike("[0-9@]")
-    for word in SIGNS:
+    for word in TITLE_SIGNS:
         sign = sign | text.contains(word)
+    sign = sign | text.rlike(f"(?i:{'|'.join(WORD_SIGNS)})")
     return F.coalesce(sign & text.rlike(PATTERN), F.lit(False))
 
 

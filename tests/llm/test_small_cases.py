@@ -181,6 +181,19 @@ def test_surrogates(spark):
     assert pii.pseudonymise(frame(spark, [])).count() == 0
 
 
+def test_surrogates_in_any_case(spark):
+    """Credentials after words in capitals, and capitalised titles in texts without another sign."""
+    secret = "9233A8EC" * 5
+    rows = [(i, f'{w}{{}}= "{secret}"'.format(gap)) for i, (w, gap) in enumerate([("TOKEN", " "), ("Secret", ""), ("API_KEY", " "), ("Access_Key", ""), ("token", " ")])]
+    rows += [(10, "PASSWORD=Hunter"), (11, "Pwd: hunterhunter"), (12, 'SECRET="abcdefghijklmnopqrst"')]
+    rows += [(20 + i, f"{t} {'Иванов' if t[0] in 'гГ' else 'Korn'}") for i, t in enumerate(pii.TITLES.split("|"))]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i]["n_entities"] == 1 and got[i]["text"] != t, t
+        assert not re.search("9233A8EC|[Hh]unter|abcdefghijklmnopqrst|Иванов|Korn", got[i]["text"]), t
+    assert "Г-н" in pii.TITLES and re.fullmatch(r'TOKEN = "[0-9A-Z]{40}"', got[0]["text"])
+
+
 def test_mixing(spark):
     rows = [(i, "tok " * (1 + i % 40), "x", None if i % 50 == 0 else "big" if i % 3 else f"s{i % 4}", 0, 0, "x") for i in range(1, 600)] + [(1000, None, "x", "void", 0, 0, "x")]
     docs = spark.createDataFrame(rows, DOCS)
