@@ -1,12 +1,12 @@
 """Licence scan by a positional rare-token index (native DataFrame operators only).
 
 Templates are short licence notices. Their rare words (words in few templates) have postings (template, position). A file
-looks up the postings of its own highest-IDF licence words, IDF taken over all files; postings that agree on the offset
+looks up the postings of all its licence words, which weigh by their IDF over all files; postings that agree on the offset
 file position - template position are one alignment; an alignment counts if it covers enough of the template's IDF mass and
 the template's mandatory phrase stands where the alignment says, give or take SLACK words.
 
-Defined results: null and empty texts have no words, no places and no labels; repeated rows are scanned one by one; ties
-among words of one IDF go by the word. Words are compared after lower-casing A-Z only.
+Defined results: null and empty texts have no words, no places and no labels; repeated rows are scanned one by one.
+Words are compared after lower-casing A-Z only.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def places(words: Column, hits: Column, phrase: str) -> Column:
     return F.transform(F.filter(hits, stands), lambda h: h["pos"])
 
 
-def scan(docs: DataFrame, *, templates=TEMPLATES, top_words: int = 12, min_coverage: float = 0.3) -> DataFrame:
+def scan(docs: DataFrame, *, templates=TEMPLATES, min_coverage: float = 0.3) -> DataFrame:
     """One row per row of docs (doc_id, text): counts, labels and score. See the module for the method."""
     vocabulary = sorted(rare_words(templates))
     phrases = sorted({*BASE_PHRASES, *(t[1] for t in templates)})
@@ -94,14 +94,9 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, top_words: int = 12, min_cover
     postings = [(k, w, p, idf[w]) for k, (_, _, text) in enumerate(templates) for p, w in enumerate(text.split()) if w in idf]
     masses = [sum(x[3] for x in postings if x[0] == k) for k in range(len(templates))]
 
-    # the file's own highest-IDF licence words, looked up in the postings; one row per (file, template, offset) is left
-    weight = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    terms = F.array_distinct(F.transform("hits", lambda h: h["term"]))
-    ranked = F.sort_array(F.transform(terms, lambda w: F.struct((-weight[w]).alias("r"), w.alias("w"))))
-    top = F.transform(F.slice(ranked, 1, top_words), lambda s: s["w"])
+    # every licence word of a file is looked up in the postings; one row per (file, template, offset) is left
     files = held.where(F.size("hits") > 0).select("doc_id", "text_hash", "hits", "places").dropDuplicates(["doc_id", "text_hash"])
-    looked = files.select("doc_id", "text_hash", "hits", top.alias("top")).select(
-        "doc_id", "text_hash", F.explode(F.filter("hits", lambda h: F.array_contains("top", h["term"]))).alias("h"))
+    looked = files.select("doc_id", "text_hash", F.explode("hits").alias("h"))
     spark = docs.sparkSession
     index = spark.createDataFrame(postings, "template int, term string, tpos int, idf double")
     aligned = (

@@ -248,6 +248,14 @@ def test_licences(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_licences_of_a_file_with_many(spark):
+    """The commonest licence words of the corpus count too, however many rarer ones a file has."""
+    notices = ". ".join(text for _, _, text in license_scan.TEMPLATES)
+    rows = [(i, "apache gnu general public license version cc mit lesser affero isc mozilla") for i in range(1, 40)] + [(0, f"Third-party notices. {notices}.")]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {label for label, _, _ in license_scan.TEMPLATES} <= set(got[0].split(",")) and got[1] == "gpl"
+
+
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <div id="w"><h1>{0} &amp; co</h1><p>First  {0}<br>line<p>second <i>it</i>em {0}<ul><li>one {0}<li>two</ul></div><div class="comments"><p>me too</p></div><div class=x>Fixed words of the site</div><footer>(c)</footer></body></html>"""
 
