@@ -46,7 +46,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[
     h, at = hash_words(data, offsets)
     with np.errstate(over="ignore"):
         run = h.copy()
-        for k in range(1, words):
+        for k in range(1, min(words, len(h))):
             run[: len(h) - k] = mix(run[: len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):

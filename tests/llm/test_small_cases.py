@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from paperlake.llm import compression, decontamination, license_scan, mixing, ngram_join, pii, quality_rules, repeats, tokens, wrapper_extraction
@@ -117,6 +118,12 @@ def shingle_set(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+@pytest.mark.parametrize("text", ["", "one", "one two", "one two three", "one two three four", "one two three four five"])
+def test_shingles_of_a_single_text(text):
+    of = lambda texts: [s.tolist() for _, _, data, offsets in tokens.slices(pa.array(texts)) for s in ngram_join.shingles(data, offsets)]
+    assert of([text]) == of([text, "a longer text of more than five words"])[:1]
+
+
 @pytest.mark.parametrize("limit", [500, 4])
 def test_near_copies(spark, corpus, limit):
     docs = frame(spark, corpus)
