@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 TIERS = ("exact", "name", "text", "metadata")
 FIELDS = ("provider", "person", "doc_type")
+#: What is compared; the provider comes first.
+COMPARED = ("provider", "description", "date", "person", "doc_type")
 
 
 def exact(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -27,27 +29,47 @@ def _hits(docs, index, on, tier, score):
 
 
 def metadata_overlap(docs: DataFrame, index: DataFrame, *, least: float = 0.95) -> DataFrame:
-    """Equal or containing metadata. Candidates share every key that the new document has: documents are split by which
-    keys are present, so that each part is an equi-join."""
+    """Equal or containing metadata over COMPARED, blanks and case aside; a column that a side lacks is empty there.
+
+    Candidates share every key of FIELDS that the new document has: documents are split by which keys are present, so that
+    each part is an equi-join. Indexed rows without a provider are candidates of every document, and all rows are those of a
+    document without a key; as a score over 0.5 needs an equal field, these are joined field by field.
+    """
+    if least <= 0.5:
+        raise ValueError("least must be over 0.5")
+    docs, index = (f.select("doc_id", "path", *[(F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) if c in f.columns else F.lit("")).alias(c) for c in COMPARED]) for f in (docs, index))
+    total, same = F.lit(0.0), F.lit(0.0)
+    for f in COMPARED:
+        a, b = F.col(f"d.{f}"), F.col(f"i.{f}")
+        both = (a != "") & (b != "")
+        total = total + F.when(both, 1.0).otherwise(0.0)
+        same = same + F.when(both & (a == b), 1.0).when(both & (a.contains(b) | b.contains(a)), 0.5).otherwise(0.0)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("d.path <> i.path").select(F.col("d.doc_id").alias("doc_id"), F.col("i.path").alias("path"), F.lit(3).alias("tier"), F.when(total > 0, same / total).alias("score"))
+        return pairs.where(F.col("score") >= least)
+
     parts = None
     for mask in range(1, 8):
         keys = [f for k, f in enumerate(FIELDS) if mask >> k & 1]
-        have = [(F.col(f"d.{f}") != "") if f in keys else (F.col(f"d.{f}") == "") for f in FIELDS]
-        d = docs.alias("d").where(F.expr("true"))
-        on = None
+        d, on = docs.alias("d"), None
+        for f in FIELDS:
+            d = d.where((F.col(f"d.{f}") != "") if f in keys else (F.col(f"d.{f}") == ""))
         for f in keys:
             c = F.col(f"d.{f}") == F.col(f"i.{f}")
             on = c if on is None else on & c
-        for h in have:
-            d = d.where(h)
-        total, same = F.lit(0.0), F.lit(0.0)
-        for f in FIELDS:
-            a, b = F.col(f"d.{f}"), F.col(f"i.{f}")
-            both = (a != "") & (b != "")
-            total = total + F.when(both, 1.0).otherwise(0.0)
-            same = same + F.when(both & (a == b), 1.0).when(both & (a.contains(b) | b.contains(a)), 0.5).otherwise(0.0)
-        part = d.join(index.alias("i"), on).where("d.path <> i.path").select(F.col("d.doc_id").alias("doc_id"), F.col("i.path").alias("path"), F.lit(3).alias("tier"), (same / total).alias("score")).where(F.col("score") >= least)
+        part = scored(d.join(index.alias("i"), on))
         parts = part if parts is None else parts.unionByName(part)
+    keyless, narrowed = F.lit(True), F.lit(True)
+    for f in FIELDS:
+        keyless = keyless & (F.col(f"d.{f}") == "")
+        narrowed = narrowed & ((F.col(f"d.{f}") == "") | (F.col(f"d.{f}") == F.col(f"i.{f}")))
+    rest = keyless | ((F.col("i.provider") == "") & ~narrowed)
+    earlier = F.lit(False)  # a pair is taken at its first equal field
+    for f in COMPARED[1:]:
+        equal = (F.col(f"d.{f}") != "") & (F.col(f"d.{f}") == F.col(f"i.{f}"))
+        parts = parts.unionByName(scored(docs.alias("d").join(index.alias("i"), F.col(f"d.{f}") == F.col(f"i.{f}")).where(equal & rest & ~earlier)))
+        earlier = earlier | equal
     return parts
 
 

@@ -157,6 +157,17 @@ def nested_history(spark, sf):
     return out.select(F.sha2(F.col("sha").cast("string"), 256).alias("sha256"), F.coalesce(F.nullif(F.size("attempts"), F.lit(-1)), F.lit(1)).cast("bigint").alias("attempts"), numbers.alias("numbers"))
 
 
+@query("select sha256(cast(o_orderkey as varchar)) as sha256, len(list(l_linenumber)) as attempts, string_agg(cast(l_linenumber as varchar), ',' order by l_linenumber) as numbers from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey")
+def nested_history_of_all(spark, sf):
+    from ..operators.lifecycle import history
+
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"))
+    li = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_linenumber").alias("attempt"), F.lit("n").alias("name"), F.lit("s").alias("status"))
+    out = history(o, li)
+    numbers = F.nullif(F.array_join(F.transform("attempts", lambda a: a["attempt"].cast("string")), ","), F.lit(""))
+    return out.select(F.sha2(F.col("sha").cast("string"), 256).alias("sha256"), F.coalesce(F.nullif(F.size("attempts"), F.lit(-1)), F.lit(1)).cast("bigint").alias("attempts"), numbers.alias("numbers"))
+
+
 @query("select o_custkey as path, max(o_orderkey) as result_id from orders group by 1")
 def newest_result_per_path(spark, sf):
     return t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.max("o_orderkey").alias("result_id"))

@@ -155,3 +155,13 @@ def test_identity(spark):
     scans = spark.createDataFrame(rows, "scan_id long, person string, low string, stem string, doc_date string, scan_date string, ts timestamp")
     got = {r["scan_id"]: (r["label"], r["day"], r["needs_side"]) for r in proposals.identity_labels(scans).collect()}
     assert got == {1: ("PassportFront", "2015-01-01", False), 2: ("PassportBack", "2015-01-01", False), 3: ("Passport", "2015-01-01", True), 4: ("SSNBack", "2020-01-01", False), 5: ("IDCardFront", "2020-01-01", False)}
+
+
+def test_metadata_of_five_fields(spark):
+    from paperlake.operators import dedup
+
+    schema = "doc_id long, path string, provider string, person string, doc_type string, date string, description string"
+    docs = spark.createDataFrame([(1, "n1", "Acme", "Ann", "bill", "2024-01-01", "x"), (2, "n2", "", "", "", "2024-02-02", "scan"), (3, "n3", "acme ", "Ann", "bill", None, "")], schema)
+    index = spark.createDataFrame([(10, "same", "Acme", "Ann", "bill", "2024-01-01", "x"), (11, "other day", "Acme", "Ann", "bill", "2024-03-03", "x"), (12, "blank", "", "", "bill", "2024-01-01", "X"), (13, "dated", "Beta", "Bo", "note", "2024-02-02", "scan"), (14, "empty", "", None, "", "", "")], schema)
+    got = sorted((r["doc_id"], r["path"], r["score"]) for r in dedup.metadata_overlap(docs, index).collect())
+    assert got == [(1, "blank", 1.0), (1, "same", 1.0), (2, "dated", 1.0), (3, "blank", 1.0), (3, "other day", 1.0), (3, "same", 1.0)]
