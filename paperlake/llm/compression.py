@@ -2,41 +2,59 @@
 
 A dictionary is raw training text; text compresses better behind a dictionary that resembles it. Dictionaries are built on
 the driver from a bounded sample of labelled texts (MAX_* below), as are the calibrations; scoring runs over Arrow batches
-on the executors, each text compressed whole, one text at a time.
+on the executors, over whole texts, one text at a time.
+
+Quality: the text is compressed in pieces of PIECE bytes, each behind the dictionary of good and behind that of bad text, so
+that a long text does not become its own dictionary. The score is a logistic function of one number: the difference of the
+two sizes, summed over all pieces, over the text's length. Language: the smallest size of the whole text wins.
+
+Defined results: null and empty texts score as a text of no bytes (difference 0), and have language `und`; without labels of
+both kinds every text scores the share of good ones; without labelled languages every text is `und`; rows with a null id are
+scored, are not held out and never train; repeated rows are scored one by one, and an id with several labels trains once,
+with its least label; of repeated rows of one id one text trains; empty tables give no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
 
 #: Labelled texts that reach the driver for each class, and bytes of a dictionary, at most: the bounds of the fitted sample.
-MAX_TEXTS, MAX_TEXT_BYTES, DICTIONARY_BYTES, LANGUAGE_DICTIONARY_BYTES = 600, 20_000, 112 * 1024, 400 * 1024
+MAX_TEXTS, MAX_TEXT_CHARS, DICTIONARY_BYTES = 600, 20_000, 400 * 1024
 LEVEL = 3
+#: Bytes that are compressed at once for quality.
+PIECE = 96
+
+
+def excerpt(text: Column, most: int = MAX_TEXT_CHARS, parts: int = 20) -> Column:
+    """A text to train from: the whole text, or if that is long equal parts from all over it."""
+    size, n = F.length(text), most // parts
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substring(text, (k * (size - n) / (parts - 1)).cast("int") + 1, F.lit(n))), "\n")
+    return F.when(size <= most, text).otherwise(spread)
 
 
 def sample_of(docs: DataFrame, keys: DataFrame, label: str, limit: int) -> list[tuple]:
     """(label, text) of at most limit documents for each label, taken by a hash of their id. keys: doc_id and label.
 
-    Texts over MAX_TEXT_BYTES are passed over here: a few of them would fill a dictionary. Scoring takes texts of any length.
+    Of a long text parts are taken (see excerpt), as a few of them would fill a dictionary. Scoring takes whole texts.
     """
-    keys = keys.groupBy("doc_id").agg(F.min(label).alias(label))
+    keys = keys.where("doc_id is not null").groupBy("doc_id").agg(F.min(label).alias(label))
     sizes = keys.groupBy(label).count().collect()  # one row for each label
     # a hash lets about three times the limit through, so that no task ranks all documents of a label
     share = F.coalesce(*[F.when(F.col(label) == r[label], F.lit(min(1.0, 3 * limit / r["count"]))) for r in sizes], F.lit(0.0))
     few = keys.where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) < share * (1 << 30))
     by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
     chosen = few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank")
-    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, MAX_TEXT_BYTES))
+    texts = docs.select("doc_id", excerpt(F.col("text").cast("string")).alias("text")).where("text <> ''")
     # limit ids for each of a few labels: a proven bound for the broadcast and for what comes to the driver
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", label, "text").dropDuplicates(["doc_id"]).collect()
     return [(r[label], r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
@@ -71,7 +89,6 @@ class Sizer:
             held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=level)
             self.by.append(self._plain(level, held))
-        self.plain = self._plain(level)
 
     @staticmethod
     def _plain(level, held=None):
@@ -83,14 +100,13 @@ class Sizer:
 
 
 def quality_features(sizer: Sizer, text: str) -> list[float]:
-    """1, the normalised difference bad - good, how far the text compresses at all, and both together."""
+    """1, and the difference bad - good of the compressed sizes of all pieces over the length of the whole text."""
     data = text.encode()
-    good, bad = sizer.sizes(data)
-    n = len(data) + 16
-    difference, rate = (bad - good) / n, (good + 8) / n
-    alone = (len(sizer.plain.compress(data)) + 8) / n
-    length = math.log(n) - 7
-    return [1.0, 10 * difference, 4 * rate, 4 * alone, 10 * difference * rate, 4 * math.log1p(1 / (alone + 0.02)) - 4, length, length * alone, 10 * length * difference, length * length / 4]
+    good = bad = 0
+    for at in range(0, len(data), PIECE):
+        g, b = sizer.sizes(data[at : at + PIECE])
+        good, bad = good + g, bad + b
+    return [1.0, 20 * (bad - good) / (len(data) + 16)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
@@ -141,7 +157,7 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
 
 
@@ -150,8 +166,8 @@ NOT_LETTER = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalpha()
 
 
 def letters_of(text: str) -> bytes:
-    """The whole text as lower-case words with single spaces; ASCII marks and digits, and a word's immediate repeats, left out."""
-    return b" ".join(w for w, _ in groupby(text.lower().encode().translate(NOT_LETTER).split()))
+    """The whole text as lower-case words with single spaces; ASCII marks and digits are left out."""
+    return b" ".join(text.lower().encode().translate(NOT_LETTER).split())
 
 
 def language_dictionaries(rows: list[tuple], langs: list[str]) -> list[bytes]:
@@ -160,12 +176,12 @@ def language_dictionaries(rows: list[tuple], langs: list[str]) -> list[bytes]:
     Documents quote passages of other languages; such a line would claim every text that quotes it too.
     """
     own = unshared({g: [[letters_of(x) for x in t.split("\n")] for label, t in rows if label == g] for g in langs})
-    first = [Sizer([dictionary([b"\n".join(d) for d in own[g][half::2]], LANGUAGE_DICTIONARY_BYTES) for g in langs]) for half in (0, 1)]
+    first = [Sizer([dictionary([b"\n".join(d) for d in own[g][half::2]]) for g in langs]) for half in (0, 1)]
     lines: dict[str, list[bytes]] = {g: [] for g in langs}
     for k, g in enumerate(langs):
         for i, document in enumerate(own[g]):
             lines[g] += [x for x in document if x and (len(x) < 20 or int(np.argmin(first[1 - i % 2].sizes(x))) == k)]
-    return [dictionary(list(dict.fromkeys(lines[g])), LANGUAGE_DICTIONARY_BYTES) for g in langs]
+    return [dictionary(list(dict.fromkeys(lines[g]))) for g in langs]
 
 
 def learn_languages(docs: DataFrame, *, limit: int = MAX_TEXTS) -> dict:
@@ -207,4 +223,4 @@ def identify(docs: DataFrame, model: dict, *, margin: float = 0.01) -> DataFrame
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn_languages(docs)).select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score", "rejected")
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
