@@ -61,7 +61,7 @@ def test_language_is_the_smallest_size(spark):
 def test_long_texts_train_too(spark):
     """A class of long texts only is learned, from parts all over them."""
     rng = random.Random(2)
-    words = {0: [f"w{k}" for k in range(50)], 1: [f"q{k}" for k in range(50)]}
+    words = {k: ["".join(rng.choice(a) for _ in range(6)) for _ in range(150)] for k, a in enumerate(("abcdefgh", "klmnopqr"))}
     rows = [(i, make(rng, words[i % 2], 12_000 if i % 2 else 60), "lo" if i % 2 else "sh", "s", 1.0, "x") for i in range(40)]
     docs = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
