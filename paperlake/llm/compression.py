@@ -4,9 +4,9 @@ A dictionary is raw training text; text compresses better behind a dictionary th
 the driver from a bounded sample of labelled texts (MAX_* below), as are the calibrations; scoring runs over Arrow batches
 on the executors, over whole texts, one text at a time.
 
-Quality: the text is compressed in pieces of PIECE bytes, each behind the dictionary of good and behind that of bad text, so
-that a long text does not become its own dictionary. The score is a logistic function of one number: the difference of the
-two sizes, summed over all pieces, over the text's length. Language: the smallest size of the whole text wins.
+A text is compressed in pieces, each behind every dictionary, so that a long text does not become its own dictionary; the
+sizes of all pieces are summed up. Quality: the score is a logistic function of one number, the difference of the sizes
+behind bad and good text over the text's length. Language: the smallest size wins.
 
 Defined results: null and empty texts score as a text of no bytes (difference 0), and have language `und`; without labels of
 both kinds every text scores the share of good ones; without labelled languages every text is `und`; rows with a null id are
@@ -31,8 +31,8 @@ from .shared import table
 #: Labelled texts that reach the driver for each class, and bytes of a dictionary, at most: the bounds of the fitted sample.
 MAX_TEXTS, MAX_TEXT_CHARS, DICTIONARY_BYTES = 600, 20_000, 400 * 1024
 LEVEL = 3
-#: Bytes that are compressed at once for quality.
-PIECE = 96
+#: Bytes that are compressed at once for quality and for language.
+PIECE, LANGUAGE_PIECE = 96, 2048
 
 
 def excerpt(text: Column, most: int = MAX_TEXT_CHARS, parts: int = 20) -> Column:
@@ -95,17 +95,16 @@ class Sizer:
         more = {"dict_data": held} if held else {}
         return zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False, write_dict_id=False, **more)
 
-    def sizes(self, data: bytes) -> list[int]:
-        return [len(c.compress(data)) for c in self.by]
+    def sizes(self, data: bytes, piece: int) -> np.ndarray:
+        """Behind each dictionary the sizes of all pieces of data, summed up."""
+        pieces = [data[at : at + piece] for at in range(0, len(data), piece)]
+        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.by], float)
 
 
 def quality_features(sizer: Sizer, text: str) -> list[float]:
     """1, and the difference bad - good of the compressed sizes of all pieces over the length of the whole text."""
     data = text.encode()
-    good = bad = 0
-    for at in range(0, len(data), PIECE):
-        g, b = sizer.sizes(data[at : at + PIECE])
-        good, bad = good + g, bad + b
+    good, bad = sizer.sizes(data, PIECE)
     return [1.0, 20 * (bad - good) / (len(data) + 16)]
 
 
@@ -180,7 +179,7 @@ def language_dictionaries(rows: list[tuple], langs: list[str]) -> list[bytes]:
     lines: dict[str, list[bytes]] = {g: [] for g in langs}
     for k, g in enumerate(langs):
         for i, document in enumerate(own[g]):
-            lines[g] += [x for x in document if x and (len(x) < 20 or int(np.argmin(first[1 - i % 2].sizes(x))) == k)]
+            lines[g] += [x for x in document if x and (len(x) < 20 or int(np.argmin(first[1 - i % 2].sizes(x, LANGUAGE_PIECE))) == k)]
     return [dictionary(list(dict.fromkeys(lines[g]))) for g in langs]
 
 
@@ -208,7 +207,7 @@ def identify(docs: DataFrame, model: dict, *, margin: float = 0.01) -> DataFrame
                 if not t or not langs or not any(map(str.isalpha, t)):
                     pred.append("und"), score.append(0.0), reject.append(True)
                     continue
-                sizes = np.array(sizer.sizes(letters_of(t)), dtype=float)
+                sizes = sizer.sizes(letters_of(t), LANGUAGE_PIECE)
                 order = np.argsort(sizes, kind="stable")
                 p = np.exp(-(sizes - sizes[order[0]]) / (2 + 0.02 * sizes[order[0]]))
                 pred.append(langs[order[0]])
