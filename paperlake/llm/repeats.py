@@ -7,15 +7,22 @@ REACH + 199 bytes) is one entry of the parse.
 
 Dictionary: entries with equal bytes are one dictionary phrase with a count. Only phrases whose trigger context (the
 CONTEXT bytes from the trigger, which every string of the phrase holds) occurs again stay; in highly repetitive text the
-dictionary is much smaller than the text. A phrase that occurs twice repeats as a whole. Phrases that occur once are put in
-order with the others of their trigger context by the suffixes that start in them, as in the suffix array of dictionary and
-parse: suffixes that agree over 200 bytes stand together, and are found by equal hashes of these bytes.
+dictionary is much smaller than the text. A phrase that occurs twice repeats as a whole.
 
-Text leaves its document only where a phrase is unique but its trigger context is not. Equality is judged by 64-bit
-polynomial hashes, mixed, of the strings within equal trigger contexts.
+Corpus order: a string is what its phrase has before the trigger, followed by the parse from the trigger on. The dictionary's
+suffix array orders phrases by their bytes before the trigger, read from it, so that one order serves the suffixes of every
+length; the parse's suffix array orders what follows the trigger; both keep the longest common prefix of neighbours. A
+string's place in the corpus is the rank of its phrase suffix, then the rank of its parse suffix, and strings that share both
+ranks over 200 bytes are equal. This takes place within trigger contexts (equal strings have equal ones), so the first bytes
+of the order deal it out over tasks. A context of many phrases is dealt out in parts of PART; each part has its own arrays,
+and the distinct strings of the parts, ranked in each, are merged by their bytes' hash over all tasks.
+
+Text leaves its document only where a phrase is unique but its trigger context is not. Equality of phrases, of contexts and
+of strings of several parts is judged by 64-bit polynomial hashes, mixed; within a part bytes are compared.
 
 Defined results: null and empty texts have no bytes; texts under 200 bytes keep all; exact copies of a text of 200 bytes or
-more lose all of it, each copy; repeated rows are copies.
+more lose all of it, each copy; repeated rows are copies; a null id is an id; empty tables give no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -36,8 +43,8 @@ REACH, GRAM = 100, 12
 CONTEXT = LENGTH - REACH
 BASE = np.uint64(0x9E3779B97F4A7C55)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Phrases of one trigger context that a task takes at once; larger groups are counted string by string, spread over tasks.
-LARGE = 20_000
+#: Phrases of one part of a trigger context, about; phrases whose suffixes a task sorts at once, about.
+PART, AT_ONCE = 1000, 2000
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -111,35 +118,54 @@ def phrases(docs: DataFrame) -> DataFrame:
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of one occurrence of each wanted phrase, with its context, phrase, off, span and n."""
+    """The bytes of one occurrence of each wanted phrase, with its context, phrase, off, span and the context's parts."""
     by = wanted.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.text_id").alias("_text")).agg(
         F.collect_list("context").alias("context"), F.collect_list("phrase").alias("phrase"), F.collect_list("at.lo").alias("lo"),
-        F.collect_list("at.off").alias("off"), F.collect_list("at.span").alias("span"), F.collect_list("n").alias("n"))
+        F.collect_list("at.off").alias("off"), F.collect_list("at.span").alias("span"), F.collect_list("parts").alias("parts"))
     held = docs.join(by.hint("merge"), docs["doc_id"].eqNullSafe(by["_doc"]) & (docs["text_id"] == by["_text"])).drop("_doc", "_text", "doc_id", "text_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
                 data = b.column("text")[i].as_py().encode()
-                c = {k: b.column(k)[i].values for k in ("context", "phrase", "lo", "off", "span", "n")}
+                c = {k: b.column(k)[i].values for k in ("context", "phrase", "lo", "off", "span", "parts")}
                 bytes_ = [data[lo : lo + span + LENGTH - 1] for lo, span in zip(c["lo"].to_pylist(), c["span"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([c["context"], c["phrase"], c["off"], c["span"], c["n"], pa.array(bytes_, pa.binary())], ["context", "phrase", "off", "span", "n", "bytes"])
-
-    return held.mapInArrow(cut, "context long, phrase long, off short, span short, n long, bytes binary")
-
-
-def string_hashes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all strings that start in these phrases: the row, the start in it, the hash (with the trigger context)."""
-    span = rows.column("span").to_numpy().astype(np.int64)
-    context = rows.column("context").to_numpy().view(np.uint64)
-    data = rows.column("bytes").combine_chunks()
-    at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-    roll = Rolling(np.frombuffer(data.buffers()[2], np.uint8)[at[0] : at[-1]])
-    at = at - at[0]
+                yield pa.RecordBatch.from_arrays([c["context"], c["phrase"], c["off"], c["span"], c["parts"], pa.array(bytes_, pa.binary())], ["context", "phrase", "off", "span", "parts", "bytes"])
+
+    return held.mapInArrow(cut, "context long, phrase long, off short, span short, parts long, bytes binary")
+
+
+def suffix_classes(group: np.ndarray, suffixes: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """From the suffix array of rows of bytes: for each row and depth a number that rows of one group share exactly if their
+    first `depth` bytes are equal."""
+    head = group.astype(">u4").view(np.uint8).reshape(-1, 4)
+    keys = np.ascontiguousarray(np.concatenate([head, suffixes], axis=1))
+    order = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
+    differ = keys[order[1:]] != keys[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), keys.shape[1]) - 4  # with the neighbour before
+    new = np.concatenate([np.ones((1, len(depths)), bool), common[:, None] < depths[None, :]])
+    out = np.empty(new.shape, np.int64)
+    out[order] = np.cumsum(new, axis=0)
+    return out
+
+
+def corpus_order(group: np.ndarray, off: np.ndarray, span: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all strings that start in these phrases: the row, the start in it, and the place of the string in corpus order,
+    which equal strings of one group share. at: where the phrases' bytes begin in data."""
+    reach, own = np.arange(REACH - 1), off.astype(np.int64)
+    trigger = at[:-1] + own
+    before = np.where(reach < own[:, None], data[np.maximum(trigger[:, None] - 1 - reach, 0)], 0).astype(np.uint8)
+    length = at[1:] - trigger
+    reach = np.arange(LENGTH)
+    after = np.where(reach < length[:, None], data[np.minimum(trigger[:, None] + reach, len(data) - 1)], 0).astype(np.uint8)
+    far = np.arange(REACH)  # from a string's start to its trigger
+    phrase_rank = suffix_classes(group, before, far)
+    parse_rank = suffix_classes(group, after, LENGTH - far)
     row = np.repeat(np.arange(len(span)), span)
     j = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-    with np.errstate(over="ignore"):
-        return row, j, mix(roll.of(at[row] + j, at[row] + j + LENGTH) + context[row] * np.uint64(31))
+    d = own[row] - j
+    n = len(span) + 1
+    return row, j, (d * n + phrase_rank[row, d]) * n + parse_rank[row, d]
 
 
 def runs_of(mask: np.ndarray, row: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,47 +175,52 @@ def runs_of(mask: np.ndarray, row: np.ndarray, j: np.ndarray) -> tuple[np.ndarra
     return row[new], j[new], j[np.append(new[1:], len(j)) - 1] if len(j) else j
 
 
-def repeated_within(cuts: DataFrame) -> DataFrame:
-    """(context, phrase, j0, j1): the starts in a phrase whose strings start in another phrase too; whole contexts together."""
+def repeated_strings(cuts: DataFrame) -> DataFrame:
+    """(context, phrase, j0, j1): the starts in a phrase whose strings start in another phrase too."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table_ in groups(batches, "context"):
-            key = table_.column("context").to_numpy()
+        for table_ in groups(batches, "part"):
+            key = table_.column("part").to_numpy()
             edges = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
             lo = 0
-            while lo < len(edges) - 1:  # whole groups, some at a time
-                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 2000, "right")) - 1)
+            while lo < len(edges) - 1:  # whole parts, some at a time
+                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + AT_ONCE, "right")) - 1)
                 rows = table_.slice(edges[lo], edges[hi] - edges[lo])
+                group = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
                 lo = hi
-                row, j, h = string_hashes(rows)
-                order = np.argsort(h, kind="stable")
-                same = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
-                mask = np.zeros(len(h), bool)
+                bytes_ = rows.column("bytes").combine_chunks()
+                at = np.frombuffer(bytes_.buffers()[1], np.int32)[bytes_.offset : bytes_.offset + len(bytes_) + 1].astype(np.int64)
+                data, at = np.frombuffer(bytes_.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+                off, span, parts = (rows.column(c).to_numpy().astype(np.int64) for c in ("off", "span", "parts"))
+                row, j, place = corpus_order(group, off, span, data, at)
+                order = np.argsort(place, kind="stable")
+                same = np.concatenate([[False], place[order][1:] == place[order][:-1], [False]])
+                mask = np.zeros(len(place), bool)
                 mask[order] = same[1:] | same[:-1]
-                r, j0, j1 = runs_of(mask, row, j)
-                at = pa.array(r)
-                yield pa.RecordBatch.from_arrays([rows.column("context").take(at).combine_chunks(), rows.column("phrase").take(at).combine_chunks(), pa.array(j0.astype(np.int32)), pa.array(j1.astype(np.int32))], ["context", "phrase", "j0", "j1"])
-
-    return cuts.repartition("context").sortWithinPartitions("context").mapInArrow(resolve, "context long, phrase long, j0 int, j1 int")
-
-
-def repeated_spread(cuts: DataFrame) -> DataFrame:
-    """The same for contexts with very many phrases: strings are counted over all tasks, one row each."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                rows = pa.Table.from_batches([b.slice(i, 1000)])
-                row, j, h = string_hashes(rows)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([rows.column("context").take(at).combine_chunks(), rows.column("phrase").take(at).combine_chunks(), pa.array(j.astype(np.int32)), pa.array(h.view(np.int64))], ["context", "phrase", "j", "h"])
+                some = parts[row] > 1  # strings of one part only are settled here; the others meet those of the other parts
+                once = np.zeros(len(place), bool)
+                once[order[~same[:-1]]] = True  # the first of each run of equal strings stands for it
+                r, j0, j1 = runs_of(mask & ~some, row, j)
+                k = np.flatnonzero(some)
+                with np.errstate(over="ignore"):
+                    h = mix(Rolling(data).of(at[row[k]] + j[k], at[row[k]] + j[k] + LENGTH) + rows.column("context").to_numpy().view(np.uint64)[row[k]] * np.uint64(31)) if len(k) else np.zeros(0, np.uint64)
+                take = pa.array(np.concatenate([r, row[k]]))
+                none = np.zeros(len(r), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("context").take(take).combine_chunks(), rows.column("phrase").take(take).combine_chunks(), pa.array(np.concatenate([j0, j[k]]).astype(np.int32)), pa.array(np.concatenate([j1, j[k]]).astype(np.int32)),
+                     pa.array(np.concatenate([none, h.view(np.int64)]), mask=np.concatenate([none == 0, np.zeros(len(k), bool)])), pa.array(np.concatenate([none > 0, once[k]])), pa.array(np.concatenate([none == 0, mask[k]]))],
+                    ["context", "phrase", "j0", "j1", "string", "once", "twice"])
 
-    every = store(cuts.mapInArrow(strings, "context long, phrase long, j int, h long"), "strings")
-    many = store(every.groupBy("h").count().where("count > 1").select("h"), "repeated-strings")
-    return every.join(many, "h").select("context", "phrase", F.col("j").alias("j0"), F.col("j").alias("j1"))
+    dealt = cuts.withColumn("part", F.xxhash64("context", F.pmod("phrase", "parts"))).repartition("part").sortWithinPartitions("part", "phrase")
+    every = store(dealt.mapInArrow(resolve, "context long, phrase long, j0 int, j1 int, string long, once boolean, twice boolean"), "strings")
+    settled = every.where("twice").select("context", "phrase", "j0", "j1")
+    # one row for each distinct string of a part: strings that two parts have
+    shared = store(every.where("once and string is not null").groupBy("string").count().where("count > 1").select("string"), "shared-strings")
+    open_ = every.where("not twice").join(shared.hint("merge"), "string").select("context", "phrase", "j0", "j1")
+    return settled.unionByName(open_)
 
 
-def repeated_spans(docs: DataFrame, *, large: int = LARGE) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, part: int = PART) -> DataFrame:
     """(text_id, spans): for each text that holds repeated strings the byte ranges (start, end) that they cover; they overlap."""
     parsed = store(phrases(docs), "parse")
     again = store(parsed.groupBy("context").agg(F.count("*").alias("c")).where("c > 1").select("context"), "contexts")
@@ -198,13 +229,8 @@ def repeated_spans(docs: DataFrame, *, large: int = LARGE) -> DataFrame:
     dictionary = store(dictionary, "dictionary")
     whole = dictionary.where("n > 1").select("context", "phrase", F.lit(0).alias("j0"), (F.col("at.span") - 1).cast("int").alias("j1"))
     sizes = dictionary.groupBy("context").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    sizes = store(sizes, "sizes")
-    cuts = store(cut_out(docs, dictionary.join(sizes.select("context"), "context")), "cuts")
-    hot = store(sizes.where(F.col("m") > large).select("context"), "large")
-    found = repeated_within(cuts.join(hot, "context", "left_anti"))
-    if not hot.isEmpty():
-        found = found.unionByName(repeated_spread(cuts.join(hot, "context", "left_semi")))
-    found = store(whole.unionByName(found), "found")
+    sizes = store(sizes.select("context", F.ceil(F.col("m") / part).alias("parts")), "sizes")
+    found = store(whole.unionByName(repeated_strings(cut_out(docs, dictionary.join(sizes, "context")))), "found")
     hits = parsed.select("context", "phrase", "text_id", "lo").distinct().join(found, ["context", "phrase"])
     return hits.groupBy("text_id").agg(F.collect_list(F.struct((F.col("lo") + F.col("j0")).alias("start"), (F.col("lo") + F.col("j1") + LENGTH).alias("end"))).alias("spans"))
 

@@ -144,10 +144,13 @@ def test_near_copies(spark, corpus, limit):
         assert ngram_join.join_classes(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("large", [repeats.LARGE, 2])
-def test_repeats(spark, corpus, large):
-    rows = corpus + [(400, "x" * 150 + corpus[30][1][:260] * 2), (401, "ü" * 400), (402, "short"), (402, "short")]
-    got = repeats.remove_repeats(frame(spark, rows), large=large).collect()
+@pytest.mark.parametrize("part", [repeats.PART, 2])
+def test_repeats(spark, corpus, part):
+    rows = corpus + [(400, "x" * 150 + corpus[30][1][:260] * 2), (401, "ü" * 400), (402, "short"), (402, "short"), (403, "\0" * 130 + "z" * 150), (404, "\0" * 125 + "z" * 150), (405, "\0\0y" + "\0" * 190 + "z\0" * 20), (406, "\0\0\0y" + "\0" * 190 + "z\0" * 15)]
+    rng = random.Random(9)
+    body = prose(rng, 60)
+    rows += [(500 + k, prose(rng, 1 + k % 3) + body[k % 5 :] + prose(rng, 3)) for k in range(15)]
+    got = repeats.remove_repeats(frame(spark, rows), part=part).collect()
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[k : k + 200] for _, b in texts for k in range(len(b) - 199))
     want = Counter()
