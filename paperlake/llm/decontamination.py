@@ -1,15 +1,19 @@
 """Benchmark decontamination by a positional inverted index of the training documents.
 
-build_index() stores postings: for each block of documents (a few MB of text) and term, the ascending word positions. A
-search sends a block of phrases to every block of documents: it starts from the positions of the phrase's rarest term, by
-its count over all documents, and intersects the other terms' positions, shifted by their place in the phrase, from rare to
-common. With slop 0 that finds exact phrases, with slop k phrases of which every word stands within k words of its place.
+build_index() stores postings: for each block of documents (about a MB of text) its terms with their ascending word positions,
+one row a block, so that searching needs no shuffle. A search sends some phrases to every block: it starts from the positions
+of the phrase's rarest term, by its count over all documents, and intersects the other terms' positions, shifted by their place
+in the phrase, from rare to common. With slop 0 that finds exact phrases, with slop k phrases of which every word stands within
+k words of its place.
 
-The phrases are a stated query set. They are taken in blocks of at most QUERY_WORDS words (plus one item), so that what is
-broadcast is bounded whatever the size of the benchmark. Terms are 64-bit hashes of words.
+The phrases are a stated query set. Items are cut to pieces of PIECE_WORDS words that overlap by a window, and pieces are taken
+in blocks of about QUERY_WORDS words, so that what is broadcast is bounded whatever the benchmark and its longest item. Terms
+are 64-bit hashes of words.
 
 Defined results: null and empty texts have no words; an item of fewer words than a window is one window, one of none is
-none; items without an id are left out; repeated documents are looked at one by one; repeated items count once by id.
+none; items without an id are left out; ids of documents and items may have any type (items are told apart and returned as
+strings); rows without a doc_id are looked at like others; repeated documents are looked at one by one; repeated items count
+once by id; empty tables give no rows, or no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,80 +26,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import WORD_SPLIT, ascii_lower, store, table
-from .tokens import groups, hash_texts, hash_words, slices
+from .tokens import hash_texts, hash_words, slices
 
 WINDOW = 10
 QUERY_WORDS = 200_000
-#: Query terms up to which the index keeps these terms alone; beyond, it keeps all (8 bytes each are broadcast).
-MAX_VOCABULARY = 250_000
+#: Words of an item that are taken as one piece.
+PIECE_WORDS = 10_000
+#: Bytes of text in a block of the index, about; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
 #: Empty positions between documents of a block, so that no match crosses documents.
 GAP = 32
 CANDIDATES = 1 << 19
 
-INDEX_SCHEMA = "block long, term long, positions array<int>, doc_ids array<long>, text_hashes array<long>, n_words array<int>"
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """The stored index of docs (doc_id, text). A row without a term describes its block: first positions and documents."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(None if vocabulary is None else np.unique(vocabulary))
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs (doc_id, text): a row for each block with its terms, how often each occurs, all their positions
+    in the order of the terms, and its documents with their first position and number of words."""
+    type_ = docs.schema["doc_id"].dataType.simpleString()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        schema = pa.schema([("block", pa.int64()), ("term", pa.int64()), ("positions", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32()))])
-        block, keep = TaskContext.get().partitionId() << 32, wanted.value
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            for first, last, data, offsets in slices(b.column("text")):
+            for first, last, data, offsets in slices(b.column("text"), BLOCK_BYTES):
                 h, at = hash_words(data, offsets)
-                place = np.arange(len(h)) + np.repeat(np.arange(len(at) - 1) * GAP, np.diff(at))
-                if keep is not None:
-                    i = np.searchsorted(keep, h)
-                    known = np.flatnonzero(keep[np.minimum(i, len(keep) - 1)] == h) if len(keep) else np.zeros(0, np.int64)
-                    code, place, terms = i[known], place[known], keep
-                else:
-                    terms, code = np.unique(h, return_inverse=True)
-                order = np.argsort(code, kind="stable")
-                code, place = code[order], place[order].astype(np.int32)
-                runs = np.flatnonzero(np.diff(code, prepend=-1))
-                n = len(runs)
-                postings = pa.ListArray.from_arrays(pa.array(np.append(runs, len(code)).astype(np.int32)), pa.array(place))
-                none = pa.nulls(n, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(terms[code[runs]].view(np.int64)), postings, none, none, pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
-                starts = at[:-1] + np.arange(len(at) - 1) * GAP
+                gaps = np.arange(len(at) - 1) * GAP
+                place = np.arange(len(h)) + np.repeat(gaps, np.diff(at))
+                terms, code, counts = np.unique(h, return_inverse=True, return_counts=True)
+                place = place[np.argsort(code, kind="stable")].astype(np.int32)
                 rows = b.slice(first, last - first)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([None], pa.int64()), pa.array([starts.tolist()], pa.list_(pa.int32())), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                     pa.array([rows.column("text_hash").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at).tolist()], pa.list_(pa.int32()))], schema=schema)
+                    [pa.array([block]), one(terms.view(np.int64)), one(counts.astype(np.int32)), one(place), one((at[:-1] + gaps).astype(np.int32)), one(np.diff(at).astype(np.int32)), one(rows.column("doc_id")), one(rows.column("text_hash"))],
+                    ["block", "terms", "counts", "positions", "starts", "n_words", "doc_ids", "text_hashes"])
                 block += 1
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return store(texts.mapInArrow(post, INDEX_SCHEMA), "postings")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    schema = f"block long, terms array<long>, counts array<int>, positions array<int>, starts array<int>, n_words array<int>, doc_ids array<{type_}>, text_hashes array<long>"
+    return store(texts.mapInArrow(post, schema), "postings")
 
 
-def query_blocks(items: DataFrame, most: int = QUERY_WORDS) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items as (item_id, word hashes), some at a time: each block holds about `most` words, and comes to the driver alone."""
-    words = F.size(F.array_remove(F.split(ascii_lower(F.coalesce("text", F.lit(""))), WORD_SPLIT), ""))
-    rows = items.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct()
-    total = rows.agg(F.sum(words)).first()[0] or 0
+def query_blocks(items: DataFrame, most: int = QUERY_WORDS, *, size: int = WINDOW, piece: int = PIECE_WORDS) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """Pieces of items as (item_id, word hashes), some at a time: each block holds about `most` words, and comes to the driver alone."""
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), WORD_SPLIT), "")
+    rows = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words.alias("w")).where("size(w) > 0").distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)), F.lit(piece))
+    rows = store(rows.select("item_id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("w", s + 1, F.lit(piece + size - 1)).alias("w")))).alias("p")).select("item_id", "p.at", "p.w"), "item-pieces")
+    total = rows.agg(F.sum(F.size("w"))).first()[0] or 0
     n = -(-total // most) if total else 0
     for k in range(n):
-        got = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        yield list(zip([r["item_id"] for r in got], hash_texts([r["text"] for r in got]), strict=True))
+        got = rows.where(F.pmod(F.xxhash64("item_id", "at", "w"), F.lit(n)) == k).orderBy("item_id", "at", "w").collect()
+        yield list(zip([r["item_id"] for r in got], hash_texts([" ".join(r["w"]) for r in got]), strict=True))
 
 
-def windows(items: list[tuple[int, np.ndarray]], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(items: list[tuple[str, np.ndarray]], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Item, length and padded word hashes of every window of the items."""
     ids, sizes, rows = [], [], []
     for item, h in items:
         n = min(size, len(h))
         for i in range(len(h) - n + 1 if n else 0):
-            ids.append(item), sizes.append(n)
+            ids.append(str(item)), sizes.append(n)
             rows.append(np.pad(h[i : i + n], (0, size - n)))
-    return np.array(ids, np.int64), np.array(sizes, np.int64), np.array(rows, np.uint64).reshape(-1, size)
+    return np.array(ids, object), np.array(sizes, np.int64), np.array(rows, np.uint64).reshape(-1, size)
 
 
-def search(index: DataFrame, items: list[tuple[int, np.ndarray]], *, size: int = WINDOW, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str, np.ndarray]], *, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """For every indexed document: its words hit (positions in the document) and the items whose windows occur in it."""
     if slop >= GAP // 2:
         raise ValueError(f"slop must be under {GAP // 2}")
@@ -104,11 +101,21 @@ def search(index: DataFrame, items: list[tuple[int, np.ndarray]], *, size: int =
     used = np.arange(size) < sizes[:, None]
     terms = np.unique(rows[used])
     # counts over all documents, of the terms of one query block only
-    wanted = spark.createDataFrame([(int(t),) for t in terms.view(np.int64)], "term long") if len(terms) else None
     count = np.zeros(len(terms), np.int64)
-    if wanted is not None:
-        got = index.where("term is not null").groupBy("term").agg(F.sum(F.size("positions")).alias("n")).join(F.broadcast(wanted), "term").collect()
-        for r in got:
+    if len(terms):
+        wanted = spark.sparkContext.broadcast(terms)
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(wanted.value), np.int64)
+            for b in batches:
+                own = b.column("terms").flatten().to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(wanted.value, own), len(n) - 1)
+                known = wanted.value[at] == own
+                np.add.at(n, at[known], b.column("counts").flatten().to_numpy()[known])
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted.value[some].view(np.int64)), pa.array(n[some])], ["term", "n"])
+
+        for r in index.select("terms", "counts").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             count[np.searchsorted(terms, np.uint64(r["term"] % (1 << 64)))] = r["n"]
     code = np.where(used, np.searchsorted(terms, rows), -1) if len(terms) else np.zeros((0, size), np.int64)
     rarity = np.where(used, count[code], np.iinfo(np.int64).max) if len(terms) else np.zeros((0, size), np.int64)
@@ -118,29 +125,22 @@ def search(index: DataFrame, items: list[tuple[int, np.ndarray]], *, size: int =
     query = spark.sparkContext.broadcast((terms, ids[by_anchor], sizes[by_anchor], code[by_anchor], order[by_anchor], anchor[by_anchor]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, ids, sizes, code, order, anchor = query.value
-        for whole in groups(batches, "block"):
-            key = whole.column("block").to_numpy()
-            for a, b in zip((cuts := np.flatnonzero(np.diff(key, prepend=key[0] - 1))), np.append(cuts[1:], len(key)), strict=True):
-                yield from block(whole.slice(a, b - a).combine_chunks(), terms, ids, sizes, code, order, anchor)
-
-    def block(rows: pa.Table, terms, ids, sizes, code, order, anchor) -> Iterator[pa.RecordBatch]:
-        number = rows.column("block")[0].as_py()
-        about = rows.filter(rows.column("term").is_null())
-        starts = np.array(about.column("positions")[0].as_py(), np.int64)
-        n_words = np.array(about.column("n_words")[0].as_py(), np.int64)
-        posts = rows.filter(rows.column("term").is_valid())
-        term = posts.column("term").to_numpy().view(np.uint64)
-        lists = posts.column("positions").combine_chunks() if len(posts) else pa.array([], pa.list_(pa.int32()))
-        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for b in batches:
+            for i in range(len(b)):
+                yield from block({c: b.column(c)[i] for c in b.schema.names}, *query.value)
+
+    def block(rows: dict, terms, ids, sizes, code, order, anchor) -> Iterator[pa.RecordBatch]:
+        number = rows["block"].as_py()
+        starts, n_words, values, term, n_each = (rows[c].values.to_numpy() for c in ("starts", "n_words", "positions", "terms", "counts"))
+        starts, n_words, term, at = starts.astype(np.int64), n_words.astype(np.int64), term.view(np.uint64), np.concatenate([[0], np.cumsum(n_each, dtype=np.int64)])
         own = np.searchsorted(terms, term)
         own[(own >= len(terms)) | (terms[np.minimum(own, len(terms) - 1)] != term) if len(terms) else slice(None)] = -1
         end = int(starts[-1] + n_words[-1]) if len(starts) else 0
         here = np.full(end + 2 * GAP + size, -1, np.int64)  # the term at each position, shifted by GAP
         here[values[at[0] : at[-1]] + GAP] = np.repeat(own, np.diff(at))
         hits, found = [], []
-        for t, lo, hi in zip(own, at[:-1], at[1:], strict=True):
-            first, last = np.searchsorted(anchor, [t, t + 1]) if t >= 0 else (0, 0)
+        for t, lo, hi in zip(own[own >= 0], at[:-1][own >= 0], at[1:][own >= 0], strict=True):
+            first, last = np.searchsorted(anchor, [t, t + 1])
             step = max(1, CANDIDATES // max(1, last - first))
             for p in range(lo, hi if last > first else lo, step):
                 positions = values[p : min(p + step, hi)]
@@ -162,21 +162,22 @@ def search(index: DataFrame, items: list[tuple[int, np.ndarray]], *, size: int =
             np.add.at(marks, np.clip(s[of] - starts[d], 0, n_words[d]), 1)
             np.add.at(marks, np.clip(s[of] - starts[d] + sizes[w[of]], 0, n_words[d]), -1)
             words[d] = np.flatnonzero(np.cumsum(marks[:-1])).tolist()
-            items[d] = np.unique(ids[w[of]]).tolist()
+            items[d] = sorted(set(ids[w[of]]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([number] * len(starts), pa.int64()), pa.array(np.arange(len(starts))), about.column("doc_ids").combine_chunks().flatten(),
-             about.column("text_hashes").combine_chunks().flatten(), pa.array(n_words), pa.array(words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
+            [pa.array([number] * len(starts), pa.int64()), pa.array(np.arange(len(starts))), rows["doc_ids"].values, rows["text_hashes"].values, pa.array(n_words), pa.array(words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
             ["block", "place", "doc_id", "text_hash", "n_words", "hit_words", "items"])
 
-    schema = "block long, place long, doc_id long, text_hash long, n_words long, hit_words array<int>, items array<long>"
-    return index.repartition("block").sortWithinPartitions("block").mapInArrow(look, schema)
+    type_ = index.schema["doc_ids"].dataType.elementType.simpleString()
+    return index.mapInArrow(look, f"block long, place long, doc_id {type_}, text_hash long, n_words long, hit_words array<int>, items array<string>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, slop: int = 0, query_words: int = QUERY_WORDS) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_words, n_hit, items (sorted ids), contaminated."""
-    index, found = build_index(docs, query_vocabulary(items)), None
-    for block in query_blocks(items, query_words):
+    """One row per document: doc_id, text_hash, n_words, n_hit, items (sorted ids as strings), contaminated."""
+    index, found = build_index(docs), None
+    for block in query_blocks(items, query_words, size=size):
         part = search(index, block, size=size, slop=slop)
+        # documents without a hit are told once, by the first block
+        part = part if found is None else part.where("size(items) > 0")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = search(index, [], size=size)
@@ -188,26 +189,16 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, slop
     return found.select("doc_id", "text_hash", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "items", (F.size("hit_words") > 0).alias("contaminated"))
 
 
-def query_vocabulary(items: DataFrame) -> np.ndarray | None:
-    """Hashes of the distinct words of all items, or None if there are too many to broadcast."""
-    words = items.select(F.explode(F.array_distinct(F.split(ascii_lower("text"), WORD_SPLIT))).alias("w")).where("w <> ''").distinct().limit(MAX_VOCABULARY + 1)
-    got = [r["w"] for r in words.collect()]
-    if len(got) > MAX_VOCABULARY:
-        return None
-    return np.concatenate([*hash_texts(got), np.zeros(0, np.uint64)])
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of an item."""
     bad = contamination(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     bad = store(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 OP3_SQL = r"""
