@@ -2,15 +2,19 @@
 
 weights() raises the sources' token shares to an exponent and normalises them. The exponent is bisected: the largest (nearest
 to the natural shares) whose weights reach the target entropy, raised where a source would be repeated more often than
-allowed. mix() deals each source's documents into blocks, permutes the blocks anew for every epoch by a keyed hash, and takes
-blocks until the source's token budget is met: whole epochs first, then the first blocks of one more permutation, and of the
+allowed. mix() deals each source's documents into blocks of about BLOCK_TOKENS tokens and the blocks into SHELVES shelves. Every
+epoch permutes the shelves anew by a keyed hash, and the blocks of a shelf, and takes blocks until the source's token budget is
+met: whole epochs first, then the first shelves of one more permutation, of the shelf at the border its first blocks, and of the
 block at the border its first documents in permuted order.
 
-Only one row per source reaches the driver (MAX_SOURCES at most). Running sums are over a source's blocks (MAX_BLOCKS at
-most) and within the one block at the border.
+Only one row per source reaches the driver (MAX_SOURCES at most, else an error). Running sums are over a source's shelves, over
+the blocks of the one shelf at the border, and over the documents of the one block there, so that none grows with a source
+faster than its tokens over BLOCK_TOKENS x SHELVES.
 
 Defined results: a null source is a source; sources without tokens get weight 0 and no rows; null texts have no tokens;
-repeated rows are documents of their own; a budget is never exceeded and missed by less than one document of the source.
+repeated rows are documents of their own; rows without an id are documents; a budget is never exceeded and missed by less than
+one document of the source; equal documents fall into one block, in the order of their ids; empty tables give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import store, table
 
-BLOCK_TOKENS, MAX_BLOCKS, MAX_SOURCES = 20_000, 4096, 100_000
+BLOCK_TOKENS, SHELVES, MAX_SOURCES = 20_000, 1024, 100_000
 ENTROPY_SHARE, MAX_REPEATS, SEED = 0.97, 4.0, 17
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -75,7 +79,7 @@ def budgets(w: list[float], budget: int) -> list[int]:
 
 
 def mix(docs: DataFrame, *, budget: int | None = None, target_entropy: float | None = None, max_repeats: float = MAX_REPEATS,
-        block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+        block_tokens: int = BLOCK_TOKENS, shelves: int = SHELVES, seed: int = SEED) -> DataFrame:
     """One row per document and epoch in which it is taken: doc_id, source, n_tokens, weight, epoch, block and position
     (0 to 1: sorting all rows by it interleaves the sources). budget: tokens in all, the corpus's own by default."""
     spark = docs.sparkSession
@@ -87,24 +91,38 @@ def mix(docs: DataFrame, *, budget: int | None = None, target_entropy: float | N
     tokens = [r["t"] for r in own]
     total = sum(tokens) if budget is None else budget
     _, w = weights(tokens, total, target_entropy=target_entropy, max_repeats=max_repeats)
-    plan = [(r["source"], t, float(x), b, max(1, min(MAX_BLOCKS, -(-t // block_tokens)))) for r, t, x, b in zip(own, tokens, w, budgets(w, total), strict=True) if t and b]
+    plan = [(r["source"], t, float(x), b, max(1, -(-t // block_tokens))) for r, t, x, b in zip(own, tokens, w, budgets(w, total), strict=True) if t and b]
     plan_ = F.broadcast(spark.createDataFrame(plan, "p_source string, t long, weight double, b long, blocks long"))  # MAX_SOURCES rows at most
     dealt = rows.join(plan_, F.col("source").eqNullSafe(F.col("p_source")))
-    dealt = dealt.select("doc_id", "source", "n_tokens", "h", "weight", "t", "b", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("blocks")).alias("block"))
-    blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"), F.first("t").alias("t"), F.first("b").alias("b"))
-    epochs = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("b") / F.col("t")))).alias("epoch"))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("source", "epoch", "block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.least(F.col("t"), F.col("b") - F.col("epoch") * F.col("t"))
-    epochs = epochs.select("*", left.alias("left"), (F.sum("n").over(order) - F.col("n")).alias("before")).where((F.col("left") > 0) & (F.col("before") < F.col("left")))
-    taken = store(epochs.select(F.col("source").alias("e_source"), F.col("block").alias("e_block"), "epoch", "before", F.least("n", F.col("left") - F.col("before")).alias("share"), (F.col("before") + F.col("n") > F.col("left")).alias("border")), "blocks")
-    cols = ["doc_id", "source", "n_tokens", "h", "weight", "t", "b", "block", "epoch", "before", "share", "border"]
-    all_ = dealt.join(taken, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block"))).select(*cols)
+    dealt = dealt.select("doc_id", "source", "n_tokens", "h", "weight", "t", "b", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("blocks")).alias("block")).withColumn("shelf", F.col("block") % shelves)
+    turn = lambda what: F.pmod(F.xxhash64(what, "epoch", F.lit(seed)), F.lit(1 << 30))  # noqa: E731  a place in the epoch's permutation
+    upto = lambda keys, what: F.sum("n").over(Window.partitionBy(*keys).orderBy(turn(what), what).rowsBetween(Window.unboundedPreceding, 0))
+
+    # shelves: those before the border are taken whole, and at most one for each source holds it
+    held = dealt.groupBy("source", "shelf").agg(F.sum("n_tokens").alias("n"), F.first("t").alias("t"), F.first("b").alias("b"))
+    held = held.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("b") / F.col("t")))).alias("epoch"))
+    held = held.select("*", F.least(F.col("t"), F.col("b") - F.col("epoch") * F.col("t")).alias("left"), (upto(["source", "epoch"], "shelf") - F.col("n")).alias("before"))
+    held = store(held.where("left > 0 and before < left").select(F.col("source").alias("of"), F.col("shelf").alias("at"), "epoch", "before", "n", "left", (F.col("before") + F.col("n") > F.col("left")).alias("border")), "shelves")
+    on_shelf = F.col("source").eqNullSafe(F.col("of")) & (F.col("shelf") == F.col("at"))
+    cols = ["doc_id", "source", "n_tokens", "h", "weight", "t", "b", "block", "epoch", "before", F.col("n").alias("share")]
+    whole = dealt.join(held.where("not border"), on_shelf).select(*cols)
+
+    # blocks of the shelves at the border
+    bordering = dealt.join(held.where("border").drop("n"), on_shelf)
+    blocks = bordering.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"), F.first("before").alias("first"))
+    blocks = blocks.select("*", (F.col("first") + upto(["source", "epoch"], "block") - F.col("n")).alias("before")).where("before < left")
+    blocks = store(blocks.select(F.col("source").alias("of"), F.col("block").alias("at"), "epoch", "before", F.least("n", F.col("left") - F.col("before")).alias("n"), (F.col("before") + F.col("n") > F.col("left")).alias("border")), "blocks")
+    parts = dealt.join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     within = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("h", "epoch", F.lit(seed)), "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    border = all_.where("border").withColumn("upto", F.sum("n_tokens").over(within)).where("upto <= share").drop("upto")
-    out = all_.where("not border").unionByName(border)
-    jitter = (F.pmod(F.xxhash64("h", "epoch", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20)) * F.col("share")
-    position = F.least(F.lit(1.0), (F.col("epoch") * F.col("t") + F.col("before") + jitter) / F.col("b"))
-    return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", position.alias("position"))
+    last = parts.where("border").withColumn("upto", F.sum("n_tokens").over(within)).where("upto <= n").select(*cols)
+    parts = parts.where("not border").select(*cols).unionByName(last)
+
+    # documents of a block stand together; on a whole shelf its blocks stand in the epoch's order
+    jitter = F.pmod(F.xxhash64("h", "epoch", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20)
+    on_whole = (turn("block") + jitter) / (1 << 30)
+    place = lambda within: F.least(F.lit(1.0), (F.col("epoch") * F.col("t") + F.col("before") + within * F.col("share")) / F.col("b"))
+    out = whole.withColumn("position", place(on_whole)).unionByName(parts.withColumn("position", place(jitter)))
+    return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "position")
 
 
 def op2_temperature_mixing(spark, sf_dir: str) -> DataFrame:
