@@ -30,6 +30,8 @@ from .tokens import groups, hash_words, mix, slices
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 T, DEPTH, LIMIT = 64, 3, 500
+#: Sets that more than one row in so many has are told to all tasks; there are fewer of them than this.
+HOT_SETS = 10_000
 #: Minhash agreement from which a pair is verified: over four deviations under the threshold.
 MARGIN = 0.24
 
@@ -255,9 +257,14 @@ def join_classes(docs: DataFrame, *, words: int = WORDS, threshold: float = THRE
     least = classes.join(nodes, classes["node"] == nodes["set_id"]).groupBy("component").agg(F.min("doc_id").alias("class_id"))
     classes = classes.join(least, "component").select(F.col("node").alias("set_id"), "class_id")
     known = nodes.select("set_id", F.col("doc_id").alias("same_as"), "copies").join(links, "set_id", "left").join(classes, "set_id", "left")
-    known = store(known.select("set_id", "same_as", F.coalesce("class_id", "same_as").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    linked = prints.select("doc_id", "text_hash", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
-    return linked.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("same_as", "doc_id").alias("same_as"))
+    known = store(known.select("set_id", "same_as", F.coalesce("class_id", "same_as").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "classes")
+    rows = prints.select("doc_id", "text_hash", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    # the rows of a set of many copies stay where they are
+    hot = store(known.where(F.col("copies") > prints.count() / HOT_SETS), "hot-sets")
+    cold = rows.where("set_id is not null").join(F.broadcast(hot.select("set_id")), "set_id", "left_anti").join(known.hint("merge"), "set_id")
+    linked = rows.join(F.broadcast(hot), "set_id").unionByName(cold)
+    alone = rows.where("set_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("same_as"))
+    return linked.select("doc_id", "text_hash", "class_id", "n_links", "same_as").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

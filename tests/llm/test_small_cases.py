@@ -1,6 +1,7 @@
 """Brute force against the operators on small tables with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -98,13 +99,26 @@ def test_contamination(spark, corpus):
                     hit |= set(range(k, k + len(x)))
                     found.add(item)
         want[i, len(w), len(hit), tuple(sorted(found)), bool(hit)] += 1
-    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in got) == want
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(map(int, r["items"]))), r["contaminated"]) for r in got) == want
     kept = decontamination.drop_contaminated(frame(spark, corpus), spark.createDataFrame(items, "item_id long, text string"))
     assert kept.count() == sum(n for k, n in want.items() if not k[4]) and "statistics" in kept.columns
     assert decontamination.contamination(frame(spark, corpus), spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
     assert decontamination.contamination(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_contamination_of_any_ids_and_long_items(spark):
+    """Ids that are no numbers; an item that is cut to pieces; columns of the same names as the index's."""
+    rng = random.Random(12)
+    long = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    docs = spark.createDataFrame([("a", "x y " + " ".join(long[40:60]), 1), ("b", " ".join(long[:9]), 2), (None, " ".join(long[-10:]), 3), ("c", "\u00e9 " * 70_000 + " ".join(long[90:101]), 4)], "doc_id string, text string, block int")
+    items = spark.createDataFrame([("one", " ".join(long)), ("two", "x y"), (None, "y")], "item_id string, text string")
+    pieces = [p for b in decontamination.query_blocks(items, 30, piece=20) for p in b]
+    assert len(decontamination.windows(pieces)[0]) == 192 and max(len(h) for _, h in pieces) == 29
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontamination.contamination(docs, items, query_words=50).collect()}
+    assert got == {"a": (22, ["one", "two"]), "b": (0, []), None: (10, ["one"]), "c": (11, ["one"])}
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()] == ["b"]
+
+
 def test_proximity(spark):
     docs = frame(spark, [(1, "alpha x beta y gamma"), (2, "gamma far far far far far far beta alpha"), (3, "alpha beta gamma")])
     items = [(1, h) for h in tokens.hash_texts(["alpha beta gamma"])]
@@ -144,6 +158,27 @@ def test_near_copies(spark, corpus, limit):
         assert ngram_join.join_classes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_recall_of_links(spark):
+    """Queries: every document whose id is divisible by 20, against all rows of the table, by an inverted index of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in ngram_join.join_classes(docs).collect()}
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in docs.collect()}
+    holders = {}
+    for i, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    found = missed = 0
+    for i in sets:
+        if i % 20 == 0:
+            shared = Counter(j for g in sets[i] for j in holders[g] if j != i)
+            links = [j for j, n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+            found += got[i]["n_links"]
+            missed += len(links) - got[i]["n_links"]
+            assert all(got[j]["class_id"] == got[i]["class_id"] for j in links)
+    assert found > 0 and missed == 0
+
+
 @pytest.mark.parametrize("part", [repeats.PART, 2])
 def test_repeats(spark, corpus, part):
     rows = corpus + [(400, "x" * 150 + corpus[30][1][:260] * 2), (401, "ü" * 400), (402, "short"), (402, "short"), (403, "\0" * 130 + "z" * 150), (404, "\0" * 125 + "z" * 150), (405, "\0\0y" + "\0" * 190 + "z\0" * 20), (406, "\0\0\0y" + "\0" * 190 + "z\0" * 15)]
@@ -196,20 +231,21 @@ def test_surrogates_in_any_case(spark):
     secret = "9233A8EC" * 5
     rows = [(i, f'{w}{{}}= "{secret}"'.format(gap)) for i, (w, gap) in enumerate([("TOKEN", " "), ("Secret", ""), ("API_KEY", " "), ("Access_Key", ""), ("token", " ")])]
     rows += [(10, "PASSWORD=Hunter"), (11, "Pwd: hunterhunter"), (12, 'SECRET="abcdefghijklmnopqrst"')]
-    rows += [(20 + i, f"{t} {'Иванов' if t[0] in 'гГ' else 'Korn'}") for i, t in enumerate(pii.TITLES.split("|"))]
+    rows += [(20 + i, f"{t} {'Иванов' if t[0] in 'гГ' else 'Korn'}") for i, t in enumerate(pii.CAPITAL.split("|"))]
     got = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, rows)).collect()}
     for i, t in rows:
         assert got[i]["n_entities"] == 1 and got[i]["text"] != t, t
         assert not re.search("9233A8EC|[Hh]unter|abcdefghijklmnopqrst|Иванов|Korn", got[i]["text"]), t
-    assert "Г-н" in pii.TITLES and re.fullmatch(r'TOKEN = "[0-9A-Z]{40}"', got[0]["text"])
+    assert "Г-н" in pii.CAPITAL and re.fullmatch(r'TOKEN = "[0-9A-Z]{40}"', got[0]["text"])
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("shelves", [mixing.SHELVES, 3])
+def test_mixing(spark, shelves):
     rows = [(i, "tok " * (1 + i % 40), "x", None if i % 50 == 0 else "big" if i % 3 else f"s{i % 4}", 0, 0, "x") for i in range(1, 600)] + [(1000, None, "x", "void", 0, 0, "x")]
     docs = spark.createDataFrame(rows, DOCS)
     total = sum(len((t or "").split()) for _, t, *_ in rows)
     for budget in (None, total // 3, 3 * total):
-        out = mixing.mix(docs, budget=budget, block_tokens=100).collect()
+        out = mixing.mix(docs, budget=budget, block_tokens=100, shelves=shelves).collect()
         share = Counter()
         for _, t, _, s, *_ in rows:
             share[s] += len((t or "").split())
@@ -222,13 +258,28 @@ def test_mixing(spark):
         assert all(target[s] - 40 <= taken[s] <= target[s] for s in names)
         assert max(Counter((r["doc_id"], r["epoch"]) for r in out).values()) == 1
         assert all(0 <= r["position"] <= 1 for r in out)
+        blocks = {}
+        for r in out:
+            blocks.setdefault((r["source"], r["epoch"], r["block"]), []).append((r["position"], r["n_tokens"], r["doc_id"]))
+        for s, e in {k[:2] for k in blocks}:  # blocks stand one after another
+            spans = sorted((min(v)[0], max(v)[0]) for k, v in blocks.items() if k[:2] == (s, e))
+            assert all(a[1] <= b[0] + 1e-12 for a, b in zip(spans, spans[1:]))
         copies = Counter(r["doc_id"] for r in out)
         for s in names:  # whole epochs before parts
             own = [copies[i] for i, t, _, x, *_ in rows if x == s and t]
             assert not own or max(own) - min(own) <= 1
+    same = mixing.mix(docs.repartition(7), block_tokens=100, shelves=shelves)
+    assert Counter(map(tuple, same.collect())) == Counter(map(tuple, mixing.mix(docs, block_tokens=100, shelves=shelves).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    """Ties: equal texts under equal ids are documents of their own, within the budget."""
+    docs = spark.createDataFrame([(i % 5, "a b c d", "x", "s", 0, 0, "x") for i in range(50)] + [(None, "a b c d", "x", "s", 0, 0, "x")] * 3, DOCS)
+    out = mixing.mix(docs, budget=99, block_tokens=40).collect()
+    assert sum(r["n_tokens"] for r in out) == 96 and mixing.mix(docs).count() == 53
+
+
 def test_weights():
     a, w = mixing.weights([1000, 10, 10], 1020)
     assert a > 0 and max(x * 1020 / t for x, t in zip(w, [1000, 10, 10], strict=True)) <= mixing.MAX_REPEATS + 1e-6
