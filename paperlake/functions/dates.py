@@ -13,7 +13,9 @@ DUE_WORDS = ("due date", "payment due", "pay before", "pay by", "must be receive
 EXPIRY_WORDS = ("exp", "expires", "expiration", "exp date", "exp.")
 #: A date after one of these, whole within the 30 characters before it, is a date of birth.
 BIRTH_MARKS = ("dob", "date of birth", "born", "birthday")
-NO_BIRTH = "".join(f"(?<!{m}{gap}:.{{0,{29 - len(m) - len(gap)}}})" for m in BIRTH_MARKS for gap in ("", " "))
+OF_BIRTH = rf"(?i)(?:{'|'.join(BIRTH_MARKS)}) ?:.*\z"
+#: Any of the three forms of a date, with what stands before it: up to 30 characters, or 32 before a short date.
+DATED = r"(?s)\b(?:20\d{2}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}/\d{2}/\d{2})\b(?<=(^.{0,39}|.{40}))"
 
 
 def four_digit_year(year: Column) -> Column:
@@ -30,20 +32,33 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def document_date(text: Column) -> Column:
-    """The first date that is no date of birth: ISO before MM/DD/YYYY before MM/DD/YY."""
-    return F.coalesce(_first(text, "(?i)" + NO_BIRTH + ISO), iso_date(_first(text, "(?i)" + NO_BIRTH + LONG)), iso_date(_first(text, "(?i)" + NO_BIRTH + SHORT)))
+    """The first date that is no date of birth: ISO before MM/DD/YYYY before MM/DD/YY. One pass over the text."""
+    short = r"(?<!\d)\d{2}/\d{2}/\d{2}$"
+    lead = F.transform(F.regexp_extract_all(text, F.lit(DATED), F.lit(1)), lambda x: F.when(x.rlike(short), F.right(x, F.lit(38))).otherwise(x))
+    first = lambda found, form: F.nullif(F.regexp_extract(F.get(F.filter(found, lambda x: x.rlike(form)), F.lit(0)), f"({form})", 1), F.lit(""))
+    return let(F.filter(lead, lambda x: ~x.rlike(OF_BIRTH)), lambda found: F.coalesce(
+        first(found, r"20\d{2}-\d{2}-\d{2}$"), iso_date(first(found, r"\d{2}/\d{2}/\d{4}$")), iso_date(first(found, short))))
+
+
+#: What stands before the date of a statement, in the order in which it is looked for.
+STATEMENT_LEADS = (r"statement\s+period\s+[\d/]{6,10}\s*-\s*", r"closing\s+date[:\s]*", r"as\s+of[:\s]*")
+NOTICE_LEAD = r"notice\s+date[:\s]*"
 
 
 def statement_date(text: Column) -> Column:
-    """The end of a statement period, a closing date, an as-of date or a notice date, in this order."""
-    d = r"(\d{1,2}/\d{1,2}/\d{2,4})"
+    """The end of a statement period, a closing date, an as-of date or a notice date with its month in words, in this order."""
     low = F.lower(text)
-    notice = r"notice\s+date[:\s]*(" + "|".join(MONTHS) + r")\s+(\d{1,2}),?\s*(\d{4})"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, notice, 1))
-    by_name = F.when(month > 0, F.concat_ws("-", F.regexp_extract(low, notice, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(low, notice, 2), 2, "0")))
-    return F.coalesce(
-        iso_date(_first(low, r"statement\s+period\s+\d{1,2}/\d{1,2}/\d{2,4}\s*-\s*" + d)), iso_date(_first(low, r"closing\s+date[:\s]*" + d)), iso_date(_first(low, r"as\s+of[:\s]*" + d)), by_name)
+    slashed = [iso_date(_first(low, lead + r"(\d{1,2}/\d{1,2}/\d{2,4})")) for lead in STATEMENT_LEADS]
+    worded = F.regexp_extract(low, NOTICE_LEAD + r"([a-z]+\s+\d{1,2},?\s*\d{4})", 1)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(worded, "^[a-z]+", 0))
+    number = lambda p: F.regexp_extract(worded, p, 1)
+    return F.coalesce(*slashed, F.when(month > 0, F.concat_ws("-", number(r"(\d{4})$"), F.lpad(month.cast("string"), 2, "0"), F.lpad(number(r"\s(\d{1,2})"), 2, "0"))))
 
 
 def _near(text: Column, words: tuple[str, ...], reach: int) -> Column:
@@ -71,6 +86,12 @@ def date_in_name(stem: Column) -> Column:
     return F.when(stem.rlike(m), F.concat_ws("-", *[F.regexp_extract(stem, m, k) for k in (1, 2, 3)]))
 
 
+def date_anywhere(stem: Column) -> Column:
+    """The first eight digits of a file name as a date."""
+    d = F.regexp_extract(stem, r"\d{8}", 0)
+    return F.when(d != "", F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)))
+
+
 def month_bucket(date: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(date, 1, 7), F.lit("")), F.lit("unknown"))
 

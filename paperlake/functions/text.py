@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import let
+
 #: Words that keywords leave out.
 STOP_WORDS = (
     "the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may might can this that these those it its not no nor as if "
@@ -96,36 +98,53 @@ def sequence_suffix(name: Column) -> Column:
 
 
 def page_indicator(text: Column) -> Column:
-    """struct(page, total) of "X of Y": the most frequent Y (first seen among equals) and its first X; null if none."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(\S*?)(\d{1,2})\s+(?:of|/)\s+(\d{1,3})(?!\d)"), F.lit(0))
-    pairs = F.transform(found, lambda m: F.struct(
-        F.regexp_extract(m, r"(\d{1,2})\s+(?:of|/)", 1).cast("int").alias("page"), F.regexp_extract(m, r"(\d{1,3})$", 1).cast("int").alias("total"), m.contains("/").alias("slash")))
-    good = F.filter(pairs, lambda p: (p["page"] >= 1) & (p["page"] <= p["total"]) & (p["total"] >= 3) & (p["total"] <= 50) & ~p["slash"])
-    ranked = F.transform(good, lambda p, i: F.struct(F.size(F.filter(good, lambda q: q["total"] == p["total"])).alias("n"), (-i).alias("first"), p["page"].alias("page"), p["total"].alias("total")))
-    best = F.array_max(ranked)
-    return F.when(F.size(good) > 0, F.struct(best["page"].alias("page"), best["total"].alias("total")))
+    """struct(page, total) of "X of Y": the most frequent Y (first seen among equals) and its first X; null if none.
+
+    A number whose token holds a slash is part of a date or a fraction; totals lie between 3 and 50."""
+    at = r"(?i)\S*?\d{1,2}\s+of\s+\d{1,3}(?!\d)"
+    pairs = F.transform(F.filter(F.regexp_extract_all(text, F.lit(at), F.lit(0)), lambda m: ~m.contains("/")), lambda m: F.struct(
+        F.regexp_extract(m, r"(?i)(\d{1,2})\s+of", 1).cast("int").alias("page"), F.regexp_extract(m, r"(\d+)$", 1).cast("int").alias("total")))
+    good = F.filter(pairs, lambda p: p["page"].between(1, p["total"]) & p["total"].between(3, 50))
+
+    def best(found):
+        # sorted by total, each run's length is its count: at most 48 totals are counted, once each
+        totals = F.array_distinct(F.transform(found, lambda p: p["total"]))
+        ranked = F.transform(totals, lambda y, i: F.struct(F.size(F.filter(found, lambda q: q["total"] == y)).alias("n"), (-i).alias("first"), y.alias("total")))
+        top = F.array_max(ranked)["total"]
+        return F.when(F.size(found) > 0, let(top, lambda y: F.get(F.filter(found, lambda p: p["total"] == y), F.lit(0))))
+
+    return let(good, best)
 
 
 def quality(text: Column) -> Column:
-    """0 (unreadable) to 1 of recognised text: printable share, word length, artefacts, noise lines, common words."""
+    """0 (unreadable) to 1 of recognised text: printable share, word length, artefacts, noise lines, common words.
+
+    Each step is worked out once for a text and handed to the next."""
     letters = lambda s: F.length(F.regexp_replace(s, r"[^\p{L}\s]", ""))
     trim = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    over = lambda a, b: a / F.nullif(b, F.lit(0))
     lines = F.filter(F.transform(F.split(text, "\n"), trim), lambda s: s != "")
-    signal = F.filter(lines, lambda s: letters(s) / F.length(s) >= 0.2)
-    joined = F.array_join(signal, "\n")
-    words = F.filter(F.split(joined, r"(?U)\s+"), lambda w: w != "")
-    printable = F.length(F.regexp_replace(joined, r"[^\p{L}\p{N}.,;:!?\-'\"()/@#$%&+= ]", ""))
-    base = F.least(F.lit(1.0), printable / F.length(F.replace(joined, F.lit(" "), F.lit(""))))
-    mean = F.length(F.array_join(words, "")) / F.size(words)
-    bars = F.size(F.filter(signal, lambda s: (F.size(F.array_distinct(F.split(F.replace(s, F.lit(" "), F.lit("")), ""))) <= 2) & (F.length(s) > 5)))
-    garbled = F.size(F.filter(words, lambda w: (F.length(w) > 4) & (F.length(F.regexp_replace(w, r"\p{L}", "")) / F.length(w) > 0.5)))
-    artefacts = bars + garbled
-    noise = (F.size(lines) - F.size(signal)) / F.size(lines)
-    low = F.lower(joined)
-    hits = sum((low.contains(w).cast("int") for w in COMMON_WORDS), F.lit(0))
-    score = base * F.when(mean < 2, 0.3).when(mean < 3, 0.7).otherwise(1.0) * F.when(artefacts > 5, 0.7).when(artefacts > 2, 0.85).otherwise(1.0) * F.when(noise > 0.5, 0.5).when(noise > 0.3, 0.75).otherwise(1.0)
-    score = F.least(F.lit(1.0), score + F.when(hits >= 5, 0.10).when(hits >= 2, 0.05).otherwise(0.0))
-    return F.when(F.coalesce(F.length(trim(text)), F.lit(0)) < 10, 0.0).when(F.size(signal) == 0, 0.1).otherwise(F.greatest(F.lit(0.0), score))
+    signal = lambda x: F.struct(F.size(x).alias("lines"), F.filter(x, lambda s: letters(s) / F.length(s) >= 0.2).alias("signal"))
+    joined = lambda z: F.struct(z["lines"].alias("lines"), z["signal"].alias("signal"), F.array_join(z["signal"], "\n").alias("joined"))
+    words = lambda z: F.struct(*[z[c].alias(c) for c in ("lines", "signal", "joined")], F.filter(F.split(z["joined"], r"(?U)\s+"), lambda w: w != "").alias("words"))
+
+    def measures(z):
+        printable = F.length(F.regexp_replace(z["joined"], r"[^\p{L}\p{N}.,;:!?\-'\"()/@#$%&+= ]", ""))
+        bars = F.size(F.filter(z["signal"], lambda s: (F.length(s) > 5) & (F.size(F.array_distinct(F.split(F.replace(s, F.lit(" "), F.lit("")), ""))) <= 2)))
+        garbled = F.size(F.filter(z["words"], lambda w: (F.length(w) > 4) & (F.length(F.regexp_replace(w, r"\p{L}", "")) / F.length(w) > 0.5)))
+        return F.struct(
+            F.size(z["signal"]).alias("n"), F.least(F.lit(1.0), over(printable, F.length(F.replace(z["joined"], F.lit(" "), F.lit(""))))).alias("base"), over(F.length(F.array_join(z["words"], "")), F.size(z["words"])).alias("mean"),
+            (bars + garbled).alias("artefacts"), over(z["lines"] - F.size(z["signal"]), z["lines"]).alias("noise"),
+            let(F.lower(z["joined"]), lambda low: sum((low.contains(w).cast("int") for w in COMMON_WORDS), F.lit(0))).alias("hits"))
+
+    def score(m):
+        of = (
+            m["base"] * F.when(m["mean"] < 2, 0.3).when(m["mean"] < 3, 0.7).otherwise(1.0) * F.when(m["artefacts"] > 5, 0.7).when(m["artefacts"] > 2, 0.85).otherwise(1.0)
+            * F.when(m["noise"] > 0.5, 0.5).when(m["noise"] > 0.3, 0.75).otherwise(1.0))
+        of = F.least(F.lit(1.0), of + F.when(m["hits"] >= 5, 0.10).when(m["hits"] >= 2, 0.05).otherwise(0.0))
+        return F.when(m["n"] == 0, 0.1).otherwise(F.greatest(F.lit(0.0), of))
+
+    return F.when(F.coalesce(F.length(trim(text)), F.lit(0)) < 10, 0.0).otherwise(let(let(let(let(let(lines, signal), joined), words), measures), score))
 
 
 def markdown_kind(line: Column) -> Column:

@@ -80,6 +80,28 @@ def tiered(docs: DataFrame, index: DataFrame) -> DataFrame:
         "doc_id", "path", F.element_at(F.array(*map(F.lit, TIERS)), F.col("best.tier") + 1).alias("match_type"), F.col("best.score").alias("match_score"))
 
 
+def matches(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """The same tiers without pairs: for each document and tier how many indexed paths match it and the first of them (its own path
+    too, where the index has it under the same content). The index is counted by its key before it meets a document, so that copies do not multiply."""
+    out = None
+    for tier, (own, theirs) in {"exact": ("sha256", "sha256"), "name": ("target", "path"), "text": ("text_hash", "text_hash")}.items():
+        found = index.groupBy(F.col(theirs).alias("_key")).agg(F.count("*").alias("n"), F.min("path").alias("first"), F.min(F.struct("path", "sha256")).alias("_one"))
+        d = docs.select("doc_id", F.col("path").alias("_path"), F.col("sha256").alias("_sha"), F.col(own).alias("_key"))
+        j = d.join(found, "_key")
+        if tier == "name":
+            j = j.where((F.col("_one.sha256") != F.col("_sha")) & (F.col("first") != F.col("_path")))
+        part = j.select("doc_id", F.lit(tier).alias("match_type"), "n", "first", "_path", "_key")
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", "match_type", "n", F.col("first").alias("first_path"))
+
+
+def restricted(pairs: DataFrame, root: str) -> DataFrame:
+    """Matches (doc_id, path) anywhere and those below a destination, counted for each document, with the first of each."""
+    inside = F.col("path").startswith(root.rstrip("/") + "/")
+    return pairs.groupBy("doc_id").agg(
+        F.count("*").alias("anywhere"), F.min("path").alias("first_anywhere"), F.count_if(inside).alias("at_destination"), F.min(F.when(inside, F.col("path"))).alias("first_at_destination"))
+
+
 def duplicate_groups(files: DataFrame, key: str = "sha256") -> DataFrame:
     """Groups of equal files with their first path and size: no pairs are made."""
     return files.groupBy(key).agg(F.count("*").alias("copies"), F.min("path").alias("first_path"), F.min("doc_id").alias("first_id")).where("copies > 1")
@@ -113,3 +135,15 @@ def reuse_neighbours(docs: DataFrame) -> DataFrame:
     """The first known value within a neighbourhood serves later documents (docs: doc_id, key, hits)."""
     w = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return docs.withColumn("served", F.first("hits", ignorenulls=True).over(w))
+
+
+def prune(index: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, gone): indexed rows whose path is in the listing, and the others."""
+    paths = listing.select("path").distinct()
+    return index.join(paths, "path", "left_semi"), index.join(paths, "path", "left_anti")
+
+
+def plan_counts(plan: DataFrame) -> DataFrame:
+    """One row: how many rows of a plan (path, target) change anything."""
+    changed = ~F.col("path").eqNullSafe(F.col("target"))
+    return plan.agg(F.count_if(changed).alias("changed"), F.count_if(~changed).alias("unchanged"))

@@ -63,3 +63,37 @@ def verify_moves(plan: DataFrame, landed: DataFrame) -> DataFrame:
     """Planned moves (target, sha256) against the landed files (path, sha256), with the reason where they differ."""
     j = plan.alias("p").join(landed.alias("l"), F.col("p.target") == F.col("l.path"), "left")
     return j.select("p.target", F.when(F.col("l.path").isNull(), "missing").when(F.col("p.sha256") != F.col("l.sha256"), "hash differs").otherwise("ok").alias("result"))
+
+
+def decisions(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Approvals (sha, name, destination, ts) against the proposals (sha, name, destination): the last approval of each counts;
+    what it changes names the feedback, and its values become the proposal's."""
+    last = latest_wins(approvals.select("sha", "ts", F.col("name").alias("new_name"), F.col("destination").alias("new_destination")), "sha", ["ts", "new_name"])
+    j = proposals.join(last, "sha", "left")
+    kind = (
+        F.when(F.col("ts").isNull(), F.lit(None).cast("string")).when(F.col("new_destination").isNotNull() & (F.col("new_destination") != F.col("destination")), "override_destination")
+        .when(F.col("new_name").isNotNull() & (F.col("new_name") != F.col("name")), "rename_correction").otherwise("approve"))
+    return j.select("sha", F.coalesce("new_name", "name").alias("name"), F.coalesce("new_destination", "destination").alias("destination"), kind.alias("feedback"))
+
+
+def unrecovered(failed: DataFrame) -> DataFrame:
+    """Failed moves (id, source, target, failed_at, recovered_at) that nothing has mended yet."""
+    return failed.where(F.col("recovered_at").isNull())
+
+
+def mark_recovered(failed: DataFrame, retried: DataFrame) -> DataFrame:
+    """Failed moves after their retries (id, ts, ok): the first that worked is when a move was recovered, and how."""
+    worked = retried.where("ok").groupBy("id").agg(F.min("ts").alias("_at"))
+    j = failed.join(worked, "id", "left")
+    return j.withColumns({"recovered_at": F.coalesce("recovered_at", "_at"), "recovery_action": F.when(F.col("recovered_at").isNull() & F.col("_at").isNotNull(), "retried")}).drop("_at")
+
+
+CLINICAL = ("reason", "diagnosis", "physician", "facility", "medication", "brand")
+
+
+def with_clinical(docs: DataFrame, batch: DataFrame) -> DataFrame:
+    """docs (sha256, ...) with the clinical fields of the newest batch row (sha256, ts) of their content that has any."""
+    fields = [c for c in CLINICAL if c in batch.columns]
+    some = batch.where(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in fields]).isNotNull())
+    newest = some.groupBy("sha256").agg(F.max(F.struct("ts", *fields)).alias("_r")).select("sha256", *[F.nullif(F.col(f"_r.{c}"), F.lit("")).alias(c) for c in fields])
+    return docs.join(newest, "sha256", "left")

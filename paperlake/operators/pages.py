@@ -22,6 +22,38 @@ def segments(pages: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.partitionBy("folder", "segment").orderBy("page")) - 1)
 
 
+def document_segments(pages: DataFrame) -> DataFrame:
+    """Runs of related types within a folder (folder, page, doc_type): a page starts a new one where its type and that of the
+    page before it are known and belong to different groups of types. Numbered from 1."""
+    from .select import related_group
+
+    w = Window.partitionBy("folder").orderBy("page")
+    kind = F.lower(F.coalesce("doc_type", F.lit("")))
+    before = F.lag(kind).over(w)
+    change = F.coalesce((before != "") & (kind != "") & (related_group(before) != related_group(kind)), F.lit(False))
+    out = pages.withColumn("_c", change.cast("int")).withColumn("segment", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_c")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("folder", "segment").orderBy("page")) - 1)
+
+
+def segment_proposals(pages: DataFrame) -> DataFrame:
+    """Names and destinations of pages (folder, page, doc_type, provider, person, scan_date, path, destination) by their segment:
+    its most common type and provider (the first seen among equals), numbered from 000."""
+    from ..functions import text
+    from .classification import run_destination
+
+    s = document_segments(pages)
+
+    def common(value: str) -> DataFrame:
+        counts = s.where(F.col(value) != "").groupBy("folder", "segment", value).agg(F.count("*").alias("n"), F.min("page").alias("first"))
+        return counts.groupBy("folder", "segment").agg(F.max_by(value, F.struct(F.col("n"), -F.col("first"))).alias(f"_{value}"))
+
+    first = s.groupBy("folder", "segment").agg(F.min_by("scan_date", "page").alias("_day"))
+    out = s.join(common("doc_type"), ["folder", "segment"], "left").join(common("provider"), ["folder", "segment"], "left").join(first, ["folder", "segment"])
+    kind, provider = F.coalesce("_doc_type", F.lit("Document")), F.coalesce("_provider", F.lit("Unknown"))
+    name = F.concat(F.concat_ws("_", F.coalesce(F.nullif(F.col("_day"), F.lit("")), F.lit("0000-00-00")), text.safe_part(provider), text.safe_part(kind), text.safe_part(F.col("person")), F.lpad(F.col("place").cast("string"), 3, "0")), F.coalesce(F.nullif(text.suffix(F.col("path")), F.lit("")), F.lit(".jpg")))
+    return out.select("folder", "page", "segment", kind.alias("segment_type"), provider.alias("segment_provider"), name.alias("proposed_name"), run_destination(kind, F.col("person"), F.col("destination")).alias("destination"))
+
+
 def segment_summary(pages: DataFrame) -> DataFrame:
     """One row per segment: its most common non-empty value, the first seen among equals, and its pages."""
     s = segments(pages)
@@ -30,20 +62,36 @@ def segment_summary(pages: DataFrame) -> DataFrame:
     return s.groupBy("folder", "segment").agg(F.min("doc_type").alias("doc_type"), F.count("*").alias("pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page")).join(best, ["folder", "segment"], "left")
 
 
+def side_of(ts: int, at: int | None, last: str, minutes: int) -> tuple[str | None, int, str]:
+    """The side of a scan at ts (microseconds), and the state after it, from the clock and the last side before it: front, back,
+    then none while the clock of the last named scan runs; the third scan restarts it once, later ones do not."""
+    fresh = at is None or ts - at > minutes * 60_000_000
+    side = "Front" if fresh else "Back" if last == "Front" else None
+    return side, ts if fresh or last in ("Front", "Back") else at, side or "Unknown"
+
+
 def sides(scans: DataFrame, *, minutes: int = 30) -> DataFrame:
-    """Front or back of each scan by the order within (person, doc_type, day): front, back, then none while the clock of
-    the last named scan runs; the third scan restarts it once, later ones do not."""
-    start = F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit("").alias("last"), F.array().cast("array<struct<scan_id:bigint,side:string>>").alias("out"))
+    """Front or back of each scan (person, doc_type, day, scan_id, ts) by the order within (person, doc_type, day). Scans pass in
+    order with two values of state, so that a group of any size takes no more memory than one scan."""
+    keys = ["person", "doc_type", "day"]
+
+    def run(batches):
+        import pandas as pd
 
-    def step(acc, x):
-        fresh = acc["at"].isNull() | (F.unix_micros(x["ts"]) - F.unix_micros(acc["at"]) > minutes * 60_000_000)
-        side = F.when(fresh, "Front").when(acc["last"] == "Front", "Back")
-        last = F.when(fresh, "Front").when(acc["last"] == "Front", "Back").otherwise("Unknown")
-        moved = fresh | acc["last"].isin("Front", "Back")
-        return F.struct(F.when(moved, x["ts"]).otherwise(acc["at"]).alias("at"), last.alias("last"), F.concat(acc["out"], F.array(F.struct(x["scan_id"].alias("scan_id"), side.alias("side")))).alias("out"))
+        group, at, last = None, None, ""
+        for b in batches:
+            out = []
+            for *key, scan, ts in zip(*(b[c] for c in keys), b["scan_id"], b["_us"], strict=True):
+                if key != group:
+                    group, at, last = key, None, ""
+                side, at, last = side_of(ts, at, last, minutes)
+                out.append(side)
+            yield pd.DataFrame({**{c: b[c] for c in keys}, "scan_id": b["scan_id"], "side": pd.Series(out, dtype=object)})
 
-    rows = scans.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("person", "doc_type", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "scan_id"))).alias("rows"))
-    return rows.select("person", "doc_type", "day", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("s")).select("person", "doc_type", "day", "s.scan_id", "s.side")
+    types = dict(scans.dtypes)
+    rows = scans.select(*keys, "scan_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "_us", "scan_id")
+    return rows.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in (*keys, "scan_id")) + ", side string")
 
 
 def conflict_suffixes(plan: DataFrame) -> DataFrame:
@@ -54,12 +102,12 @@ def conflict_suffixes(plan: DataFrame) -> DataFrame:
 
 
 def unique_targets(plan: DataFrame, taken: DataFrame) -> DataFrame:
-    """The smallest free version of each wanted name (name, path): _v2, _v3 ... after the taken ones (name, version)."""
-    used = taken.groupBy("name").agg(F.sort_array(F.collect_set("version")).alias("used"))
+    """The smallest free version of each wanted name (name, path): _v2, _v3 ... after the taken ones (name, version). The k-th
+    free number is k and as many more as there are taken numbers below it."""
+    used = taken.where("version > 0").groupBy("name").agg(F.sort_array(F.collect_set("version")).alias("used"))
     w = Window.partitionBy("name").orderBy("path")
     ranked = plan.withColumn("k", F.row_number().over(w)).join(used, "name", "left")
-    free = F.array_except(F.sequence(F.lit(1), F.col("k") + F.coalesce(F.size("used"), F.lit(0))), F.coalesce("used", F.array().cast("array<int>")))
-    version = F.element_at(F.sort_array(free), F.col("k"))
+    version = F.col("k") + F.coalesce(F.size(F.filter("used", lambda u, j: u - 1 - j < F.col("k"))), F.lit(0))
     return ranked.select("path", "name", F.when(version == 1, F.col("name")).otherwise(F.concat("name", F.lit("_v"), version.cast("string"))).alias("target"))
 
 

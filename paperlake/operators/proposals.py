@@ -17,6 +17,14 @@ BUSINESS = (
     ("Election", ("s corporation", "s-corp", "form 2553")),
     ("Tax", ("internal revenue service", "department of the treasury", "employer id")),
 )
+#: Papers of a company by their words, in order; words in one entry stand together.
+PAPERS = (
+    ("EINConfirmation", (("cp 575",), ("ss-4",))),
+    ("SCorporationElection", (("form 2553",), ("s-corp",), ("s corporation", "election"))),
+    ("SCorporationElection", (("cp 261",), ("cp261",), ("accepted", "s corporation"))),
+    ("GovernmentFiling", (("division of corporations",), ("department of state",), ("sunbiz",), ("tracking number", "document number"))),
+    ("EINConfirmation", (("employer identification number",), ("ein ",))),
+)
 PATIENT_TYPES = ("medical_record", "lab_requisition", "prescription", "referral", "bill", "medical_bill")
 
 
@@ -42,12 +50,20 @@ def identity_labels(scans: DataFrame) -> DataFrame:
     return out.select("scan_id", F.concat("kind", F.coalesce("side", F.lit(""))).alias("label"), "day", F.col("side").isNull().alias("needs_side"))
 
 
+#: What ends the name after a patient's label.
+PATIENT_ENDS = ("M", "F", "Male", "Female", "DOB", "Date", "SSN", "MRN", "Born", "Age")
+PATIENT_LABEL = rf"(?i)patient\s*(?:name|information)?[\s:\-]*([\w,\s]+?)\s*(?:{'|'.join(PATIENT_ENDS)}|\d)"
+
+
 def patient(low: Column, people: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
-    """The person of whom an alias is nearest to the first "patient" (ten characters before to two hundred after)."""
+    """The first person with an alias in what follows a patient's label, else the one of whom an alias is nearest to the first
+    "patient" (ten characters before to two hundred after)."""
+    labelled = F.regexp_extract(low, PATIENT_LABEL, 1)
+    named = [F.when(labelled.contains(a), F.lit(p)) for p, names in people for a in names]
     at = F.locate("patient", low)
     near = F.when(at > 0, F.substring(low, F.greatest(at - 10, F.lit(1)), F.lit(210)))
     found = [F.when(F.locate(a, near) > 0, F.struct(F.locate(a, near).alias("pos"), F.lit(i).alias("ord"), F.lit(p).alias("person"))) for i, (p, names) in enumerate(people) for a in names]
-    return F.array_min(F.array_compact(F.array(*found)))["person"]
+    return F.coalesce(*named, F.array_min(F.array_compact(F.array(*found)))["person"])
 
 
 def prefer_patient(doc_type: Column, patient_: Column, person: Column) -> Column:
@@ -60,5 +76,12 @@ def ambiguity(ambiguous: Column, question: Column, company: Column) -> Column:
 
 
 def business_kind(low: Column, in_company_folder: Column) -> Column:
-    tests = [F.when(in_company_folder & F.greatest(*[low.contains(w) for w in words], F.lit(False)), kind) for kind, words in BUSINESS]
+    more = {"BusinessCreditCard": low.contains("minimum payment due") & low.contains("new balance"), "Tax": low.rlike(r"(?:^|\s)irs(?:\s|$)")}
+    tests = [F.when(in_company_folder & (F.greatest(*[low.contains(w) for w in words], F.lit(False)) | more.get(kind, F.lit(False))), kind) for kind, words in BUSINESS]
     return F.coalesce(*tests)
+
+
+def company_paper(low: Column) -> Column:
+    """The kind of a company's paper: tax number, election, its acceptance, filing; null for others."""
+    together = lambda words: F.least(*[low.contains(w) for w in words], F.lit(True))
+    return F.when(low.isNotNull(), F.coalesce(*[F.when(F.greatest(*[together(words) for words in entry], F.lit(False)), label) for label, entry in PAPERS]))

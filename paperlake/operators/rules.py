@@ -1,4 +1,4 @@
-"""Rule tables compiled to Columns, and the classification of documents as one narrow projection."""
+"""Rule tables, their patterns compiled to Columns, the approval gate and learned corrections."""
 
 from __future__ import annotations
 
@@ -8,17 +8,30 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, fields, text
+from ..functions import text
 
 
 @dataclass(frozen=True)
 class TypeRule:
     id: str
     patterns: tuple[str, ...]
-    category: str
+    category: str = ""
     labels: dict[str, str] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class FolderRule:
+    """What a pattern in a path says of the documents below it."""
+
+    pattern: str
+    doc_type: str | None = None
+    person: str | None = None
+    company: str | None = None
+    event: str | None = None
+    ambiguous: bool = False
+    question: str | None = None
+
+
 @dataclass(frozen=True)
 class OrgRule:
     id: str
@@ -40,7 +53,17 @@ class Rules:
     archives: dict[str, str] = field(default_factory=dict)
     default_destination: str = "Inbox/Unsorted/"
     current_year: int = 1998
-    bank_words: tuple[str, ...] = ("account number", "statement period", "closing date", "credit limit", "minimum payment due", "payment due date", "balance transfer")
+    bank_words: tuple[str, ...] = ()
+    #: Categories of types whose own route comes before the organisation's.
+    priority: tuple[str, ...] = ("Prescription", "EyeExam", "SchoolEntry", "Business", "Bill", "MedicalBill", "LabBill", "DentalBill", "HospitalBill", "VisionBill")
+    folders: tuple[FolderRule, ...] = ()
+    path_people: tuple[tuple[str, str], ...] = ()
+    companies: tuple[tuple[str, str], ...] = ()
+    medications: tuple[tuple[str, str], ...] = ()
+    health_template: str = "Health/{person}/"
+    identity_template: str = "Legal/Identity/{person}/"
+    employment_folder: str = "Archive/Employment/"
+    business_root: str = "Companies/"
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The same rules as DataFrames."""
@@ -48,6 +71,7 @@ class Rules:
             "rules_type": spark.createDataFrame([(i, r.id, r.category, list(r.patterns), r.labels) for i, r in enumerate(self.types)], "ord int, id string, category string, patterns array<string>, labels map<string,string>"),
             "rules_org": spark.createDataFrame([(i, r.id, list(r.names), r.category, r.person, r.destination, r.folder_alias) for i, r in enumerate(self.orgs)], "ord int, id string, names array<string>, category string, person string, destination string, folder_alias string"),
             "rules_person": spark.createDataFrame([(i, j, p, a) for i, (p, names) in enumerate(self.people) for j, a in enumerate(names)], "ord int, alias_ord int, person string, alias string"),
+            "rules_folder": spark.createDataFrame([(i, r.pattern, r.doc_type, r.person, r.company, r.event, r.ambiguous, r.question) for i, r in enumerate(self.folders)], "ord int, pattern string, doc_type string, person string, company string, event string, ambiguous boolean, question string"),
             "rules_route": spark.createDataFrame(list(self.routes.items()), "category string, template string"),
         }
 
@@ -106,55 +130,36 @@ def attribute(org: Column, rules: Rules, name: str) -> Column:
     return F.coalesce(*[F.when(org == k, F.lit(v)) for k, v in found.items()], F.lit(None).cast("string"))
 
 
-def person_match(low: Column, stem: Column, rules: Rules, default: str) -> Column:
+def rules_of(document: dict) -> Rules:
+    """Rules from a parsed rules document: lists document_types, organizations and people, and a routing table."""
+    routing = document.get("routing", {})
+    return Rules(
+        types=tuple(TypeRule(r["id"], tuple(r["patterns"]), r.get("category", ""), dict(r.get("labels", {}))) for r in document.get("document_types", ())),
+        orgs=tuple(OrgRule(r["id"], tuple(r["names"]), r.get("category", ""), r.get("person"), r.get("destination"), r.get("folder_alias")) for r in document.get("organizations", ())),
+        people=tuple((r["name"], tuple(r["aliases"])) for r in document.get("people", ())),
+        routes={k: v["template"] for k, v in routing.get("category_routing", {}).items() if v.get("template")},
+        archives=dict(routing.get("archive_templates", {})),
+        folders=tuple(FolderRule(**r) for r in routing.get("folders", ())),
+        path_people=tuple((r["pattern"], r["person"]) for r in routing.get("path_people", ())),
+        companies=tuple((a, r["folder"]) for r in routing.get("business_companies", ()) for a in r["match"]),
+        **{k: document[k] for k in ("default_destination", "current_year") if k in document})
+
+
+def person_match(low: Column, stem: Column, rules: Rules, default: str, path: Column | None = None) -> Column:
+    """The first person named in the text, else in the file name, else by a pattern of the path, else the default."""
+    by_path = [F.when(path.rlike("(?i)" + p), F.lit(who)) for p, who in rules.path_people] if path is not None else []
     has = lambda c, aliases: F.exists(F.array(*map(F.lit, aliases)), lambda a: c.contains(a))
-    return F.coalesce(*[F.when(has(low, names), p) for p, names in rules.people], *[F.when(has(F.lower(stem), names), p) for p, names in rules.people], F.lit(default))
+    return F.coalesce(*[F.when(has(low, names), p) for p, names in rules.people], *[F.when(has(F.lower(stem), names), p) for p, names in rules.people], *by_path, F.lit(default))
 
 
 def hits(low: Column, words: tuple[str, ...]) -> Column:
     return sum((low.contains(w).cast("int") for w in words), F.lit(0))
 
 
-def classify(docs: DataFrame, rules: Rules, *, default_person: str = "Shared") -> DataFrame:
-    """docs (doc_id, path, text, mtime) with type, organisation, person, dates, name, destination and confidences.
-
-    A chain of projections without a shuffle; patterns are compiled from the rule tables once, on the driver.
-    """
-    t, low = F.col("norm"), F.col("low")
-    out = docs.withColumn("norm", text.normalise_spaces(F.col("text"))).withColumn("low", F.lower("norm")).withColumn("stem", text.stem(F.col("path")))
-    out = out.withColumn("person", person_match(low, F.col("stem"), rules, default_person))
-    out = out.withColumn("type0", F.coalesce(type_match(low, rules), type_match(F.lower("stem"), rules)))
-    out = out.withColumn("orgs", org_matches(low, rules)).withColumn("org", best_org(F.col("orgs"), F.col("type0"), rules))
-    bank = hits(low, rules.bank_words) >= 3
-    doc_type = F.when(bank & F.col("type0").isin("bill", "insurance", "vehicle", "medical_record", "prescription", "receipt"), "business").otherwise(F.col("type0"))
-    out = out.withColumn("doc_type", doc_type)
-    out = out.withColumn("doc_date", F.coalesce(dates.document_date(t), F.date_format("mtime", "yyyy-MM-dd"))).withColumn("amount", dates.amount(t))
-    out = out.withColumn("provider", text.safe_part(F.coalesce(attribute(F.col("org"), rules, "folder_alias"), F.col("org"), F.lit("Unknown"))))
-    category = F.coalesce(attribute(F.col("org"), rules, "category"), F.lit(""))
-    labels = F.coalesce(*[F.when((F.col("doc_type") == r.id) & (category == c), v) for r in rules.types for c, v in r.labels.items() if c != "default"], *[F.when(F.col("doc_type") == r.id, r.labels["default"]) for r in rules.types if "default" in r.labels], F.initcap("doc_type"), F.lit("Document"))
-    out = out.withColumn("label", labels)
-    year = F.substring("doc_date", 1, 4)
-    past = year.cast("int") < rules.current_year
-    route = F.coalesce(*[F.when((F.col("type_category") == c) & past, F.lit(v)) for c, v in rules.archives.items()], *[F.when(F.col("type_category") == c, F.lit(v)) for c, v in rules.routes.items()], attribute(F.col("org"), rules, "destination"), F.lit(rules.default_destination))
-    out = out.withColumn("type_category", F.coalesce(*[F.when(F.col("doc_type") == r.id, r.category) for r in rules.types], F.lit(None).cast("string")))
-    values = {"person": F.col("person"), "provider": F.col("provider"), "year": year, "month": dates.month_bucket(F.col("doc_date"))}
-    out = out.withColumn("destination", text.tidy_path(text.fill_template(route, values)))
-    name = F.concat_ws("_", F.col("doc_date"), F.col("provider"), F.col("label"), F.col("person"))
-    paid = F.when(F.col("amount").isNotNull() & F.col("doc_type").isin("bill", "receipt"), F.concat(F.lit("_$"), F.col("amount"))).otherwise("")
-    out = out.withColumn("proposed_name", F.concat(name, paid, text.suffix(F.col("path"))))
-    rule = F.when(F.col("doc_type").isNotNull() & F.col("org").isNotNull(), 0.92).when(F.col("doc_type").isNotNull(), 0.88).when(F.col("org").isNotNull(), 0.72).otherwise(0.55)
-    out = out.withColumn("rule_confidence", rule).withColumn("rule_match_id", F.concat_ws(":", F.coalesce("doc_type", F.lit("none")), F.coalesce("org", F.lit("none"))))
-    clashes = F.size("orgs") > 1
-    weak = F.length("norm") < 100
-    agrees = F.col("type_category") == category
-    score = F.col("rule_confidence") - F.when(clashes, 0.15).otherwise(0.0) - F.when((F.col("doc_type") == "identity_card") & F.col("org").isNotNull(), 0.20).otherwise(0.0) - F.when(weak, 0.15).otherwise(0.0) + F.when(agrees, 0.05).otherwise(0.0)
-    return out.withColumn("confidence", F.round(dates.clamp(score), 4))
-
-
 def auto_approve(results: DataFrame, *, threshold: float = 0.9, never: tuple[str, ...] = ("identity_card", "business"), safe: tuple[str, ...] = ("prescription", "lab_requisition", "bill")) -> DataFrame:
     """results with approved and the reason."""
     reason = (
-        F.when(F.length("norm") < 20, "weak text").when(F.col("confidence") < threshold, "low confidence").when(F.col("doc_type").isin(*never), "never")
+        F.when((F.length("norm") < 20) | (F.coalesce(F.col("quality"), F.lit(1.0)) < 0.2 if "quality" in results.columns else F.lit(False)), "weak text").when(F.col("confidence") < threshold, "low confidence").when(F.col("doc_type").isin(*never), "never")
         .when(~F.coalesce(F.col("doc_type").isin(*safe), F.lit(False)), "not safe").otherwise("ok"))
     return results.withColumn("reason", reason).withColumn("approved", F.col("reason") == "ok")
 

@@ -92,3 +92,24 @@ def expand_person(rows: DataFrame, people: DataFrame) -> DataFrame:
     # a rule table
     hits = rows.join(F.broadcast(people), F.lower("text").contains(F.lower("alias")))
     return hits.groupBy("doc_id").agg(F.min_by("person", F.struct("ord", "alias_ord")).alias("person"))
+
+
+def lookup(rows: DataFrame, asked: str, *, key: str = "sha256", name: str = "original_filename", newest: str = "first_seen_at") -> DataFrame:
+    """Rows of a hash (64 hex digits), else the newest one whose name holds what was asked."""
+    if len(asked) == 64 and not set(asked) - set("0123456789abcdef"):
+        return rows.where(F.col(key) == asked)
+    return rows.where(F.col(name).contains(asked)).orderBy(F.desc(newest), key).limit(1)
+
+
+def listing(rows: DataFrame, *order: Column, most: int = 20, offset: int = 0) -> DataFrame:
+    """A page of a sorted table."""
+    return rows.orderBy(*order).offset(offset).limit(most)
+
+
+def size_mb(n_bytes: Column) -> Column:
+    return F.round(n_bytes / 1048576, 2)
+
+
+def chosen(rows: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Pending rows, or those of some hashes (sha256)."""
+    return rows.where("status = 'pending'") if hashes is None else rows.join(hashes.select("sha256").distinct(), "sha256", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import CONFIDENCE_BANDS, band, percent_text
@@ -87,3 +87,40 @@ def most_common(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The most common non-empty value per key; the first seen among equals."""
     counts = rows.where((F.col(value) != "") & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return counts.groupBy(key).agg(F.max_by(value, F.struct(F.col("n"), -F.col("first"))).alias(value))
+
+
+def batch_summary(results: DataFrame, key: str = "batch") -> DataFrame:
+    """One row per batch of results (ok, confidence, seconds, cached)."""
+    return results.groupBy(key).agg(
+        F.count("*").alias("processed"), F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"), F.round(F.avg("confidence"), 4).alias("mean_confidence"),
+        F.round(F.avg("seconds"), 2).alias("mean_seconds"), F.count_if("cached").alias("cache_hits"))
+
+
+def destinations(results: DataFrame) -> DataFrame:
+    """Groups of a notification (destination, confidence, rule_confidence, approved): the badge follows the least confidence of
+    the classification where it is over 0.10 away from the rule's, else the rule's."""
+    out = results.groupBy("destination").agg(
+        F.count("*").alias("n"), F.min("confidence").alias("least_confidence"), F.min("rule_confidence").alias("least_rule_confidence"), F.count_if("approved").alias("approved"))
+    shown = F.when(F.abs(F.col("least_confidence") - F.col("least_rule_confidence")) > 0.10, F.col("least_confidence")).otherwise(F.col("least_rule_confidence"))
+    return out.withColumn("badge", band(shown, ((0.85, "high"), (0.70, "good"), (0.50, "medium")), "low"))
+
+
+def event_lists(rows: DataFrame, key: str, lists: dict[str, str], most: int = 1000) -> DataFrame:
+    """For each event how many files it has and the sorted distinct values of some columns: the first `most` of each, which is what
+    a report can show, with the number of all of them."""
+    out = rows.groupBy(key).agg(F.count("*").alias("files"))
+    for name, column in lists.items():
+        distinct = rows.where(F.col(column).isNotNull()).select(key, column).distinct()
+        ranked = distinct.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(column)))
+        part = ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("_k") <= most, F.col(column)))), ",").alias(name), F.count("*").alias(f"n_{name}"))
+        out = out.join(part, key, "left")
+    return out
+
+
+def dashboard(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one row each, side by side."""
+    out = None
+    for p in parts:
+        p = p.withColumn("_k", F.lit(1))
+        out = p if out is None else out.join(p, "_k")
+    return out.drop("_k")

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, fields, text
-from ..operators import dedup, lifecycle, pages, rules, stats
+from ..operators import classification, dedup, lifecycle, pages, rules, stats
 from ..sources import readers, writers
 from ..streaming import inbox
+from .cases import RULES as CASE_RULES
+from .cases import answers_sql, case_docs
 from .views import AS_OF, FILE_INDEX, LIFECYCLE, RULES, SCAN_DOCS, file_index, scan_docs, t
 from .views import lifecycle as life
 
@@ -36,7 +38,7 @@ def as_of():
 
 CLASSIFIED = "with " + SCAN_DOCS + """,
 low as (select *, lower(text) as low from scan_docs),
-matched as (select *,
+matched as (select *, strftime(mtime, '%Y-%m-%d') as doc_date, regexp_extract(text, '\\$\\s*([0-9]{1,3}(?:,[0-9]{3})*(?:\\.[0-9]{2})?)', 1) as amount, array_to_string(list_filter(regexp_split_to_array(split_part(path, '/', 3), '[^A-Za-z0-9]+'), lambda x: length(x) > 1), '_') as event,
   case when contains(low, 'invoice') or contains(low, 'amount due') then 'bill' when contains(low, 'prescription') or regexp_matches(low, '\\brx\\b') then 'prescription' when regexp_matches(low, 'lab\\s+requisition') then 'lab_requisition'
        when contains(low, 'credit limit') then 'insurance' when contains(low, 'account number') then 'business' end as type0,
   list_filter([case when regexp_matches(low, '\\bautomobile\\b') then 'autohaus' end, case when regexp_matches(low, '\\bbuilding\\b') then 'buildco' end, case when regexp_matches(low, '\\bfurniture\\b') then 'furnish' end,
@@ -44,26 +46,37 @@ matched as (select *,
   case when contains(low, 'customer#000000001') or contains(low, 'customer#000000007') then 'Ada' when contains(low, 'customer#00000000') then 'Bo' when contains(low, 'customer#0000000') then 'Cy' else 'Shared' end as person from low),
 typed as (select *, case when type0 = 'insurance' then 'business' else type0 end as doc_type,
   coalesce(case when type0 in ('prescription', 'lab_requisition') then list_filter(orgs, lambda x: x in ('furnish', 'homecare', 'patients'))[1] when type0 in ('bill', 'insurance') then list_filter(orgs, lambda x: x = 'autohaus')[1]
-                when type0 = 'business' then list_filter(orgs, lambda x: x = 'buildco')[1] end, orgs[1]) as org,
-  concat(regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 3), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 1), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 2)) as doc_date,
-  regexp_extract(text, '\\$\\s*([0-9]{1,3}(?:,[0-9]{3})*(?:\\.[0-9]{2})?)', 1) as amount from matched),
-placed as (select *, case org when 'autohaus' then 'Auto_Haus' when 'homecare' then 'Home-Care' else org end as provider,
+                when type0 = 'business' then list_filter(orgs, lambda x: x = 'buildco')[1] end, orgs[1]) as org from matched),
+placed as (select *, case org when 'autohaus' then 'Auto Haus' when 'buildco' then 'building' when 'furnish' then 'furniture' when 'homecare' then 'Home-Care' when 'patients' then 'patient' else 'Unknown' end as provider,
   case org when 'autohaus' then 'Insurance' when 'buildco' then 'Business' when 'furnish' then 'Medical' when 'homecare' then 'Medical' when 'patients' then 'Lab' end as org_category,
   case doc_type when 'bill' then 'Bill' when 'prescription' then 'Medical' when 'lab_requisition' then 'Lab' when 'business' then 'Business' end as type_category,
   substr(doc_date, 1, 4) as y from typed),
+labelled as (select *, coalesce(case when type_category in ('Bill', 'Business') then type_category end, org_category, type_category) as route,
+  case when doc_type = 'bill' and org_category = 'Insurance' then 'InsuranceBill' when doc_type = 'bill' then 'Bill' when doc_type = 'prescription' then 'Rx' when doc_type = 'lab_requisition' then 'LabReq' when doc_type = 'business' then 'Statement' else 'Unknown' end as label,
+  case when doc_type is null then 0.40 when org is not null then 0.88 else 0.55 end as rule_confidence, case when doc_type is null then 'folder-hint:Scan' else concat(doc_type, ':', coalesce(org, 'no-org')) end as rule_match_id from placed),
 classified as (select *,
-  case when doc_type = 'bill' and org_category = 'Insurance' then 'InsuranceBill' when doc_type = 'bill' then 'Bill' when doc_type = 'prescription' then 'Rx' when doc_type = 'lab_requisition' then 'LabReq' when doc_type = 'business' then 'Statement' else 'Document' end as label,
-  case when type_category = 'Bill' and cast(y as int) < 1996 then concat('Archive/', y, '/Finance/', provider, '/') when type_category = 'Bill' then concat('Finance/', provider, '/', y, '/') when type_category = 'Medical' then concat('Health/', person, '/', substr(doc_date, 1, 7), '/')
-       when type_category = 'Lab' then concat('Health/', person, '/Lab/') when type_category = 'Business' then concat('Companies/', provider, '/', y, '/') when org = 'buildco' then 'Companies/Build/' else 'Inbox/Unsorted/' end as destination,
-  case when doc_type is not null and org is not null then 0.92 when doc_type is not null then 0.88 when org is not null then 0.72 else 0.55 end as rule_confidence,
-  concat(coalesce(doc_type, 'none'), ':', coalesce(org, 'none')) as rule_match_id from placed),
-scored as (select *, round(cast(greatest(0.0, least(1.0, cast(rule_confidence as double) - case when len(orgs) > 1 then 0.15 else 0 end - case when length(text) < 100 then 0.15 else 0 end + case when type_category = org_category then 0.05 else 0 end)) as double), 4) as confidence,
-  concat(doc_date, '_', provider, '_', label, '_', person, case when doc_type = 'bill' and amount <> '' then concat('_$', amount) else '' end, '.pdf') as proposed_name from classified)
+  case when doc_type = 'business' and org_category = 'Business' then 'Companies/building/Financial/00_Foundational/' when route = 'Bill' then concat('Finance/', provider, '/', y, '/') when route = 'Medical' then concat('Health/', person, '/', substr(doc_date, 1, 7), '/')
+       when route = 'Lab' then concat('Health/', person, '/Lab/') when route = 'Business' then concat('Companies/', provider, '/', y, '/') else 'Inbox/Unsorted/' end as destination,
+  case when doc_type is null then concat(doc_date, '_Scan_', event, '_', person, '_', lpad(cast(doc_id % 1000000 as varchar), 6, '0')) when doc_type = 'business' and org_category = 'Business' then concat(doc_date, '_building_Statement') when doc_type = 'business' then concat(doc_date, '_Statement')
+       when doc_type = 'prescription' then concat(doc_date, '_', case when list_contains(orgs, 'furnish') then 'furniture' when list_contains(orgs, 'homecare') then 'household' else provider end, '_Rx_', person)
+       else concat(doc_date, '_', provider, '_', label, '_', person) end as name from labelled),
+scored as (select *, concat(name, case when label not in ('Bill', 'Rx') and amount <> '' and not contains(name, amount) then concat('_', amount) else '' end, '.pdf') as proposed_name,
+  round(cast(greatest(0.0, least(1.0, cast(rule_confidence as double)
+   - case when len(list_distinct(list_transform(orgs, lambda x: case x when 'autohaus' then 'Insurance' when 'buildco' then 'Business' when 'patients' then 'Lab' else 'Medical' end))) > 1 then 0.15 else 0 end
+   - case when length(text) < 100 or length(replace(text, ' ', '')) / (length(text) - length(replace(text, ' ', '')) + 1) < 3 then 0.15 else 0 end
+   + case when doc_type in ('prescription', 'lab_requisition') and org_category in ('Lab', 'Medical') or doc_type = 'bill' and org_category = 'Insurance' or doc_type = 'business' and org_category = 'Business' then 0.05 else 0 end)) as double), 4) as confidence from classified)
 """
 
 
 def classified(spark, sf):
-    return rules.classify(scan_docs(spark, sf), RULES)
+    return classification.classify(scan_docs(spark, sf), RULES)
+
+
+@query(answers_sql())
+def classification_cases(spark, sf):
+    """All branches of the classification (RUL-02 to RUL-21, EXT-10 to EXT-12): the answers are stated by hand."""
+    out = classification.classify(case_docs(spark, sf), CASE_RULES)
+    return out.select("doc_id", "doc_type", "org", "person", F.col("label"), "proposed_name", "destination", "rule_match_id", "rule_confidence", "confidence", "question")
 
 
 def flagship(spark, sf):
@@ -128,8 +141,8 @@ def learned_corrections(spark, sf):
 @query("with " + SCAN_DOCS + """ select doc_id, concat(regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 3), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 1), '-', regexp_extract(text, 'date (\\d{2})/(\\d{2})/(\\d{4})', 2)) as doc_date,
  regexp_extract(text, '\\$([0-9]{1,3}(?:\\.[0-9]{2})?)', 1) as amount, doc_id % 4 + 1 as page, 4 as total, substr(regexp_extract(text, 'date (\\d{2}/\\d{2}/\\d{4})', 1), 7, 4) || '-' || substr(regexp_extract(text, 'date (\\d{2}/\\d{2}/\\d{4})', 1), 1, 2) as month_bucket from scan_docs""")
 def extract_fields(spark, sf):
-    p = text.page_indicator(F.col("text"))
-    return scan_docs(spark, sf).select("doc_id", dates.document_date(F.col("text")).alias("doc_date"), dates.amount(F.col("text")).alias("amount"), p["page"].cast("bigint").alias("page"), p["total"].alias("total"), dates.month_bucket(dates.document_date(F.col("text"))).alias("month_bucket"))
+    found = scan_docs(spark, sf).select("doc_id", dates.document_date(F.col("text")).alias("doc_date"), dates.amount(F.col("text")).alias("amount"), text.page_indicator(F.col("text")).alias("p"))
+    return found.select("doc_id", "doc_date", "amount", F.col("p.page").cast("bigint").alias("page"), F.col("p.total").alias("total"), dates.month_bucket(F.col("doc_date")).alias("month_bucket"))
 
 
 FIELD_SQL = """with d as (select o_orderkey as k, o_orderdate as d from orders),
@@ -330,8 +343,9 @@ def rule_suggestions(spark, sf):
 @query("""with m as (select 'ocr_' || event_type as metric_name, value as metric_value, ts, max(ts) over () as now from events) select metric_name, count(*) as n, round(avg(metric_value), 1) as mean, min(metric_value) as least, max(metric_value) as most from m where ts >= now - interval '1' day group by 1""")
 def metric_summary(spark, sf):
     e = t(spark, sf, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    return stats.metric_summary(e.select(F.concat(F.lit("ocr_"), "event_type").alias("metric_name"), F.col("value").alias("metric_value"), "ts"), F.lit(now))
+    now = F.broadcast(e.agg(F.max("ts").alias("now")).withColumn("_k", F.lit(1)))  # one row
+    rows = e.select(F.concat(F.lit("ocr_"), "event_type").alias("metric_name"), F.col("value").alias("metric_value"), "ts", F.lit(1).alias("_k")).join(now, "_k")
+    return stats.metric_summary(rows, F.col("now"))
 
 
 @query("""with f as (select doc_id % 3 <> 0 as a, doc_id % 4 <> 0 as b from documents) select count(*) as total, count(*) filter (a and b) as both, count(*) filter (a and not b) as only_text, count(*) filter (not a and b) as only_meta, count(*) filter (not a and not b) as neither, coalesce(round(100.0 * count(*) filter (a and b) / nullif(count(*), 0), 1), 0) as percent from f""")
@@ -426,11 +440,15 @@ def segment_summary(spark, sf):
     return pages.segment_summary(p)
 
 
-@query()
+@query("""with recursive e as (select user_id as person, event_type as doc_type, cast(ts as date) as day, event_id as scan_id, epoch_us(ts) as us, row_number() over (partition by user_id, event_type, cast(ts as date) order by ts, event_id) as k from events),
+ r as (select person, doc_type, day, scan_id, k, 'Front' as side, us as at, 'Front' as last from e where k = 1
+  union all select e.person, e.doc_type, e.day, e.scan_id, e.k, case when e.us - r.at > 1800000000 then 'Front' when r.last = 'Front' then 'Back' end, case when e.us - r.at > 1800000000 or r.last in ('Front', 'Back') then e.us else r.at end,
+   case when e.us - r.at > 1800000000 then 'Front' when r.last = 'Front' then 'Back' else 'Unknown' end from r join e on e.person = r.person and e.doc_type = r.doc_type and e.day = r.day and e.k = r.k + 1)
+ select person, doc_type, strftime(day, '%Y-%m-%d') as day, scan_id, side from r""")
 def scan_sides(spark, sf):
-    """Front and back by scan order; a fold, held against plain Python in the tests."""
+    """Front and back by scan order."""
     e = t(spark, sf, "events").select(F.col("user_id").alias("person"), F.col("event_type").alias("doc_type"), F.to_date("ts").alias("day"), F.col("event_id").alias("scan_id"), "ts")
-    return pages.sides(e)
+    return pages.sides(e).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("""with p as (select p_brand as folder, p_type as name, p_partkey as path from part), g as (select *, count(*) over (partition by folder, name) as n, row_number() over (partition by folder, name order by path) - 1 as k from p) select path, case when n > 1 then name || '_' || lpad(cast(k as varchar), 3, '0') else name end as final_name from g""")
@@ -471,9 +489,10 @@ def process_once(spark, sf):
 @query("""with now as (select max(ts) as n from events) select event_id, case when m < 60 then concat(m, 'm') when m < 1440 then concat(m // 60, 'h') else concat(m // 1440, 'd') end as age from (select event_id, cast(date_diff('second', ts, n) // 60 as bigint) as m from events, now) where m > 30""")
 def stuck_files(spark, sf):
     e = t(spark, sf, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    m = F.floor((F.unix_seconds(now.cast('timestamp')) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 60)
-    return e.where(m > 30).select("event_id", dates.age_label(m).alias("age"))
+    now = F.broadcast(e.agg(F.max("ts").alias("now")).withColumn("_k", F.lit(1)))  # one row
+    m = F.floor((F.unix_seconds(F.col("now").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 60)
+    late = inbox.stuck(e.withColumn("_k", F.lit(1)).join(now, "_k"), F.col("now"))
+    return late.where(m > 30).select("event_id", dates.age_label(m).alias("age"))
 
 
 # ---- sources ------------------------------------------------------------------------------------------------------
@@ -527,7 +546,7 @@ def session_counts(spark, sf):
 
 
 def queries() -> dict:
-    from . import more  # noqa: F401  registers its queries
+    from . import further, more  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

@@ -75,6 +75,18 @@ def sheet_text(cells: DataFrame, *, sheets: int = 3, rows: int = 50) -> DataFram
     return sheet.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sheet", "body"))), lambda c: c["body"]), "\n").alias("text"))
 
 
+def paragraph_text(paragraphs: DataFrame, cells: DataFrame, *, most: int = 500, rows: int = 50) -> DataFrame:
+    """Paragraphs (doc, n, value) and tables' cells (doc, table, row, col, value) as text: the first paragraphs, then of every table
+    the first rows, their cells joined by bars; blank ones are left out. Both limits count blank ones, as readers' limits do."""
+    order = Window.partitionBy("doc").orderBy("n")
+    first = paragraphs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc", F.struct(F.lit(0).alias("table"), F.col("n").cast("long").alias("at")).alias("o"), F.trim("value").alias("line"))
+    filled = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("col", "value"))), lambda c: F.trim(c["value"])), lambda v: v != "")
+    lines = cells.where(F.col("row") < rows).groupBy("doc", "table", "row").agg(F.array_join(filled, " | ").alias("line"))
+    lines = lines.select("doc", F.struct((F.col("table") + 1).cast("int").alias("table"), F.col("row").cast("long").alias("at")).alias("o"), "line")
+    every = first.unionByName(lines).where("line <> ''")
+    return every.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda c: c["line"]), "\n").alias("text"))
+
+
 def page_text(pages: DataFrame, *, min_chars: int = 200) -> DataFrame:
     """A document's text from its pages (doc, page_no, native_text, ocr_text, has_image): native text where it is enough,
     every page's recognised text where there is none, else recognised pages until there is enough."""

@@ -41,3 +41,32 @@ def sidecar_rows(results: DataFrame, existing: DataFrame | None = None) -> DataF
     meta = F.to_json(F.struct("doc_type", "provider", "person", F.col("doc_date").alias("date"), F.concat_ws(" ", "doc_type", "provider", "person").alias("description")))
     out = results.select("path", F.concat(F.trim("text"), F.lit("\n")).alias("ocr_txt"), meta.alias("meta_json"))
     return out if existing is None else out.join(existing.select("path"), "path", "left_anti")
+
+
+def metric_rows(metrics: DataFrame, as_of, dimensions: dict) -> DataFrame:
+    """Rows to append to the metrics: name, value, dimensions as JSON, the time."""
+    from ..functions import json
+
+    return metrics.select("metric_name", "metric_value", json.dimensions(dimensions).alias("dimensions"), as_of.alias("ts"))
+
+
+def attempt_rows(sent: DataFrame, as_of) -> DataFrame:
+    """Rows to append to the notifications (batch, url, status, error): an attempt failed unless its status is 200 to 299."""
+    return sent.select("batch", "url", "status", F.coalesce(F.col("status").between(200, 299), F.lit(False)).alias("ok"), F.substring(F.coalesce("error", F.lit("")), 1, 500).alias("error"), as_of.alias("ts"))
+
+
+def move_rows(moves: DataFrame, results: DataFrame) -> DataFrame:
+    """Moves (path, target, ts) with the newest result of their path (result_id, path)."""
+    newest = results.groupBy("path").agg(F.max("result_id").alias("result_id"))
+    return moves.join(newest, "path", "left")
+
+
+def without(table: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(what stays, one row with how many rows go) when the rows of some keys are deleted."""
+    keys = gone.select(key).distinct()
+    return table.join(keys, key, "left_anti"), table.join(keys, key, "left_semi").agg(F.count("*").alias("deleted"))
+
+
+def json_lines(rows: DataFrame, path: str) -> None:
+    """The last batch, or a plan, as JSON lines in place of the one before."""
+    rows.write.mode("overwrite").json(path)

@@ -42,28 +42,31 @@ def delivery(log: DataFrame, *, most: int = 3) -> DataFrame:
     return out.select("key", F.least("attempts", F.lit(most)).alias("attempts"), F.when(F.col("ok") == 1, F.when(F.col("attempts") > 1, "retried").otherwise("sent")).when(F.col("attempts") >= most, "failed").otherwise("pending").alias("status"))
 
 
-def sides_stream(scans: DataFrame, *, minutes: int = 30) -> DataFrame:
-    """Front and back of scans (person, doc_type, day, scan_id, ts) as they come, with state per document that runs out."""
+def sides_stream(scans: DataFrame, *, minutes: int = 30, within: str = "1 day") -> DataFrame:
+    """Front and back of scans (person, doc_type, day, scan_id, ts) as they come. A group's state goes when the watermark
+    (`within` behind the newest scan) is past the time at which its clock has run out."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    from ..operators.pages import side_of
+
     def side(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, last = state.get if state.exists else (None, "")
         rows = pd.concat(frames).sort_values(["ts", "scan_id"])
         out = []
         for scan, ts in zip(rows["scan_id"], rows["ts"], strict=True):
-            now = ts.value // 1000
-            fresh = at is None or now - at > minutes * 60_000_000
-            found = "Front" if fresh else "Back" if last == "Front" else None
-            if fresh or last in ("Front", "Back"):
-                at = now
-            last = found or "Unknown"
+            found, at, last = side_of(ts.value // 1000, at, last, minutes)
             out.append((*key, scan, found))
         state.update((at, last))
+        state.setTimeoutTimestamp(max(at // 1000 + minutes * 60_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["person", "doc_type", "day", "scan_id", "side"])
 
     types = dict(scans.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in ("person", "doc_type", "day", "scan_id")) + ", side string"
-    return scans.groupBy("person", "doc_type", "day").applyInPandasWithState(side, schema, "at long, last string", "append", GroupStateTimeout.NoTimeout)
+    timed = scans.withWatermark("ts", within).groupBy("person", "doc_type", "day")
+    return timed.applyInPandasWithState(side, schema, "at long, last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:

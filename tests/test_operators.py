@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlake.functions import dates, fields, text
-from paperlake.operators import dedup, lifecycle, pages, proposals, rules, stats
+from paperlake.operators import classification, dedup, lifecycle, pages, proposals, rules, stats
 from paperlake.plans.views import RULES
 from paperlake.sources import readers, writers
 from paperlake.streaming import inbox
@@ -59,11 +59,11 @@ def test_fields(spark):
 def test_rules(spark):
     assert rules.pattern_of("rx") == r"\brx\b" and rules.pattern_of("a.b c") == r"a\.b\ c" and rules.pattern_of(r"lab\s+x") == r"lab\s+x"
     docs = spark.createDataFrame([(1, "/i/x.pdf", "Invoice amount due $12.00 AUTOMOBILE building", dt.datetime(1995, 1, 2)), (2, "/i/rx.pdf", None, dt.datetime(1999, 1, 2)), (3, "/i/y.pdf", "", dt.datetime(1999, 1, 2))], "doc_id long, path string, text string, mtime timestamp")
-    got = {r["doc_id"]: r for r in rules.classify(docs, RULES).collect()}
-    assert (got[1]["doc_type"], got[1]["org"], got[1]["label"], got[1]["destination"]) == ("bill", "autohaus", "InsuranceBill", "Archive/1995/Finance/Auto_Haus/")
-    assert got[1]["proposed_name"] == "1995-01-02_Auto_Haus_InsuranceBill_Shared_$12.00.pdf"
+    got = {r["doc_id"]: r for r in classification.classify(docs, RULES).collect()}
+    assert (got[1]["doc_type"], got[1]["org"], got[1]["label"], got[1]["destination"]) == ("bill", "autohaus", "InsuranceBill", "Finance/Auto Haus/1995/")
+    assert got[1]["proposed_name"] == "1995-01-02_Auto Haus_InsuranceBill_Shared_12.00.pdf" and (got[1]["rule_confidence"], got[1]["confidence"]) == (0.88, 0.63)
     assert got[2]["doc_type"] == "prescription" and got[3]["doc_type"] is None and got[3]["destination"] == "Inbox/Unsorted/"
-    assert {k: v.count() for k, v in RULES.tables(spark).items()} == {"rules_type": 5, "rules_org": 5, "rules_person": 4, "rules_route": 4}
+    assert {k: v.count() for k, v in RULES.tables(spark).items()} == {"rules_type": 5, "rules_org": 5, "rules_person": 4, "rules_folder": 0, "rules_route": 4}
 
 
 def test_duplicates(spark):
