@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
+
+Defined results, stage by stage: null and empty texts fail the base rule of the first stage, so the later ones see texts only;
+used alone they keep such texts (they link to nothing, hold no benchmark window and no entity, and have no tokens to draw). Repeated
+rows are judged one by one by the first stage, and the second keeps one of them; rows without an id pass all stages but are told
+apart by their text only. Ties go to the least doc_id. Empty tables give empty tables; without labels nothing is learned and the
+base rule alone decides; without benchmark items nothing is contaminated. Other columns of the documents pass through the first
+four stages unchanged, whatever their names; the last one returns doc_id, source and its own columns.
 """
 
 from __future__ import annotations

@@ -46,7 +46,7 @@ def identity_labels(scans: DataFrame) -> DataFrame:
     """
     rows = scans.withColumns({"kind": identity_label(F.col("low"), F.col("stem")), "day": identity_date(F.col("doc_date"), F.col("scan_date")), "named": fields.side_in_name(F.col("stem"))})
     order = sides(rows.where("named is null").select("person", F.col("kind").alias("doc_type"), "day", "scan_id", "ts")).select("scan_id", "side")
-    out = rows.join(order, "scan_id", "left").withColumn("side", F.coalesce("named", "side"))
+    out = rows.join(order.hint("merge"), "scan_id", "left").withColumn("side", F.coalesce("named", "side"))
     return out.select("scan_id", F.concat("kind", F.coalesce("side", F.lit(""))).alias("label"), "day", F.col("side").isNull().alias("needs_side"))
 
 

@@ -89,7 +89,9 @@ def rename_plan(files: DataFrame, names: DataFrame, folders: DataFrame) -> DataF
 
 def expand_person(rows: DataFrame, people: DataFrame) -> DataFrame:
     """The first person, in table order, of whom an alias is in the text (people: ord, alias_ord, person, alias)."""
-    # a rule table
+    if people.count() > 10_000:
+        raise ValueError("over 10,000 aliases")
+    # a rule table of that size at most
     hits = rows.join(F.broadcast(people), F.lower("text").contains(F.lower("alias")))
     return hits.groupBy("doc_id").agg(F.min_by("person", F.struct("ord", "alias_ord")).alias("person"))
 
