@@ -8,10 +8,32 @@ from pyspark.sql import functions as F
 
 def page_groups(pages: DataFrame) -> DataFrame:
     """Pages (folder, total, page, name) that make one document get their page number as suffix; not where one repeats."""
-    w = Window.partitionBy("folder", "total")
-    n = F.count("*").over(w)
-    distinct = F.size(F.collect_set("page").over(w))
-    return pages.select("*", F.when((n > 1) & (n == distinct), F.concat(F.col("name"), F.lit("_"), F.lpad(F.col("page").cast("string"), 3, "0"))).otherwise(F.col("name")).alias("grouped_name"))
+    known = pages.groupBy(F.col("folder").alias("_f"), F.col("total").alias("_t")).agg(F.count("*").alias("_n"), F.count_distinct("page").alias("_d"))
+    out = pages.join(known, F.col("folder").eqNullSafe(F.col("_f")) & F.col("total").eqNullSafe(F.col("_t")))
+    named = F.when((F.col("_n") > 1) & (F.col("_n") == F.col("_d")), F.concat(F.col("name"), F.lit("_"), F.lpad(F.col("page").cast("string"), 3, "0"))).otherwise(F.col("name"))
+    return out.select(*pages.columns, named.alias("grouped_name"))
+
+
+def numbered_folders(files: DataFrame) -> DataFrame:
+    """Whether all files of a folder (folder, stem) have a number at the end of their name."""
+    from ..functions import text
+
+    return files.groupBy("folder").agg(F.bool_and(F.coalesce(text.sequence_suffix(F.col("stem")) != "", F.lit(False))).alias("numbered"))
+
+
+def typed_blocks(lines: DataFrame, *, paragraph: int = 5, chunk: int = 100) -> DataFrame:
+    """Blocks of the lines (doc, i, line) of Markdown texts: headings, dividers and bullets line by line, tables and paragraphs as
+    runs, paragraphs of five lines at most; numbered from 1, with the chunk of a hundred blocks to which each belongs."""
+    from ..functions import text
+
+    w = Window.partitionBy("doc").orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("kind", text.markdown_kind(F.col("line")))
+    rows = rows.withColumn("_new", F.when(F.col("kind").isin("paragraph", "table") & (F.lag("kind").over(w) == F.col("kind")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
+    rows = rows.withColumn("_part", F.when(F.col("kind") == "paragraph", F.floor((F.row_number().over(Window.partitionBy("doc", "_run").orderBy("i")) - 1) / paragraph)).otherwise(0))
+    blocks = rows.where("kind <> 'blank'").groupBy("doc", "_run", "_part", "kind").agg(F.count("*").alias("lines"), F.min("i").alias("first"))
+    blocks = blocks.withColumn("block", F.row_number().over(Window.partitionBy("doc").orderBy("first")).cast("bigint"))
+    return blocks.select("doc", "block", F.floor((F.col("block") - 1) / chunk).alias("chunk"), "kind", "lines")
 
 
 def segments(pages: DataFrame) -> DataFrame:

@@ -156,14 +156,25 @@ def hits(low: Column, words: tuple[str, ...]) -> Column:
     return sum((low.contains(w).cast("int") for w in words), F.lit(0))
 
 
-def auto_approve(results: DataFrame, *, threshold: float = 0.9, never: tuple[str, ...] = ("identity_card", "business"), safe: tuple[str, ...] = ("prescription", "lab_requisition", "bill")) -> DataFrame:
-    """results with approved and the reason."""
+def auto_approve(results: DataFrame, *, threshold: float = 0.9, never: tuple[str, ...] = ("identity_card", "business"), safe: tuple[str, ...] = ("prescription", "lab_requisition", "bill"), people: tuple[str, ...] = ()) -> DataFrame:
+    """results with approved and the reason. What is asked beyond text, confidence and type: the columns quality, duplicates (a
+    number), ambiguous, needs_side, if results has them; and that the person is one of people, if any are given."""
+    has = lambda c, test: F.coalesce(test(F.col(c)), F.lit(False)) if c in results.columns else F.lit(False)
     reason = (
-        F.when((F.length("norm") < 20) | (F.coalesce(F.col("quality"), F.lit(1.0)) < 0.2 if "quality" in results.columns else F.lit(False)), "weak text").when(F.col("confidence") < threshold, "low confidence").when(F.col("doc_type").isin(*never), "never")
-        .when(~F.coalesce(F.col("doc_type").isin(*safe), F.lit(False)), "not safe").otherwise("ok"))
+        F.when((F.length("norm") < 20) | has("quality", lambda q: q < 0.2), "weak text").when(F.col("confidence") < threshold, "low confidence").when(F.col("doc_type").isin(*never), "never")
+        .when(~F.coalesce(F.col("doc_type").isin(*safe), F.lit(False)), "not safe").when(has("duplicates", lambda n: n > 0), "duplicate").when(has("ambiguous", lambda x: x), "ambiguous").when(has("needs_side", lambda x: x), "side open")
+        .when(~F.coalesce(F.col("person").isin(*people), F.lit(False)) if people else F.lit(False), "unknown person").otherwise("ok"))
     return results.withColumn("reason", reason).withColumn("approved", F.col("reason") == "ok")
 
 
+def with_corrections(results: DataFrame, corrections: DataFrame, **options) -> DataFrame:
+    """results with the type of their best learned correction and its boost of the confidence; names are not built anew."""
+    best = apply_corrections(results, corrections, **options).select(F.col("doc_id").alias("_id"), "corrected_doc_type", "boost")
+    out = results.join(best, F.col("doc_id") == F.col("_id"), "left")
+    changed = {"doc_type": F.coalesce("corrected_doc_type", "doc_type"), "confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.coalesce("boost", F.lit(0.0)))), 4)}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in results.columns], F.col("boost").isNotNull().alias("corrected"))
+
+
 def apply_corrections(results: DataFrame, corrections: DataFrame, *, newest: int = 100, overlap: int = 3) -> DataFrame:
     """Each document's best learned correction: newest `newest` ones, same organisation or none, largest keyword overlap."""
     held = corrections.orderBy(F.desc("correction_date"), F.desc("id")).limit(newest).select("id", "org_id", "keywords", "corrected_doc_type", "correction_date")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, fields, json
-from ..operators import classification, dedup, learning, lifecycle, pages, select, stats
+from ..operators import classification, dedup, learning, lifecycle, pages, rules, select, stats
 from ..sources import readers, writers
-from .catalog import as_of, query
+from .catalog import CLASSIFIED, as_of, classified, query
 from .views import FILE_INDEX, LIFECYCLE, SCAN_DOCS, file_index, scan_docs, t
 from .views import lifecycle as life
 
@@ -293,3 +293,40 @@ def metadata_scores(spark, sf):
         "date": F.when(k % 4 == 1, "2020-02-02").when(k % 4 == 2, "").otherwise(base["date"]), "description": F.when(k % 4 == 2, "blood TEST of May ").when(k % 4 == 3, "").otherwise(base["description"])}
     index = o.select(k.alias("doc_id"), F.concat(F.lit("o"), k.cast("string")).alias("path"), *[v.alias(c) for c, v in old.items()])
     return dedup.metadata_overlap(new, index, least=0.6).select("doc_id", "score")
+
+
+@query("""with l as (select page_id as doc, string_split(regexp_replace(html, '<(p|li|h1|br)>', chr(10) || case when page_id % 2 = 0 then '' else '- ' end, 'g'), chr(10)) as lines from pages), p as (select doc, unnest(generate_series(1, len(lines))) as i, lines from l), k as (select doc, i, trim(lines[i]) as t from p),
+ c as (select doc, i, case when t = '' then 'blank' when starts_with(t, '### ') then 'heading_3' when starts_with(t, '## ') then 'heading_2' when starts_with(t, '# ') then 'heading_1' when regexp_matches(t, '^-{3,}$') then 'divider' when regexp_matches(t, '^[-*] ') then 'bullet' when starts_with(t, '|') then 'table' else 'paragraph' end as kind from k),
+ r as (select *, case when kind in ('paragraph', 'table') and kind = lag(kind) over (partition by doc order by i) then 0 else 1 end as new from c), g as (select *, sum(new) over (partition by doc order by i) as run from r),
+ q as (select *, case when kind = 'paragraph' then (row_number() over (partition by doc, run order by i) - 1) // 5 else 0 end as part from g), b as (select doc, run, part, kind, count(*) as lines, min(i) as f from q where kind <> 'blank' group by 1, 2, 3, 4), n as (select *, row_number() over (partition by doc order by f) as block from b)
+ select doc, block, (block - 1) // 100 as chunk, kind, lines from n""")
+def page_blocks(spark, sf):
+    """TXT-19, TXT-20: all blocks, paragraphs of five lines at most, chunks of a hundred."""
+    marks = F.when(F.col("page_id") % 2 == 0, "\n").otherwise("\n- ")
+    text_ = F.regexp_replace(F.col("html"), F.lit("<(p|li|h1|br)>"), marks)
+    return pages.typed_blocks(t(spark, sf, "pages").select(F.col("page_id").alias("doc"), F.posexplode(F.split(text_, "\n")).alias("i", "line")))
+
+
+@query("select c_nationkey as folder, bool_and(c_custkey % 9 > 0 or c_nationkey > 12) as numbered from customer group by 1")
+def numbered_folders(spark, sf):
+    """TXT-16."""
+    k = F.col("c_custkey")
+    stem = F.when((k % 9 == 0) & (F.col("c_nationkey") <= 12), F.when(k % 2 == 0, "scan_1a")).otherwise(F.concat(F.lit("scan_"), k.cast("string")))
+    return pages.numbered_folders(t(spark, sf, "customer").select(F.col("c_nationkey").alias("folder"), stem.alias("stem")))
+
+
+@query(CLASSIFIED + """select reason, count(*) as n from (select case when length(text) < 20 or doc_id % 11 = 0 then 'weak text' when confidence < 0.6 then 'low confidence' when doc_type = 'business' then 'never' when coalesce(doc_type, '') not in ('prescription', 'lab_requisition', 'bill') then 'not safe'
+ when doc_id % 7 = 1 then 'duplicate' when doc_id % 13 = 2 then 'ambiguous' when doc_id % 17 = 3 then 'side open' when person not in ('Ada', 'Bo', 'Cy') then 'unknown person' else 'ok' end as reason from scored) group by reason""")
+def approval_reasons(spark, sf):
+    """RUL-23 with all of its questions."""
+    k = F.col("doc_id")
+    d = classified(spark, sf).withColumns({"quality": F.when(k % 11 == 0, 0.1).otherwise(F.lit(None)), "duplicates": F.when(k % 7 == 1, 2), "ambiguous": k % 13 == 2, "needs_side": k % 17 == 3})
+    return rules.auto_approve(d, threshold=0.6, people=("Ada", "Bo", "Cy")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(CLASSIFIED + """, w as (select doc_id, len(list_intersect(list_distinct(list_filter(regexp_extract_all(low, '[a-z]{3,}'), lambda x: x not in ('date', 'page', 'name', 'number'))), ['patient', 'prescription', 'label', 'total'])) as overlap from scored)
+ select s.doc_id, case when overlap >= 3 then 'rx' else doc_type end as doc_type, round(least(1.0, confidence + case when overlap >= 3 then least(0.10, 0.05 + 0.05 * overlap / 4) else 0 end), 4) as confidence, overlap >= 3 as corrected from scored s join w using (doc_id)""")
+def corrected_confidence(spark, sf):
+    """RUL-21 with RUL-22: the boost of a learned correction, and its type."""
+    held = spark.createDataFrame([(1, None, ["patient", "prescription", "label", "total"], "rx", "1998-01-01")], "id long, org_id string, keywords array<string>, corrected_doc_type string, correction_date string")
+    return rules.with_corrections(classified(spark, sf), held).select("doc_id", "doc_type", "confidence", "corrected")
