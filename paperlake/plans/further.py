@@ -194,7 +194,7 @@ def listings(spark, sf):
     """TOP-01 to TOP-03, TOP-05, PRJ-03: pages of sorted tables, and megabytes."""
     o = t(spark, sf, "orders")
     pending = select.chosen(o.withColumn("status", F.when(F.col("o_orderstatus") == "P", "pending")))
-    size = t(spark, sf, "documents").agg(F.sum("n_chars").alias("b")).select(F.lit("sizes").alias("part"), (select.size_mb(F.col("b")) * 100).cast("bigint").alias("id"))
+    size = t(spark, sf, "documents").agg(F.sum("n_chars").alias("b")).select(F.lit("sizes").alias("part"), F.round(select.size_mb(F.col("b")) * 100).cast("bigint").alias("id"))
     return select.listing(pending, F.desc("o_custkey"), F.col("o_orderkey"), most=15, offset=3).select(F.lit("pending").alias("part"), F.col("o_orderkey").alias("id")).unionAll(
         select.listing(o, F.col("o_orderdate"), F.col("o_orderkey"), most=10).select(F.lit("oldest"), "o_orderkey")).unionAll(size)
 
