@@ -10,6 +10,7 @@ from .ngram_join import op8_ngram_jaccard_join
 from .pii import op1_pii_surrogates
 from .quality_rules import op5_quality_rules
 from .repeats import OP10_SQL, op10_repeated_bytes
+from .toxicity import op13_toxicity
 from .wrapper_extraction import op4_wrapper_extraction
 
 QUERIES = (
@@ -23,6 +24,7 @@ QUERIES = (
     op8_ngram_jaccard_join,
     op9_language_id,
     op10_repeated_bytes,
+    op13_toxicity,
 )
 
 
