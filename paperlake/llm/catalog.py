@@ -5,6 +5,7 @@ from __future__ import annotations
 from .compression import op6_quality_classifier, op9_language_id
 from .decontamination import OP3_SQL, op3_benchmark_decontamination
 from .license_scan import op7_license_scan
+from .manifest import OP11_SQL, op11_merkle_manifest
 from .mixing import op2_temperature_mixing
 from .ngram_join import op8_ngram_jaccard_join
 from .pii import op1_pii_surrogates
@@ -24,6 +25,7 @@ QUERIES = (
     op8_ngram_jaccard_join,
     op9_language_id,
     op10_repeated_bytes,
+    op11_merkle_manifest,
     op13_toxicity,
 )
 
@@ -33,4 +35,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL, "op10_repeated_bytes": OP10_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "op10_repeated_bytes": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
