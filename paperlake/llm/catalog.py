@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_tokenizer_alignment
 from .compression import op6_quality_classifier, op9_language_id
 from .decontamination import OP3_SQL, op3_benchmark_decontamination
 from .license_scan import op7_license_scan
@@ -26,6 +27,7 @@ QUERIES = (
     op9_language_id,
     op10_repeated_bytes,
     op11_merkle_manifest,
+    op12_tokenizer_alignment,
     op13_toxicity,
 )
 
