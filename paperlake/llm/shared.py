@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts on ASCII-lower-cased text: runs of digits, letters a-z and everything outside ASCII.
@@ -51,17 +51,23 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def bounded_sample(docs: DataFrame, keys: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, label, text) of at most limit documents of each label, taken by a hash of their id.
+    """(doc_id, label, text) of the limit documents of each label whose ids hash lowest.
 
     keys: (doc_id, label), one row an id, a few labels. Of repeated rows of one id the least text is taken.
     """
+    place = F.xxhash64("doc_id", F.lit("sample"))
     keys = keys.where("doc_id is not null")
-    sizes = keys.groupBy(label).count().collect()  # one row for each label
-    # a hash lets about three times the limit through, so that no task ranks all documents of a label
-    share = F.coalesce(*[F.when(F.col(label) == r[label], F.lit(min(1.0, 3 * limit / r["count"]))) for r in sizes], F.lit(0.0))
-    few = keys.where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) < share * (1 << 30))
-    by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank")
+    sizes = {r[label]: r["count"] for r in keys.groupBy(label).count().collect()}  # one row for each label
+    # the hashes below which about twice the limit of each label is found come to the driver, which cuts them at the limit
+    below = {x: min(2**63 - 1, int(-(2**63) + 2**64 * (2 * limit + 50) / n)) for x, n in sizes.items()}
+    found = keys.where(_under(F.col(label), place, below)).select(label, place.alias("place")).collect()
+    cuts = {x: (sorted(r["place"] for r in found if r[label] == x)[:limit] or [below[x]])[-1] for x in sizes}
+    chosen = keys.where(_under(F.col(label), place, cuts))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
     # limit ids for each of a few labels: a proven bound for the broadcast and for the rows of the result
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
+def _under(label: Column, place: Column, bounds: dict) -> Column:
+    """place is at most the label's bound."""
+    return F.coalesce(*[F.when(label == x, place <= F.lit(b)) for x, b in bounds.items()], F.lit(False))
