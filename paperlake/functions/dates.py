@@ -14,36 +14,44 @@ EXPIRY_WORDS = ("exp", "expires", "expiration", "exp date", "exp.")
 #: A date after one of these, whole within the 30 characters before it, is a date of birth.
 BIRTH_MARKS = ("dob", "date of birth", "born", "birthday")
 OF_BIRTH = rf"(?i)(?:{'|'.join(BIRTH_MARKS)}) ?:.*\z"
-#: Any of the three forms of a date, with what stands before it: up to 30 characters, or 32 before a short date.
-DATED = r"(?s)\b(?:20\d{2}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}/\d{2}/\d{2})\b(?<=(^.{0,39}|.{40}))"
+#: Any of the three forms of a date.
+DATE = r"\b(20\d{2}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}/\d{2}/\d{2})\b"
+CUT = "\x01"
 
 
 def four_digit_year(year: Column) -> Column:
     return F.when(F.length(year) > 2, year).when(year.cast("int") < 50, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def iso_date(slashed: Column) -> Column:
     """MM/DD/YYYY or MM/DD/YY as YYYY-MM-DD; null for an empty string."""
-    p = F.split(slashed, "/")
-    return F.when(slashed != "", F.concat_ws("-", four_digit_year(F.get(p, F.lit(2))), F.lpad(F.get(p, F.lit(0)), 2, "0"), F.lpad(F.get(p, F.lit(1)), 2, "0")))
+    two = lambda x: F.lpad(x, 2, "0")
+    return let(F.split(F.nullif(slashed, F.lit("")), "/"), lambda p: F.when(p.isNotNull(), F.concat_ws("-", four_digit_year(F.get(p, F.lit(2))), two(F.get(p, F.lit(0))), two(F.get(p, F.lit(1))))))
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value worked out once however often use reads it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def document_date(text: Column) -> Column:
+    """The first date that is no date of birth: ISO before MM/DD/YYYY before MM/DD/YY. The text is cut at its dates in one pass;
+    only the thirty characters before each are looked at."""
+    parts = F.split(F.regexp_replace(F.translate(text, CUT, " "), DATE, f"{CUT}$1{CUT}"), CUT)  # text, date, text, date, ... text
 
+    def kept(parts):
+        places = F.when(F.size(parts) > 2, F.sequence(F.lit(2), F.size(parts) - 1, F.lit(2)))
+        # dates among the thirty characters before count as text: four of them at most
+        before = lambda k: F.right(F.array_join(F.slice(parts, F.greatest(k - 9, F.lit(1)), F.least(k - 1, F.lit(9))), ""), F.lit(30))
+        return F.transform(F.filter(places, lambda k: ~before(k).rlike(OF_BIRTH)), lambda k: F.get(parts, k - 1))
 
-def document_date(text: Column) -> Column:
-    """The first date that is no date of birth: ISO before MM/DD/YYYY before MM/DD/YY. One pass over the text."""
-    short = r"(?<!\d)\d{2}/\d{2}/\d{2}$"
-    lead = F.transform(F.regexp_extract_all(text, F.lit(DATED), F.lit(1)), lambda x: F.when(x.rlike(short), F.right(x, F.lit(38))).otherwise(x))
-    first = lambda found, form: F.nullif(F.regexp_extract(F.get(F.filter(found, lambda x: x.rlike(form)), F.lit(0)), f"({form})", 1), F.lit(""))
-    return let(F.filter(lead, lambda x: ~x.rlike(OF_BIRTH)), lambda found: F.coalesce(
-        first(found, r"20\d{2}-\d{2}-\d{2}$"), iso_date(first(found, r"\d{2}/\d{2}/\d{4}$")), iso_date(first(found, short))))
+    first = lambda found, form: F.get(F.filter(found, lambda x: x.rlike(form)), F.lit(0))
+    best = let(let(parts, kept), lambda found: F.coalesce(first(found, "-"), first(found, r"/\d{4}$"), F.get(found, F.lit(0))))
+    return let(best, lambda d: F.when(d.contains("/"), iso_date(d)).otherwise(d))
 
 
 #: What stands before the date of a statement, in the order in which it is looked for.
@@ -63,12 +71,9 @@ def statement_date(text: Column) -> Column:
 
 def _near(text: Column, words: tuple[str, ...], reach: int) -> Column:
     """The first date within reach of the first place of each word, words in order."""
-    out = []
-    for w in words:
-        at = F.locate(w, F.lower(text))
-        part = F.when(at > 0, F.substring(text, at, F.lit(reach)))
-        out += [iso_date(_first(part, LONG)), iso_date(_first(part, SHORT))]
-    return F.coalesce(*out)
+    date = lambda part: F.coalesce(_first(part, LONG), _first(part, SHORT))
+    found = let(F.lower(text), lambda low: F.transform(F.array(*map(F.lit, words)), lambda w: let(F.position(w, low), lambda at: F.when(at > 0, date(F.substring(text, at, F.lit(reach)))))))
+    return iso_date(F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0)))
 
 
 def due_date(text: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import let
+from .phrases import PhraseIndex, listed
+
 #: Dosage forms, and phrases of recognitions and of evaluations.
 DOSAGE = ("TABLET", "TABLETS", "CAPSULE", "CAPSULES", "CHEWABLES", "SOLUTION", "SYRUP", "CREAM", "OINTMENT", "DROPS", "INHALER", "INJECTION", "PATCH", "SPRAY", "SUSPENSION")
 RECOGNITION = (r"\bon\s+the\s+spot\s+award\b", r"\bemployee\s+recognition\b", r"\brecognition\s+(?:award|certificate|letter)\b", r"\baward\s+(?:for|certificate)\b", r"\bnominated\s+by\b", r"\bperformance\s+award\b")
@@ -49,7 +52,8 @@ def medication(text: Column, names: tuple[tuple[str, str], ...] = ()) -> Column:
     words = F.split(F.upper(F.coalesce(line, ingredient)), r"\s+")
     stop = F.array_position(F.transform(words, lambda w: w.isin(*DOSAGE) | w.rlike(r"^\d")), F.lit(True))
     generic = F.array_join(F.when(stop > 0, F.slice(words, F.lit(1), (stop - 1).cast("int"))).otherwise(words), " ")
-    generic = F.coalesce(*[F.when(F.lower(generic) == alias.lower(), F.lit(name)) for alias, name in names], F.initcap(F.nullif(generic, F.lit(""))))
+    known = let(F.lower(generic), lambda g: F.get(F.filter(listed([{"alias": a.lower(), "name": n} for a, n in names], "struct<alias:string,name:string>"), lambda e: e["alias"] == g), F.lit(0))["name"])
+    generic = F.coalesce(known, F.initcap(F.nullif(generic, F.lit(""))))
     return F.struct(generic.alias("generic"), F.initcap(_first(text, r"(?i)\bBRAND\s+NAMES?:\s*([A-Za-z]+)")).alias("brand"))
 
 
@@ -143,36 +147,57 @@ def folder_walk(path: Column, rules) -> Column:
     hint = F.coalesce(*[
         F.when(path.rlike("(?i)" + r.pattern), F.struct(*[F.lit(getattr(r, c)).cast("string").alias(c) for c in ("doc_type", "person", "company", "event", "question")], F.lit(r.ambiguous).alias("ambiguous"))) for r in rules.folders],
         F.lit(None).cast("struct<doc_type:string,person:string,company:string,event:string,question:string,ambiguous:boolean>"))
-    by_path = F.coalesce(hint["person"], *[F.when(path.rlike("(?i)" + p), F.lit(who)) for p, who in rules.path_people], none)
-    start = F.struct(*[{"event": hint["event"], "company": hint["company"], "person": by_path}.get(c, none).alias(c) for c in WALKED])
+    by_path = [F.when(path.rlike("(?i)" + p), F.lit(who)) for p, who in rules.path_people]
     folders = F.filter(F.reverse(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))), lambda f: ~f.isin("", "!!!Check"))
+    index = PhraseIndex().add("org", [tuple(n.lower() for n in o.names) for o in rules.orgs])
+    orgs = listed([{"name": o.names[0], "person": o.person or None} for o in rules.orgs], "struct<name:string,person:string>")
+    index.add("kind", [(w,) for w, _ in SUBCATEGORIES])
+    kinds = listed([kind for _, kind in SUBCATEGORIES])
+    seen = F.transform(folders, lambda f: let(index.found(F.lower(f)), lambda marks: F.struct(
+        f.alias("folder"), F.transform(index.all(marks, "org"), lambda m: F.get(orgs, m)).alias("orgs"), F.transform(index.all(marks, "kind"), lambda m: F.get(kinds, m)).alias("kinds"))))
 
     def event_of(name, noise):
         words = F.filter(F.split(F.regexp_replace(name, "[^A-Za-z0-9]+", " "), " "), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*noise))
-        return F.nullif(F.array_join(words, "_"), F.lit(""))
-
-    def step(acc, f):
-        found = F.nullif(F.regexp_extract(f, r"\d{8}", 0), F.lit(""))
-        compact = F.concat_ws("-", F.substring(found, 1, 4), F.substring(found, 5, 2), F.substring(found, 7, 2))
-        years, full = f.rlike(r"^\d{4}-\d{4}"), f.rlike(r"^\d{4}-\d{2}-\d{2}")
-        first = found.isNotNull() & acc["date"].isNull()  # a date anywhere in the name, if none is known
-        again = f.rlike(r"^\d{8}(?: +.+)?$")  # later only where the name starts with it
-        kind = F.when(years, "years").when(first, "first").when(full, "full").when(again, "again").when(f.rlike(r"^\d{4}") & acc["year"].isNull(), "year").otherwise("name")
-        dated = F.when(kind.isin("first", "again"), compact).when(kind == "full", F.substring(f, 1, 10))
-        event = F.when(kind.isin("first", "again"), event_of(F.regexp_replace(f, found, " "), EVENT_NOISE)).when(
-            (kind == "name") & ~F.lower(F.trim(f)).isin(*NO_FOLDERS) & (F.length(F.trim(f)) > 2), event_of(F.regexp_replace(f, r"\d{8}|\d{4}-\d{2}-\d{2}", ""), (*EVENT_NOISE, *PICTURE_NOISE)))
-        named = lambda what: F.coalesce(*[F.when(F.greatest(*[F.lower(f).contains(n.lower()) for n in o.names], F.lit(False)), F.lit(what(o)).cast("string")) for o in rules.orgs], none)
-        org = (kind == "name") & acc["company"].isNull()
-        new = {
-            "date": F.coalesce(dated, acc["date"]),
-            "year": F.when(kind == "years", F.substring(f, 1, 4)).when(kind == "first", F.coalesce(acc["year"], F.substring(compact, 1, 4))).when(dated.isNotNull(), F.substring(dated, 1, 4)).when(kind == "year", F.substring(f, 1, 4)).otherwise(acc["year"]),
-            "date_range": F.when(kind == "years", F.substring(f, 1, 9)).otherwise(acc["date_range"]),
-            "event": F.coalesce(acc["event"], event),
-            "event_suffix": F.when(acc["event"].isNotNull(), F.coalesce(acc["event_suffix"], event)).otherwise(acc["event_suffix"]),
-            "company": F.when(org, named(lambda o: o.names[0])).otherwise(acc["company"]),
-            "person": F.coalesce(acc["person"], F.when(org, named(lambda o: o.person))),
-            "subcategory": F.coalesce(*[F.when(F.lower(f).contains(w), F.lit(v)) for w, v in SUBCATEGORIES], acc["subcategory"]),
-        }
-        return F.struct(*[new[c].alias(c) for c in WALKED])
-
-    return F.aggregate(folders, start, step, lambda a: F.struct(*[a[c].alias(c) for c in WALKED], hint["doc_type"].alias("doc_type"), F.coalesce(hint["ambiguous"], F.lit(False)).alias("ambiguous"), hint["question"].alias("question")))
+        return let(F.array_join(words, "_"), lambda e: F.nullif(e, F.lit("")))
+
+    def step(acc, held):
+        f = held["folder"]
+        digits = F.nullif(F.regexp_extract(f, r"\d{8}", 0), F.lit(""))
+        compact = lambda d: F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))
+
+        def with_kind(found):
+            years, full = f.rlike(r"^\d{4}-\d{4}"), f.rlike(r"^\d{4}-\d{2}-\d{2}")
+            first = found.isNotNull() & acc["date"].isNull()  # a date anywhere in the name, if none is known
+            again = found.isNotNull() & f.rlike(r"^\d{8}(?: +.+)?$")  # later only where the name starts with it
+            kind = F.when(years, "years").when(first, "first").when(full, "full").when(again, "again").when(f.rlike(r"^\d{4}") & acc["year"].isNull(), "year").otherwise("name")
+            return F.struct(kind.alias("kind"), found.alias("found"))
+
+        def with_facts(k):
+            kind, found = k["kind"], k["found"]
+            dated = F.when(kind.isin("first", "again"), compact(found)).when(kind == "full", F.substring(f, 1, 10))
+            event = F.when(kind.isin("first", "again"), event_of(F.replace(f, found, F.lit(" ")), EVENT_NOISE)).when(
+                (kind == "name") & ~F.lower(F.trim(f)).isin(*NO_FOLDERS) & (F.length(F.trim(f)) > 2), event_of(F.regexp_replace(f, r"\d{8}|\d{4}-\d{2}-\d{2}", ""), (*EVENT_NOISE, *PICTURE_NOISE)))
+            return F.struct(kind.alias("kind"), dated.alias("dated"), event.alias("event"), ((kind == "name") & acc["company"].isNull()).alias("org"))
+
+        def merged(k):
+            kind, dated, event = k["kind"], k["dated"], k["event"]
+            new = {
+                "date": F.coalesce(dated, acc["date"]),
+                "year": F.when(kind == "years", F.substring(f, 1, 4)).when(kind == "first", F.coalesce(acc["year"], F.substring(dated, 1, 4))).when(dated.isNotNull(), F.substring(dated, 1, 4)).when(kind == "year", F.substring(f, 1, 4)).otherwise(acc["year"]),
+                "date_range": F.when(kind == "years", F.substring(f, 1, 9)).otherwise(acc["date_range"]),
+                "event": F.coalesce(acc["event"], event),
+                "event_suffix": F.when(acc["event"].isNotNull(), F.coalesce(acc["event_suffix"], event)).otherwise(acc["event_suffix"]),
+                "company": F.when(k["org"], F.get(held["orgs"], F.lit(0))["name"]).otherwise(acc["company"]),
+                "person": F.coalesce(acc["person"], F.when(k["org"], F.get(F.filter(held["orgs"], lambda o: o["person"].isNotNull()), F.lit(0))["person"])),
+                "subcategory": F.coalesce(F.get(held["kinds"], F.lit(0)), acc["subcategory"]),
+            }
+            return F.struct(*[new[c].alias(c) for c in WALKED])
+
+        return let(let(let(digits, with_kind), with_facts), merged)
+
+    def walk(hint):
+        start = F.struct(*[{"event": hint["event"], "company": hint["company"], "person": F.coalesce(hint["person"], *by_path, none)}.get(c, none).alias(c) for c in WALKED])
+        return F.aggregate(seen, start, step, lambda a: F.struct(
+            *[a[c].alias(c) for c in WALKED], hint["doc_type"].alias("doc_type"), F.coalesce(hint["ambiguous"], F.lit(False)).alias("ambiguous"), hint["question"].alias("question")))
+
+    return let(hint, walk)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fields, text
 from . import proposals
-from .rules import Rules, any_of, attribute, best_org, bounded, hits, org_matches, person_match, type_match
+from ..functions.phrases import PhraseIndex, listed
+from .rules import Rules, best_org, first_of, matched_orgs, nth, person_match, phrase_index
 
 #: Words that speak for a statement of a bank; three of them overrule the types below.
 BANK_WORDS = (
@@ -55,7 +56,8 @@ def either(column: Column, words: tuple[str, ...]) -> Column:
 
 def value_of(key: Column, found: dict) -> Column:
     """The value of a key in a small table, null for other keys."""
-    return F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in found.items() if v is not None], F.lit(None).cast("string"))
+    rows = [{"key": k, "value": v} for k, v in found.items() if v is not None]
+    return F.get(F.filter(listed(rows, "struct<key:string,value:string>"), lambda e: e["key"] == key), F.lit(0))["value"] if rows else F.lit(None).cast("string")
 
 
 def parts(*columns: Column) -> Column:
@@ -69,37 +71,44 @@ def known(column: Column) -> Column:
 
 def company_folder(name: Column, rules: Rules) -> Column:
     """A company's canonical folder by its aliases, else its name as a file name part; null for null."""
-    key = fields.company_key(name)
     table = {}
     for alias, folder in rules.companies:
         table.setdefault(alias, folder)
-    listed = [F.when(key == fields.company_key(F.lit(alias)), F.lit(folder)) for alias, folder in table.items()]
-    return F.when(name.isNotNull(), F.coalesce(*listed, text.safe_part(name)))
+    if not table:
+        return F.when(name.isNotNull(), text.safe_part(name))
+    place = F.array_position(F.array(*[fields.company_key(F.lit(a)) for a in table]), fields.company_key(name))
+    return F.when(name.isNotNull(), F.coalesce(nth(list(table.values()), (place - 1).cast("int")), text.safe_part(name)))
 
 
 def with_type(docs: DataFrame, rules: Rules, default_person: str) -> DataFrame:
-    """Text, folder facts, person, organisations and the type after its overrides."""
+    """Text, folder facts, person, organisations and the type after its overrides.
+
+    One phrase index says in one pass which rules have a phrase in the text; all that follows asks for its marks."""
     low = F.col("low")
-    ids = {r.id for r in rules.types}
+    ids = {r.id: n for n, r in reversed(list(enumerate(rules.types)))}
     as_type = lambda name, other=None: F.lit(name if name in ids else other)
-    says = lambda type_: low.rlike(any_of(next(r.patterns for r in rules.types if r.id == type_))) if type_ in ids else F.lit(False)
+    index = phrase_index(rules, bank=rules.bank_words or BANK_WORDS, company=COMPANY_WORDS, lab=LAB_WORDS, doubt=DOUBT_WORDS)
+    in_stem = PhraseIndex().add("type", [r.patterns for r in rules.types], patterns=True).add("person", [names for _, names in rules.people])
+    says = lambda type_: index.has(F.col("marks"), "type", ids[type_]) if type_ in ids else F.lit(False)
     out = docs.withColumn("norm", text.normalise_spaces(F.coalesce("text", F.lit("")))).withColumn("low", F.lower("norm")).withColumn("stem", text.stem(F.col("path")))
-    out = out.withColumns({"folder": fields.folder_walk(F.col("path"), rules), "scanner": fields.scanner_default(F.col("stem")), "scan_date": F.date_format("mtime", "yyyy-MM-dd")})
-    out = out.withColumn("person0", person_match(low, F.col("stem"), rules, default_person, F.col("path")))
-    out = out.withColumn("type0", F.coalesce(type_match(low, rules), type_match(F.lower("stem"), rules)))
-    out = out.withColumn("orgs", org_matches(low, rules)).withColumn("org0", best_org(F.col("orgs"), F.col("type0"), rules))
+    out = out.withColumns({
+        "folder": fields.folder_walk(F.col("path"), rules), "scanner": fields.scanner_default(F.col("stem")), "scan_date": F.date_format("mtime", "yyyy-MM-dd"),
+        "marks": index.found(low), "stem_marks": in_stem.found(F.lower("stem"))})
+    numbers = lambda group: [index.first(F.col("marks"), group), in_stem.first(F.col("stem_marks"), group)]
+    out = out.withColumns({
+        "person0": person_match(numbers("person"), rules, default_person, F.col("path")), "type0": nth([r.id for r in rules.types], F.coalesce(*numbers("type"))), "matched": matched_orgs(index, F.col("marks"), rules),
+        "bank_words": index.count(F.col("marks"), "bank"), "lab_words": index.count(F.col("marks"), "lab"), "doubtful": index.has(F.col("marks"), "doubt"), "company_words": index.has(F.col("marks"), "company")})
+    out = out.withColumn("best", best_org(F.col("matched"), F.col("type0")))
     doc_type = F.col("type0")
-    doc_type = F.when((hits(low, rules.bank_words or BANK_WORDS) >= 3) & doc_type.isin(*NOT_OF_A_BANK), F.coalesce(as_type("business"), doc_type)).otherwise(doc_type)
-    doc_type = F.when((doc_type == "identity_card") & says("business") & either(low, COMPANY_WORDS), "business").otherwise(doc_type)
-    out = out.withColumn("type1", doc_type)
-    clinical = {o.id: o.category for o in rules.orgs if o.category in CLINICAL}
-    out = out.withColumn("clinic", F.get(F.filter("orgs", lambda x: x.isin(*clinical)), F.lit(0)) if clinical else F.lit(None).cast("string"))
-    identity = F.col("type1") == "identity_card"
-    official = F.coalesce(attribute(F.col("org0"), rules, "category").isin("Legal", "Government"), F.lit(False))
+    doc_type = F.when((F.col("bank_words") >= 3) & doc_type.isin(*NOT_OF_A_BANK), F.coalesce(as_type("business"), doc_type)).otherwise(doc_type)
+    doc_type = F.when((doc_type == "identity_card") & says("business") & F.col("company_words"), "business").otherwise(doc_type)
+    out = out.withColumn("type1", doc_type).withColumn("clinic", first_of(F.col("matched"), CLINICAL))
+    identity, at_clinic = F.col("type1") == "identity_card", F.col("clinic.id").isNotNull()
+    official = F.coalesce(F.col("best.category").isin("Legal", "Government"), F.lit(False))
     laboratory = as_type("lab_requisition", "medical_record")
-    out = out.withColumn("type2", F.when(identity & F.col("clinic").isNotNull(), F.when(value_of(F.col("clinic"), clinical) == "Lab", laboratory).otherwise("medical_record"))
-                         .when(identity & ~official & (hits(low, LAB_WORDS) >= 2), laboratory).otherwise(F.col("type1")))
-    out = out.withColumn("org", F.when(identity & F.col("clinic").isNotNull(), F.col("clinic")).otherwise(F.col("org0")))
+    out = out.withColumn("type2", F.when(identity & at_clinic, F.when(F.col("clinic.category") == "Lab", laboratory).otherwise("medical_record"))
+                         .when(identity & ~official & (F.col("lab_words") >= 2), laboratory).otherwise(F.col("type1")))
+    out = out.withColumn("own", F.when(identity & at_clinic, F.col("clinic")).otherwise(F.col("best"))).withColumns({"org": F.col("own.id"), "orgs": F.col("matched.id")})
     seen = F.when(F.col("type2").isin(*PATIENT_TYPES), proposals.patient(low, rules.people)) if rules.people else F.lit(None).cast("string")
     out = out.withColumn("person", F.coalesce("folder.person", seen, "person0"))
     billed = F.when(F.col("type2").isin("medical_record", "prescription") & says("bill"), "bill").otherwise(F.col("type2"))
@@ -109,9 +118,8 @@ def with_type(docs: DataFrame, rules: Rules, default_person: str) -> DataFrame:
 def with_business(out: DataFrame, rules: Rules) -> DataFrame:
     """Dates and provider, and within a company's folder the business context, which may overrule the type."""
     low, norm = F.col("low"), F.col("norm")
-    own = {o.id: o.names[0] for o in rules.orgs}
-    out = out.withColumn("category", attribute(F.col("org"), rules, "category"))
-    out = out.withColumn("provider", F.coalesce(attribute(F.col("org"), rules, "folder_alias"), text.safe_part(F.coalesce(value_of(F.col("org"), own), F.lit("Unknown")))))
+    out = out.withColumn("category", F.nullif("own.category", F.lit("")))
+    out = out.withColumn("provider", F.coalesce("own.folder_alias", text.safe_part(F.coalesce("own.name", F.lit("Unknown")))))
     dated = F.when(F.col("scanner"), F.col("scan_date")).otherwise(F.coalesce(dates.document_date(norm), F.col("scan_date")))
     out = out.withColumn("date0", dated).withColumn("amount", dates.amount(norm))
     by_folder = F.col("type3").isin("medical_record", "prescription", "bill", "dental_bill") & F.col("folder.date").isNotNull()
@@ -125,7 +133,7 @@ def with_business(out: DataFrame, rules: Rules) -> DataFrame:
     out = out.withColumn("subcategory", F.when(F.col("business0").isin("BusinessChecking", "BusinessCreditCard"), F.col("business0")))
     is_business, is_company = F.col("doc_type") == "business", F.coalesce(F.col("category") == "Business", F.lit(False))
     out = out.withColumn("stated", dates.statement_date(norm)).withColumn("date2", F.when(inside | is_business, F.coalesce("stated", "date1")).otherwise(F.col("date1")))
-    alias, name = F.when(is_company, attribute(F.col("org"), rules, "folder_alias")), F.when(is_company, value_of(F.col("org"), own))
+    alias, name = F.when(is_company, F.col("own.folder_alias")), F.when(is_company, F.col("own.name"))
     out = out.withColumn("written", F.when(is_business, fields.business_name(F.col("text"))))
     first = F.when(inside, F.coalesce("written", "folder.company"))
     out = out.withColumn("business_name", F.when(is_business, F.coalesce(first, F.when(alias.isNotNull(), name), F.col("written"), name)))
@@ -137,23 +145,23 @@ def with_business(out: DataFrame, rules: Rules) -> DataFrame:
 def with_label(out: DataFrame, rules: Rules) -> DataFrame:
     """Label by organisation category, then default, then the type's name; and the destination by the routing rules."""
     kind = lambda r: r.category or r.id.capitalize()
-    named = [F.when((F.col("doc_type") == r.id) & (F.col("category") == c), v) for r in rules.types for c, v in r.labels.items() if c != "default"]
-    plain = value_of(F.col("doc_type"), {r.id: r.labels.get("default", r.id.capitalize()) for r in rules.types})
-    out = out.withColumn("label0", F.coalesce(*named, plain, F.col("folder.doc_type"), F.lit("Unknown")))
-    out = out.withColumn("type_category", value_of(F.col("doc_type"), {r.id: kind(r) for r in rules.types}))
+    types = [{"id": r.id, "kind": kind(r), "plain": r.labels.get("default", r.id.capitalize()), "labels": [{"category": c, "label": v} for c, v in r.labels.items() if c != "default"]} for r in rules.types]
+    listed_types = listed(types, "struct<id:string,kind:string,plain:string,labels:array<struct<category:string,label:string>>>")
+    out = out.withColumn("rule", F.get(F.filter(listed_types, lambda r: r["id"] == F.col("doc_type")), F.lit(0)))
+    named = F.get(F.filter("rule.labels", lambda x: x["category"] == F.col("category")), F.lit(0))["label"]
+    out = out.withColumn("label0", F.coalesce(named, "rule.plain", "folder.doc_type", F.lit("Unknown"))).withColumn("type_category", F.col("rule.kind"))
     routed = [c for c in rules.priority if c in rules.routes]
     first = F.when(F.col("type_category").isin(*routed), F.col("type_category")) if routed else F.lit(None).cast("string")
     hint = F.when(F.col("doc_type").isNull(), F.col("folder.doc_type"))
     out = out.withColumn("route", F.coalesce(first, "category", "type_category", hint))
     year = F.substring("date1", 1, 4)
-    company = F.coalesce("business_folder", "business_name", value_of(F.col("org"), {o.id: o.names[0] for o in rules.orgs}), F.lit(""))
+    company = F.coalesce("business_folder", "business_name", "own.name", F.lit(""))
     values = {"person": F.col("person"), "year": year, "provider": F.col("provider"), "company": company, "org_name": company, "subcategory": F.coalesce("subcategory", F.lit("")), "month": dates.month_bucket(F.col("date1")), "date_range": F.lit(""), "grade": F.lit("")}
     filled = lambda template, more=None: text.tidy_path(text.fill_template(template, values | (more or {})))
     past = (year.cast("int") != rules.current_year) & F.col("category").isin(*rules.archives) if rules.archives else F.lit(False)
-    template = value_of(F.col("route"), rules.routes)
-    out = out.withColumn("destination0", F.coalesce(
-        F.when(template.isNotNull(), filled(template)), attribute(F.col("org"), rules, "destination"), F.when(past, filled(value_of(F.col("category"), rules.archives))), F.lit(rules.default_destination)))
-    return out
+    out = out.withColumn("routing", value_of(F.col("route"), rules.routes))
+    out = out.withColumn("filled", filled(F.coalesce("routing", F.when(past, value_of(F.col("category"), rules.archives)))))
+    return out.withColumn("destination0", F.coalesce(F.when(F.col("routing").isNotNull(), F.col("filled")), "own.destination", "filled", F.lit(rules.default_destination)))
 
 
 def with_name(out: DataFrame, rules: Rules) -> DataFrame:
@@ -161,14 +169,12 @@ def with_name(out: DataFrame, rules: Rules) -> DataFrame:
     low, norm, stem, person = F.col("low"), F.col("norm"), F.col("stem"), text.safe_part(F.col("person"))
     type_is = lambda name: F.col("doc_type") == name
     page = F.nullif(text.sequence_suffix(stem), F.lit(""))
-    pharmacies = [o for o in rules.orgs if o.category in ("Pharmacy", "Medical")]
-    pharmacy = F.coalesce(*[F.when(low.rlike(bounded(o.names)), F.lit(o.id)) for o in pharmacies], F.lit(None).cast("string"))
-    out = out.withColumn("pharmacy", F.when(type_is("prescription"), pharmacy))
+    out = out.withColumn("pharmacy", F.when(type_is("prescription"), first_of(F.col("matched"), ("Pharmacy", "Medical"))))
+    at_pharmacy = F.col("pharmacy.id").isNotNull()
     values = {"person": person, "year": F.substring("date1", 1, 4)}
-    dispensed = F.coalesce(
-        *[F.when(F.col("pharmacy") == o.id, text.tidy_path(text.fill_template(F.lit(o.destination or rules.routes.get("Pharmacy", "")), values))) for o in pharmacies if o.destination or rules.routes.get("Pharmacy")],
-        F.when(F.col("pharmacy").isNull() & either(low, ("pharmacy", "walgreens", "cv s")), text.tidy_path(text.fill_template(F.lit(rules.health_template), values))))
-    rx_provider = F.when(F.col("pharmacy").isNotNull(), text.safe_part(value_of(F.col("pharmacy"), {o.id: o.names[0] for o in pharmacies}))).otherwise(F.col("provider"))
+    counter = F.when(at_pharmacy, F.coalesce("pharmacy.destination", F.lit(rules.routes.get("Pharmacy") or None).cast("string"))).when(either(low, ("pharmacy", "walgreens", "cv s")), rules.health_template)
+    dispensed = text.tidy_path(text.fill_template(counter, values))
+    rx_provider = F.when(at_pharmacy, text.safe_part(F.col("pharmacy.name"))).otherwise(F.col("provider"))
     drug = fields.medication(norm, rules.medications)
     employed = fields.employment_kind(norm)
     out = out.withColumns({
@@ -221,17 +227,17 @@ def with_name(out: DataFrame, rules: Rules) -> DataFrame:
         F.when(~typed & hinted.isNotNull(), text.tidy_path(text.fill_template(hinted, folder_values))), F.col("destination0")))
 
 
-def with_confidence(out: DataFrame, rules: Rules) -> DataFrame:
+def with_confidence(out: DataFrame) -> DataFrame:
     """Confidence of the rule in tiers, and of the classification: what speaks against and for it."""
-    low, words = F.col("low"), F.split("norm", " ")
+    words = F.split("norm", " ")
     typed, has_org, hinted = F.col("doc_type").isNotNull(), F.col("org").isNotNull(), F.col("folder.doc_type").isNotNull()
     tier = F.when(has_org & hinted, 0.92).when(has_org, 0.88).when(hinted, 0.72).otherwise(0.55)
-    tier = F.when(F.col("doc_type").isin("bill", "insurance", "vehicle") & either(low, DOUBT_WORDS), F.least(tier, F.lit(0.40))).otherwise(tier)
+    tier = F.when(F.col("doc_type").isin("bill", "insurance", "vehicle") & F.col("doubtful"), F.least(tier, F.lit(0.40))).otherwise(tier)
     clues = sum((F.col(f"folder.{c}").isNotNull().cast("int") for c in ("person", "doc_type", "company", "date")), F.lit(0))
     of_folder = F.when(F.col("scanner"), F.when(clues >= 3, 0.72).when(clues >= 2, 0.55).otherwise(0.40)).otherwise(F.when(clues >= 2, 0.55).when(clues >= 1, 0.40).otherwise(0.25))
     match = F.when(typed, F.concat_ws(":", "doc_type", F.coalesce("org", F.lit("no-org")))).when(F.col("scanner"), F.concat(F.lit("folder-hint:"), F.col("kind"))).otherwise("fallback-folder")
     out = out.withColumns({"rule_confidence": F.when(typed, tier).otherwise(of_folder), "rule_match_id": match})
-    categories = F.size(F.array_distinct(F.transform("orgs", lambda x: value_of(x, {o.id: o.category for o in rules.orgs}))))
+    categories = F.size(F.array_distinct("matched.category"))
     mean = F.length(F.array_join(words, "")) / F.size(words)
     agrees = reduce(lambda a, b: a | b, [F.col("doc_type").isin(*types) & F.col("category").isin(*cats) for types, cats in AGREEING])
     minus = lambda when, x: F.when(when, x).otherwise(0.0)
@@ -256,7 +262,7 @@ def classify(docs: DataFrame, rules: Rules, *, default_person: str = "Shared") -
     """docs (doc_id, path, text, mtime) with doc_type, org, orgs, person, label, shown_type, doc_date, amount, provider,
     destination, proposed_name, ambiguous, question, rule_confidence, rule_match_id and confidence."""
     out = with_suffixes(with_name(with_label(with_business(with_type(docs, rules, default_person), rules), rules), rules))
-    return with_confidence(out, rules).withColumn("doc_date", F.coalesce(F.when(F.col("doc_type").isNull(), F.col("folder.date")), F.col("date")))
+    return with_confidence(out).withColumn("doc_date", F.coalesce(F.when(F.col("doc_type").isNull(), F.col("folder.date")), F.col("date")))
 
 
 def run_destination(doc_type: Column, person: Column, current: Column, root: str = "Health/{person}/") -> Column:

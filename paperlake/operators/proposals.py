@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
+from ..functions.dates import let
 from .pages import sides
+from ..functions.phrases import PhraseIndex, listed
 
 #: Words of identity documents and their labels, in the order in which they are tried.
 IDENTITY = (("driver license", "DriverLicense"), ("driver's license", "DriverLicense"), ("passport", "Passport"), ("social security", "SSN"), ("ssn", "SSN"), ("birth certificate", "BirthCertificate"), ("naturalization", "NaturalizationCert"))
@@ -50,20 +52,33 @@ def identity_labels(scans: DataFrame) -> DataFrame:
     return out.select("scan_id", F.concat("kind", F.coalesce("side", F.lit(""))).alias("label"), "day", F.col("side").isNull().alias("needs_side"))
 
 
-#: What ends the name after a patient's label.
-PATIENT_ENDS = ("M", "F", "Male", "Female", "DOB", "Date", "SSN", "MRN", "Born", "Age")
-PATIENT_LABEL = rf"(?i)patient\s*(?:name|information)?[\s:\-]*([\w,\s]+?)\s*(?:{'|'.join(PATIENT_ENDS)}|\d)"
+#: Words that may stand between a patient's label and the name, and words that end the name.
+PATIENT_LEADS = ("name", "information")
+PATIENT_ENDS = ("m", "f", "male", "female", "dob", "date", "ssn", "mrn", "born", "age")
+
+
+def labelled_name(low: Column) -> Column:
+    """The words after the first "patient" up to a word that ends names or is none (a number, other marks); null without such an end."""
+    at = F.locate("patient", low)
+    words = F.regexp_extract_all(F.when(at > 0, F.substring(low, at + len("patient"), F.lit(200))), F.lit(r"[^\s,:\-]+"), F.lit(0))
+
+    def named(words):
+        end = F.array_position(F.transform(words, lambda w: w.isin(*PATIENT_ENDS) | w.rlike(r"[^\p{L}_]")), F.lit(True)).cast("int")
+        return F.when(end > 1, F.array_join(F.slice(words, F.lit(1), end - 1), " "))
+
+    return let(F.when(F.get(words, F.lit(0)).isin(*PATIENT_LEADS), F.slice(words, F.lit(2), F.lit(200))).otherwise(words), named)
 
 
 def patient(low: Column, people: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
     """The first person with an alias in what follows a patient's label, else the one of whom an alias is nearest to the first
     "patient" (ten characters before to two hundred after)."""
-    labelled = F.regexp_extract(low, PATIENT_LABEL, 1)
-    named = [F.when(labelled.contains(a), F.lit(p)) for p, names in people for a in names]
+    aliases = [(a, n, p) for n, (p, names) in enumerate(people) for a in names]
+    index = PhraseIndex().add("alias", [(a,) for a, _, _ in aliases])
+    table = listed([{"alias": a, "ord": n, "person": p} for a, n, p in aliases], "struct<alias:string,ord:int,person:string>")
     at = F.locate("patient", low)
     near = F.when(at > 0, F.substring(low, F.greatest(at - 10, F.lit(1)), F.lit(210)))
-    found = [F.when(F.locate(a, near) > 0, F.struct(F.locate(a, near).alias("pos"), F.lit(i).alias("ord"), F.lit(p).alias("person"))) for i, (p, names) in enumerate(people) for a in names]
-    return F.coalesce(*named, F.array_min(F.array_compact(F.array(*found)))["person"])
+    placed = let(near, lambda part: F.transform(index.found(part), lambda m: let(F.get(table, m), lambda e: F.struct(F.position(e["alias"], part).alias("pos"), e["ord"], e["person"]))))
+    return F.coalesce(F.get(table, F.get(index.found(labelled_name(low)), F.lit(0)))["person"], F.array_min(placed)["person"])
 
 
 def prefer_patient(doc_type: Column, patient_: Column, person: Column) -> Column:

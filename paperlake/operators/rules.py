@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.phrases import PhraseIndex, listed
 
 
 @dataclass(frozen=True)
@@ -92,42 +93,48 @@ def pattern_of(raw: str) -> str:
     return rf"\b{re.escape(raw)}\b" if len(raw) <= 3 else re.escape(raw)
 
 
-def any_of(patterns: tuple[str, ...]) -> str:
-    return "|".join(f"(?:{pattern_of(p)})" for p in patterns)
+def phrase_index(rules: Rules, **words: tuple[str, ...]) -> PhraseIndex:
+    """Index of what is looked for in texts: names of organisations (bounded), patterns of types, aliases of people (anywhere), and
+    lists of words by the name of the list, each word a rule of its own."""
+    index = PhraseIndex().add("org", [tuple(n.lower() for n in o.names) for o in rules.orgs], bounded=True)
+    index.add("type", [r.patterns for r in rules.types], patterns=True).add("person", [names for _, names in rules.people])
+    for name, own in words.items():
+        index.add(name, [(w,) for w in own])
+    return index
 
 
-def bounded(names: tuple[str, ...]) -> str:
-    return r"\b(?:" + "|".join(re.escape(n.lower()) for n in names) + r")\b"
+#: What is kept of an organisation that stands in a text.
+ORG = "struct<id:string,category:string,person:string,destination:string,folder_alias:string,name:string>"
 
 
-def first_match(low: Column, rules: list[tuple[str, str]]) -> Column:
-    """The value of the first rule (pattern, value) that occurs."""
-    return F.coalesce(*[F.when(low.rlike(p), v) for p, v in rules], F.lit(None).cast("string"))
+def org_table(rules: Rules) -> Column:
+    """All organisations, in rule order, as one literal array of ORG."""
+    return listed([{"id": o.id, "category": o.category, "person": o.person or None, "destination": o.destination or None, "folder_alias": o.folder_alias or None, "name": o.names[0]} for o in rules.orgs], f"{ORG}")
 
 
-def type_match(low: Column, rules: Rules) -> Column:
-    return first_match(low, [(any_of(r.patterns), r.id) for r in rules.types])
+def matched_orgs(index: PhraseIndex, marks: Column, rules: Rules) -> Column:
+    """All organisations named in the text, in rule order."""
+    if not rules.orgs:
+        return F.array().cast(f"array<{ORG}>")
+    return F.transform(index.all(marks, "org"), lambda n: F.get(org_table(rules), n))
 
 
-def org_matches(low: Column, rules: Rules) -> Column:
-    """All organisations named in the text, in rule order, as an array of ids."""
-    return F.array_compact(F.array(*[F.when(low.rlike(bounded(o.names)), o.id) for o in rules.orgs]))
+def first_of(orgs: Column, categories: tuple[str, ...]) -> Column:
+    """The first organisation of one of the categories."""
+    return F.get(F.filter(orgs, lambda o: o["category"].isin(*categories)), F.lit(0))
 
 
-def best_org(orgs: Column, doc_type: Column, rules: Rules) -> Column:
+def best_org(orgs: Column, doc_type: Column) -> Column:
     """The first organisation of the context's categories, else the first of all."""
     out = None
     for categories, types in CONTEXTS.items():
-        ids = [o.id for o in rules.orgs if o.category in categories]
-        pick = F.get(F.filter(orgs, lambda x: x.isin(*ids)), F.lit(0)) if ids else F.lit(None)  # noqa: B023
-        out = F.when(doc_type.isin(*types), pick) if out is None else out.when(doc_type.isin(*types), pick)
+        out = F.when(doc_type.isin(*types), first_of(orgs, categories)) if out is None else out.when(doc_type.isin(*types), first_of(orgs, categories))
     return F.coalesce(out, F.get(orgs, F.lit(0)))
 
 
-def attribute(org: Column, rules: Rules, name: str) -> Column:
-    """An attribute of the organisation with this id."""
-    found = {o.id: getattr(o, name) for o in rules.orgs if getattr(o, name)}
-    return F.coalesce(*[F.when(org == k, F.lit(v)) for k, v in found.items()], F.lit(None).cast("string"))
+def nth(values: list, number: Column) -> Column:
+    """The value with a number, null for none."""
+    return F.get(listed(values), number) if values else F.lit(None).cast("string")
 
 
 def rules_of(document: dict) -> Rules:
@@ -145,15 +152,11 @@ def rules_of(document: dict) -> Rules:
         **{k: document[k] for k in ("default_destination", "current_year") if k in document})
 
 
-def person_match(low: Column, stem: Column, rules: Rules, default: str, path: Column | None = None) -> Column:
-    """The first person named in the text, else in the file name, else by a pattern of the path, else the default."""
-    by_path = [F.when(path.rlike("(?i)" + p), F.lit(who)) for p, who in rules.path_people] if path is not None else []
-    has = lambda c, aliases: F.exists(F.array(*map(F.lit, aliases)), lambda a: c.contains(a))
-    return F.coalesce(*[F.when(has(low, names), p) for p, names in rules.people], *[F.when(has(F.lower(stem), names), p) for p, names in rules.people], *by_path, F.lit(default))
-
-
-def hits(low: Column, words: tuple[str, ...]) -> Column:
-    return sum((low.contains(w).cast("int") for w in words), F.lit(0))
+def person_match(found: list[Column], rules: Rules, default: str, path: Column) -> Column:
+    """The first person named in the text, else in the file name (numbers of both in found), else by a pattern of the path, else
+    the default."""
+    by_path = [F.when(path.rlike("(?i)" + p), F.lit(who)) for p, who in rules.path_people]
+    return F.coalesce(nth([p for p, _ in rules.people], F.coalesce(*found)), *by_path, F.lit(default))
 
 
 def auto_approve(results: DataFrame, *, threshold: float = 0.9, never: tuple[str, ...] = ("identity_card", "business"), safe: tuple[str, ...] = ("prescription", "lab_requisition", "bill"), people: tuple[str, ...] = ()) -> DataFrame:
