@@ -54,19 +54,25 @@ def document_date(text: Column) -> Column:
     return let(best, lambda d: F.when(d.contains("/"), iso_date(d)).otherwise(d))
 
 
-#: What stands before the date of a statement, in the order in which it is looked for.
-STATEMENT_LEADS = (r"statement\s+period\s+[\d/]{6,10}\s*-\s*", r"closing\s+date[:\s]*", r"as\s+of[:\s]*")
-NOTICE_LEAD = r"notice\s+date[:\s]*"
+#: Words before the date of a statement, in the order in which they are looked for; the first begins a period.
+STATEMENT_WORDS = ("statement period", "closing date", "as of")
+NOTICE_WORDS = "notice date"
+SLASHED = r"\d{1,2}/\d{1,2}/\d{2,4}"
+
+
+def _lead(words: str) -> str:
+    return r"\b" + r"\s+".join(words.split()) + r"\b[:\s]*"
 
 
 def statement_date(text: Column) -> Column:
     """The end of a statement period, a closing date, an as-of date or a notice date with its month in words, in this order."""
     low = F.lower(text)
-    slashed = [iso_date(_first(low, lead + r"(\d{1,2}/\d{1,2}/\d{2,4})")) for lead in STATEMENT_LEADS]
-    worded = F.regexp_extract(low, NOTICE_LEAD + r"([a-z]+\s+\d{1,2},?\s*\d{4})", 1)
+    period, *others = STATEMENT_WORDS
+    slashed = iso_date(F.coalesce(_first(low, rf"{_lead(period)}{SLASHED}\s*-\s*({SLASHED})"), *[_first(low, f"{_lead(words)}({SLASHED})") for words in others]))
+    worded = F.regexp_extract(low, _lead(NOTICE_WORDS) + r"([a-z]+\s+\d{1,2},?\s*\d{4})", 1)
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(worded, "^[a-z]+", 0))
     number = lambda p: F.regexp_extract(worded, p, 1)
-    return F.coalesce(*slashed, F.when(month > 0, F.concat_ws("-", number(r"(\d{4})$"), F.lpad(month.cast("string"), 2, "0"), F.lpad(number(r"\s(\d{1,2})"), 2, "0"))))
+    return F.coalesce(slashed, F.when(month > 0, F.concat_ws("-", number(r"(\d{4})$"), F.lpad(month.cast("string"), 2, "0"), F.lpad(number(r"\s(\d{1,2})"), 2, "0"))))
 
 
 def _near(text: Column, words: tuple[str, ...], reach: int) -> Column:
@@ -101,9 +107,13 @@ def month_bucket(date: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(date, 1, 7), F.lit("")), F.lit("unknown"))
 
 
+#: Fixed value: the form of an amount.
+AMOUNT = r"\$\s*([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?)"
+
+
 def amount(text: Column) -> Column:
     """The first $ amount without its commas; without commas three digits at most, as in the source data."""
-    return F.replace(_first(text, r"\$\s*([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?)"), F.lit(","), F.lit(""))
+    return F.replace(_first(text, AMOUNT), F.lit(","), F.lit(""))
 
 
 def clamp(x: Column) -> Column:

@@ -10,33 +10,70 @@ from .phrases import PhraseIndex, listed
 
 #: Dosage forms, and phrases of recognitions and of evaluations.
 DOSAGE = ("TABLET", "TABLETS", "CAPSULE", "CAPSULES", "CHEWABLES", "SOLUTION", "SYRUP", "CREAM", "OINTMENT", "DROPS", "INHALER", "INJECTION", "PATCH", "SPRAY", "SUSPENSION")
-RECOGNITION = (r"\bon\s+the\s+spot\s+award\b", r"\bemployee\s+recognition\b", r"\brecognition\s+(?:award|certificate|letter)\b", r"\baward\s+(?:for|certificate)\b", r"\bnominated\s+by\b", r"\bperformance\s+award\b")
-EVALUATION = (r"\bperformance\s+evaluation\b", r"\bemployee\s+evaluation\b", r"\bperformance\s+review\b", r"\bemployee\s+performance\b", r"\bmeets\s+expectations\b", r"\bexceeds\s+expectations\b", r"\bdevelopment\s+plan(?:ning)?\b")
+RECOGNITION = ("on the spot award", "employee recognition", "recognition award", "recognition certificate", "recognition letter", "award for", "award certificate", "nominated by", "performance award")
+EVALUATION = ("performance evaluation", "employee evaluation", "performance review", "employee performance", "meets expectations", "exceeds expectations", "development plan", "development planning")
+#: Phrases that count as one.
+ONE_OF = {"recognition award": "recognition", "recognition certificate": "recognition", "recognition letter": "recognition", "award for": "award", "award certificate": "award", "development plan": "plan", "development planning": "plan"}
 
 
 def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
 
 
-#: A name in capitals that ends in a legal form, and what stands around it where it is the document's company: on tax forms,
-#: notices, statements and letter heads, in the order in which they are looked for.
-COMPANY = r"([A-Z][A-Z0-9 &.\-]+(?:LLC|INC\.?|LTD|LLP|CORP\.?|CORPORATION|CO\.?|COMPANY))"
-ALONE = r"\n\s*" + COMPANY + r"\s*\n"
-STREET = r"(?:\d+ [A-Z0-9 ]+ (?:ST|AVE|RD|BLVD|DR|WAY|CT|CIR|PL|LN)\b|P\.?O\.? ?BOX)"
-COMPANY_PLACES = (
-    ("Name\\s.{0,40}?Employer identification number\\s*", COMPANY, r"\s+\d{2}-\d{7}"),
-    ("CP ?575 (?:[A-Z] )?", COMPANY, ""),
-    ("", COMPANY, r"\s+Notice\s+(?:date\s+)?(?:[A-Z][a-z]+\s+)?\d{1,2},?\s*\d{4}"),
-    (r"\bBank[^\n]{0,20}", ALONE, ""),
-    ("", ALONE, r"\s*\d{4}[\s\d]{8,20}"),
-    (r"Member\s+FDIC\s*\.?\s*", ALONE, ""),
-    ("", ALONE, r"\s*" + STREET),
-)
+#: Legal forms that end a company's name, banks that head statements, and streets.
+LEGAL_FORMS = ("LLC", "INC", "LTD", "LLP", "CORP", "CORPORATION", "CO", "COMPANY")
+BANKS = ("bank of america", "wells fargo", "chase", "citibank", "bank")
+STREETS = ("st", "ave", "rd", "blvd", "dr", "way", "ct", "cir", "pl", "ln")
+#: Words of capitals up to a legal form.
+CAPITALS = rf"[A-Z0-9&][A-Z0-9&.-]*(?: +[A-Z0-9&.-]+)*? +(?:{'|'.join(LEGAL_FORMS)})\b\.?"
+
+
+def _company_lines(text: Column) -> Column:
+    """Every line with a company's name: struct(name, lead: the line before it, rest: the line behind it, above, below: the lines
+    around, without empty ones, alone: whether the line is the name only)."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def named(lines):
+        def of_line(line, i):
+            # a notice's number and its letter in front are no part of the name
+            lead = F.regexp_extract(line, r"(?i)^(?:.*employer identification number|cp ?575(?: [a-z](?= ))?) *", 0)
+            return let(F.substring(line, F.length(lead) + 1, F.length(line)), lambda own: let(F.regexp_extract(own, CAPITALS, 0), lambda name: F.struct(
+                name.alias("name"), F.lower(F.concat(lead, F.substring(own, F.lit(1), F.position(name, own) - 1))).alias("lead"), F.lower(F.trim(F.substring(own, F.position(name, own) + F.length(name), F.length(own)))).alias("rest"),
+                F.lower(F.when(i > 0, F.get(lines, i - 1)).otherwise("")).alias("above"), F.lower(F.coalesce(F.get(lines, i + 1), F.lit(""))).alias("below"), (F.trim(own) == name).alias("alone"))))
+
+        return F.filter(F.transform(lines, of_line), lambda x: x["name"] != "")
+
+    return let(lines, named)
+
+
+def _has(column: Column, *words: str) -> Column:
+    return F.greatest(*[column.contains(w) for w in words], F.lit(False))
 
 
 def business_name(text: Column) -> Column:
-    """A company's name from the places where documents give it. Takes raw text (lines matter)."""
-    return F.coalesce(*[_first(text, f"(?i:{before}){name}(?i:{after})") for before, name, after in COMPANY_PLACES])
+    """A company's name from the nine places where documents give it, in this order: a tax form's header, a notice of a tax number, an
+    acceptance notice, below a bank's name, below an account's product, above a card number, above an account number, by the line
+    of the deposit insurance or an offer, above a street address. Takes raw text (lines matter). A name that is only a legal form or a
+    bank's own is none."""
+    digits = lambda x: F.length(F.regexp_replace(x, r"\D", ""))
+    plain = lambda x: x.rlike(r"^[\d *x-]+$")
+    below = lambda c: F.concat_ws(" ", c["rest"], c["below"])
+    places = (
+        lambda c: _has(F.concat_ws(" ", c["above"], c["lead"]), "employer identification number") & below(c).rlike(r"^\d{2}-\d{7}\b"),
+        lambda c: _has(c["lead"], "cp 575", "cp575") | (c["alone"] & _has(c["above"], "cp 575", "cp575")),
+        lambda c: below(c).rlike(r"^notice\b.{0,25}\b\d{4}\b"),
+        lambda c: c["alone"] & _has(c["above"], *BANKS),
+        lambda c: c["alone"] & _has(c["above"], "business advantage", "business checking"),
+        lambda c: c["alone"] & plain(c["below"]) & digits(c["below"]).between(12, 24),
+        lambda c: c["alone"] & _has(c["below"], "account number", "account #") & (digits(c["below"]) >= 4),
+        lambda c: c["alone"] & _has(F.concat_ws(" ", c["above"], c["lead"]), "member fdic", "offered by"),
+        lambda c: c["alone"] & (c["below"].rlike(rf"^\d+ .*\b(?:{'|'.join(STREETS)})\b") | F.replace(F.replace(c["below"], F.lit("."), F.lit("")), F.lit(" "), F.lit("")).startswith("pobox")))
+
+    def first(lines):
+        sane = F.filter(lines, lambda c: ~F.lower(c["name"]).isin(*BANKS, *[f.lower() for f in LEGAL_FORMS]))
+        return F.coalesce(*[F.get(F.filter(sane, place), F.lit(0))["name"] for place in places])
+
+    return let(_company_lines(text), first)
 
 
 def company_key(name: Column) -> Column:
@@ -44,36 +81,65 @@ def company_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.upper(F.trim(name)), F.lit("&"), F.lit("AND")), r"[ ,]*\b(?:CORPORATION|COMPANY|CORP|INC|LLC|LTD|LLP)\.?$", ""))
 
 
+def _behind(text: Column, label: str, reach: int = 120) -> Column:
+    """What stands behind the first place of a label (in any case), or null."""
+    return let(F.position(F.lit(label), F.lower(text)), lambda at: F.when(at > 0, F.substring(text, at + len(label), F.lit(reach))))
+
+
 def medication(text: Column, names: tuple[tuple[str, str], ...] = ()) -> Column:
-    """struct(generic, brand): the words after MEDICATION up to a dosage word, else the named ingredient; the first brand name.
-    names: aliases and the name that stands for each."""
-    line = _first(text, r"(?i)\bMEDICATION\s+([A-Z][A-Z0-9]{4,}(?: [A-Z0-9.]+){0,3})")
-    ingredient = _first(text, r"(?i)\bGENERIC\s+INGREDIENT:\s*([A-Za-z ]+?)\s*(?:Tablets?|Capsules?|\(|$)")
-    words = F.split(F.upper(F.coalesce(line, ingredient)), r"\s+")
-    stop = F.array_position(F.transform(words, lambda w: w.isin(*DOSAGE) | w.rlike(r"^\d")), F.lit(True))
-    generic = F.array_join(F.when(stop > 0, F.slice(words, F.lit(1), (stop - 1).cast("int"))).otherwise(words), " ")
-    known = let(F.lower(generic), lambda g: F.get(F.filter(listed([{"alias": a.lower(), "name": n} for a, n in names], "struct<alias:string,name:string>"), lambda e: e["alias"] == g), F.lit(0))["name"])
-    generic = F.coalesce(known, F.initcap(F.nullif(generic, F.lit(""))))
-    return F.struct(generic.alias("generic"), F.initcap(_first(text, r"(?i)\bBRAND\s+NAMES?:\s*([A-Za-z]+)")).alias("brand"))
+    """struct(generic, brand): the words behind "medication", or of the named ingredient, up to a dosage word, a number or a bracket,
+    four at most; the first brand name. names: aliases and the name that stands for each."""
+
+    def words(part):
+        own = F.filter(F.split(F.regexp_replace(F.upper(part), r"[^A-Z0-9.()]+", " "), " "), lambda w: w != "")
+        return let(own, lambda w: let(F.array_position(F.transform(w, lambda x: x.isin(*DOSAGE) | x.rlike(r"^[\d(]")), F.lit(True)).cast("int"), lambda stop: F.slice(w, F.lit(1), F.when(stop > 0, F.least(stop - 1, F.lit(4))).otherwise(4))))
+
+    line = let(words(_behind(text, "medication ")), lambda w: F.when(F.length(F.get(w, F.lit(0))) >= 5, F.array_join(w, " ")))
+    ingredient = F.array_join(words(_behind(text, "generic ingredient:")), " ")
+    found = let(F.coalesce(line, ingredient), lambda g: F.nullif(g, F.lit("")))
+    listed_names = listed([{"alias": a.lower(), "name": n} for a, n in names], "struct<alias:string,name:string>")
+    generic = let(found, lambda g: F.coalesce(F.get(F.filter(listed_names, lambda e: e["alias"] == F.lower(g)), F.lit(0))["name"], F.initcap(g)))
+    brand = F.regexp_extract(F.coalesce(_behind(text, "brand name:"), _behind(text, "brand names:")), r"^\s*([A-Za-z]+)", 1)
+    return F.struct(generic.alias("generic"), F.initcap(let(brand, lambda b: F.nullif(b, F.lit("")))).alias("brand"))
 
 
-#: Marks of vehicles: the printed lead and the least length of what follows it.
-VEHICLE_LEADS = {"tag": (r"TAG[/\\]DECAL[/\\]VESS#?", 5), "vin": (r"VIN[/\\]HIN", 10)}
+#: The printed leads of a vehicle's marks (either slash), and the least length of the mark behind each.
+VEHICLE_MARKS = {"tag": ("tag/decal/vess", 5), "vin": ("vin/hin", 10)}
+#: Loose words before a plate's number, and what may stand between.
+PLATE_WORDS, PLATE_FILLERS = ("tag", "plate", "decal"), ("number", "no")
 
 
 def vehicle(text: Column) -> Column:
-    """struct(tag, vin) by their printed leads."""
-    return F.struct(*[_first(text, rf"(?i){lead}\s*:?\s*([A-Z0-9]{{{least},}})").alias(name) for name, (lead, least) in VEHICLE_LEADS.items()])
+    """struct(tag, vin): the letters and digits behind their printed leads."""
+    same = F.replace(text, F.lit("\\"), F.lit("/"))
+    mark = lambda lead: F.regexp_extract(_behind(same, lead, 60), r"^[#:\s]*([A-Za-z0-9]+)", 1)
+    return F.struct(*[let(mark(lead), lambda m: F.when(F.length(m) >= least, m)).alias(name) for name, (lead, least) in VEHICLE_MARKS.items()])  # noqa: B023
 
 
 def plate(text: Column) -> Column:
-    """A plate, tag or decal number written loosely."""
-    return _first(text, r"(?i)(?:tag|plate|decal) ?(?:number|#|no)?[:\s]*(\w{2,})")
+    """The first mark of two characters or more behind a plate word, with a filler, # or colon between."""
+    words = F.split(F.regexp_replace(text, r"[\s:#]+", " "), " ")
+
+    def first(w):
+        at = F.array_position(F.transform(w, lambda x: F.lower(x).isin(*PLATE_WORDS)), F.lit(True)).cast("int")
+        return let(F.when(at > 0, F.when(F.lower(F.get(w, at)).isin(*PLATE_FILLERS), F.get(w, at + 1)).otherwise(F.get(w, at))), lambda m: F.when(m.rlike(r"^\w{2}"), F.regexp_extract(m, r"^\w+", 0)))
+
+    return let(words, first)
 
 
 def employment_kind(text: Column) -> Column:
-    r, e = (sum((text.rlike("(?i)" + p).cast("int") for p in ps), F.lit(0)) for ps in (RECOGNITION, EVALUATION))
-    return F.when((r > e) & ((r >= 2) | (e == 0)), "Recognition").when((e > r) & ((e >= 2) | (r == 0)), "Evaluation").otherwise("Employment")
+    """Recognition or Evaluation by which has more of its phrases, if it has two or the other none; else Employment."""
+    kinds = {"r": RECOGNITION, "e": EVALUATION}
+    rules = {kind: {} for kind in kinds}
+    for kind, phrases in kinds.items():
+        for p in phrases:
+            rules[kind].setdefault(ONE_OF.get(p, p), []).append(p)
+    index = PhraseIndex()
+    for kind, own in rules.items():
+        index.add(kind, [tuple(x) for x in own.values()], bounded=True)
+    low = F.regexp_replace(F.lower(text), r"\s+", " ")
+    counts = let(index.found(low), lambda m: F.struct(index.count(m, "r").alias("r"), index.count(m, "e").alias("e")))
+    return let(counts, lambda n: F.when((n["r"] > n["e"]) & ((n["r"] >= 2) | (n["e"] == 0)), "Recognition").when((n["e"] > n["r"]) & ((n["e"] >= 2) | (n["r"] == 0)), "Evaluation").otherwise("Employment"))
 
 
 def clinical(text: Column) -> Column:
@@ -91,14 +157,22 @@ def side_in_name(stem: Column) -> Column:
     return F.when(low.rlike(rf"(?:^|[\s_\-a-z])(?:front|recto){edge}"), "Front").when(low.rlike(rf"(?:^|[\s_\-a-z])(?:back|reverso|reverse|verso){edge}"), "Back")
 
 
-#: Forms of file names that scanners and cameras give: a word with a running number, a word with a time, times, models, dates.
-SCANNER_WORDS = ("S-Corp", "Doc", "Document", "Image", "Scan", "IMG", "Photo", "Page", "File")
-SCANNER_FORMS = (rf"(?:{'|'.join(SCANNER_WORDS)}) *\d*$", r"Scan\d{4}-\d{2}-\d{2}_\d{6}", r"\d{8}_\d{6}_\d{3}$", r"DocFile *\(\d+\)$", "SKMBT_", r"[A-Z]{2,6}_C\d", r"\d{8} +\w")
+#: Words that scanners and cameras number, and forms of their names, 9 for a digit. A form with a star may go on.
+SCANNER_WORDS = ("s-corp", "doc", "document", "image", "scan", "img", "photo", "page", "file")
+SCANNER_FORMS = ("scan9999-99-99_999999*", "99999999_999999_999", "docfile(9)", "skmbt_*")
 
 
 def scanner_default(stem: Column) -> Column:
-    """Whether a file name is one that scanners give."""
-    return stem.rlike("(?i)^(?:" + "|".join(SCANNER_FORMS) + ")")
+    """Whether a file name is one that scanners give: a known word with a number, a known form, a short model's name with _C and a
+    digit, or a date of eight digits with a word behind it."""
+    low = F.lower(stem)
+    shape = F.regexp_replace(low, "[0-9]", "9")
+    short = F.replace(F.regexp_replace(shape, "9+", "9"), F.lit(" "), F.lit(""))
+    word = F.trim(F.regexp_replace(low, "[0-9]+$", ""))
+    forms = [shape.startswith(f[:-1]) if f.endswith("*") else (short if "(" in f else shape) == f for f in SCANNER_FORMS]
+    model = let(F.split(shape, "_"), lambda p: F.get(p, F.lit(0)).rlike("^[a-z]{2,6}$") & F.coalesce(F.get(p, F.lit(1)).startswith("c9"), F.lit(False)))
+    dated = let(F.split(shape, " "), lambda p: (F.get(p, F.lit(0)) == "9" * 8) & F.coalesce(F.array_join(F.slice(p, F.lit(2), F.size(p)), "").rlike(r"^\w"), F.lit(False)))
+    return F.when(stem.isNotNull(), word.isin(*SCANNER_WORDS) | F.greatest(*forms) | F.coalesce(model, F.lit(False)) | F.coalesce(dated, F.lit(False)))
 
 
 def name_convention(stem: Column) -> Column:

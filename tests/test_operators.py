@@ -165,3 +165,19 @@ def test_metadata_of_five_fields(spark):
     index = spark.createDataFrame([(10, "same", "Acme", "Ann", "bill", "2024-01-01", "x"), (11, "other day", "Acme", "Ann", "bill", "2024-03-03", "x"), (12, "blank", "", "", "bill", "2024-01-01", "X"), (13, "dated", "Beta", "Bo", "note", "2024-02-02", "scan"), (14, "empty", "", None, "", "", "")], schema)
     got = sorted((r["doc_id"], r["path"], r["score"]) for r in dedup.metadata_overlap(docs, index).collect())
     assert got == [(1, "blank", 1.0), (1, "same", 1.0), (2, "dated", 1.0), (3, "blank", 1.0), (3, "other day", 1.0), (3, "same", 1.0)]
+
+
+def test_nine_places_of_a_company(spark):
+    texts = (
+        "Name  Employer identification number\nACME PARTS LLC 12-3456789", "Notice\nCP 575 A\nACME PARTS LLC\nx", "ACME PARTS INC Notice date January 5, 2024", "Wells Fargo statement\nACME PARTS CORP.\nx", "Business Advantage\nACME PARTS CO\nx",
+        "x\nACME PARTS LTD\n4444 5555 6666 7777\n", "x\nN&D TOOLS LLC\nAccount number 1234 5678\n", "Member FDIC.\nACME PARTS LLP\nx", "x\nACME PARTS COMPANY\n12 OAK GROVE RD\n", "x\nACME PARTS LLC\nP.O. Box 12", "x\nACME PARTS LLC\nnothing", "Acme Parts LLC\n12 Oak St", "", None)
+    assert values(spark, fields.business_name, *texts) == [
+        "ACME PARTS LLC", "ACME PARTS LLC", "ACME PARTS INC", "ACME PARTS CORP.", "ACME PARTS CO", "ACME PARTS LTD", "N&D TOOLS LLC", "ACME PARTS LLP", "ACME PARTS COMPANY", "ACME PARTS LLC", None, None, None, None]
+
+
+def test_marks_of_vehicles_and_scanners(spark):
+    assert [tuple(x) for x in values(spark, fields.vehicle, r"TAG\DECAL/VESS#: AB12345 VIN/HIN: 1HGCM82633A004352", "vin/hin 123", None)] == [("AB12345", "1HGCM82633A004352"), (None, None), (None, None)]
+    names = ("Scan", "scan 12", "IMG0001", "20240102_030405_678", "DocFile (12)", "SKMBT_C3524", "HPX_C1abc", "20240102 letter", "2024-01-02", "Scan of x", "letter_c1x", "20240102", None)
+    assert values(spark, fields.scanner_default, *names) == [True, True, True, True, True, True, True, True, False, False, True, False, None]
+    assert values(spark, lambda c: fields.medication(c), "MEDICATION AMOXICILLIN CLAV 500 mg BRAND NAMES: Augmentin, x")[0] == ("Amoxicillin Clav", "Augmentin")
+    assert values(spark, dates.statement_date, "Statement period 01/02/2024 - 02/01/2024", "closing date: 3/4/24", "as of 12/31/1999", "notice date March 5, 2021", "the atlas of 1/2/2024") == ["2024-02-01", "2024-03-04", "1999-12-31", "2021-03-05", None]
