@@ -1,8 +1,9 @@
 """Classification by compression with zstandard dictionaries: quality (good or bad) and language.
 
-A dictionary is raw training text; text compresses better behind a dictionary that resembles it. Dictionaries are built on
-the driver from a bounded sample of labelled texts (MAX_* below), as are the calibrations; scoring runs over Arrow batches
-on the executors, over whole texts, one text at a time.
+A dictionary is raw training text; text compresses better behind a dictionary that resembles it. A class has as many
+dictionaries as its sample fills, whole texts all of them, and the smallest size behind one of them counts. Dictionaries are
+built on the driver from a bounded number of labelled texts (MAX_* below), as are the calibrations; scoring runs over Arrow
+batches on the executors, over whole texts, one text at a time.
 
 A text is compressed in pieces, each behind every dictionary, so that a long text does not become its own dictionary; the
 sizes of all pieces are summed up. Quality: the score is a logistic function of one number, the difference of the sizes
@@ -23,51 +24,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import bounded_sample, table
 
-#: Labelled texts that reach the driver for each class, and bytes of a dictionary, at most: the bounds of the fitted sample.
-MAX_TEXTS, MAX_TEXT_CHARS, DICTIONARY_BYTES = 600, 20_000, 400 * 1024
+#: Labelled texts that reach the driver, at most: of each kind of quality, and of all languages together.
+MAX_TEXTS, MAX_LANGUAGE_TEXTS = 600, 800
+#: Bytes of one dictionary; what is over them begins the next one.
+DICTIONARY_BYTES = 400 * 1024
 LEVEL = 3
 #: Bytes that are compressed at once for quality and for language.
 PIECE, LANGUAGE_PIECE = 96, 2048
 
 
-def excerpt(text: Column, most: int = MAX_TEXT_CHARS, parts: int = 20) -> Column:
-    """A text to train from: the whole text, or if that is long equal parts from all over it."""
-    size, n = F.length(text), most // parts
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substring(text, (k * (size - n) / (parts - 1)).cast("int") + 1, F.lit(n))), "\n")
-    return F.when(size <= most, text).otherwise(spread)
-
-
 def sample_of(docs: DataFrame, keys: DataFrame, label: str, limit: int) -> list[tuple]:
-    """(label, text) of at most limit documents for each label, taken by a hash of their id. keys: doc_id and label.
-
-    Of a long text parts are taken (see excerpt), as a few of them would fill a dictionary. Scoring takes whole texts.
-    """
-    keys = keys.where("doc_id is not null").groupBy("doc_id").agg(F.min(label).alias(label))
-    sizes = keys.groupBy(label).count().collect()  # one row for each label
-    # a hash lets about three times the limit through, so that no task ranks all documents of a label
-    share = F.coalesce(*[F.when(F.col(label) == r[label], F.lit(min(1.0, 3 * limit / r["count"]))) for r in sizes], F.lit(0.0))
-    few = keys.where(F.pmod(F.xxhash64("doc_id", F.lit("few")), F.lit(1 << 30)) < share * (1 << 30))
-    by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank")
-    texts = docs.select("doc_id", excerpt(F.col("text").cast("string")).alias("text")).where("text <> ''")
-    # limit ids for each of a few labels: a proven bound for the broadcast and for what comes to the driver
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", label, "text").dropDuplicates(["doc_id"]).collect()
+    """(label, text) of at most limit documents for each label (see bounded_sample), whole texts."""
+    rows = bounded_sample(docs, keys.groupBy("doc_id").agg(F.min(label).alias(label)), label, limit).collect()
     return [(r[label], r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def dictionary(texts: list[bytes], most: int = DICTIONARY_BYTES) -> bytes:
-    """Raw content: whole texts while they fit."""
-    out, size = [], 0
-    for b in texts:
-        if size + len(b) <= most:
-            out.append(b)
-            size += len(b)
-    return b"\n".join(out) or b"\n" * 8
+def dictionaries_of(texts: list[bytes]) -> list[bytes]:
+    """Raw content of all texts, in dictionaries of DICTIONARY_BYTES at most; a text that does not fit goes on in the next one."""
+    out = [b""]
+    for text in texts:
+        at = 0
+        while at < len(text):
+            room = DICTIONARY_BYTES - len(out[-1])
+            if room <= 0 or (len(text) - at > room and len(text) <= DICTIONARY_BYTES and at == 0):
+                out.append(b"")
+                continue
+            out[-1] += text[at : at + room]
+            at += room
+        out[-1] += b"\n"
+    return [x for x in out if x.strip()] or [b"\n" * 8]
 
 
 def unshared(documents: dict) -> dict:
@@ -81,24 +71,21 @@ def unshared(documents: dict) -> dict:
 
 
 class Sizer:
-    """Compressed sizes of a text behind each dictionary."""
+    """Compressed sizes of a text behind the dictionaries of each class."""
 
-    def __init__(self, dictionaries: list[bytes], level: int = LEVEL):
-        self.by = []
-        for raw in dictionaries:
-            held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=level)
-            self.by.append(self._plain(level, held))
+    def __init__(self, dictionaries: list[list[bytes]], level: int = LEVEL):
+        self.by = [[self._behind(raw, level) for raw in own] for own in dictionaries]
 
     @staticmethod
-    def _plain(level, held=None):
-        more = {"dict_data": held} if held else {}
-        return zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False, write_dict_id=False, **more)
+    def _behind(raw: bytes, level: int) -> zstandard.ZstdCompressor:
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=held)
 
     def sizes(self, data: bytes, piece: int) -> np.ndarray:
-        """Behind each dictionary the sizes of all pieces of data, summed up."""
+        """For each class the sizes of all pieces of data, each behind the best of its dictionaries, summed up."""
         pieces = [data[at : at + piece] for at in range(0, len(data), piece)]
-        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.by], float)
+        return np.array([sum(min(len(c.compress(p)) for c in own) for p in pieces) for own in self.by], float)
 
 
 def quality_features(sizer: Sizer, text: str) -> list[float]:
@@ -128,7 +115,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> dict:
     texts = {q: [t for label, t in rows if (label > 0) == q] for q in (True, False)}
     if not texts[True] or not texts[False]:
         return {"dictionaries": None, "prior": (len(texts[True]) + 1) / (len(rows) + 2)}
-    dictionaries = [dictionary([b"\n".join(d) for d in own]) for own in unshared({q: [t.encode().split(b"\n") for t in texts[q][::2]] for q in (True, False)}).values()]
+    dictionaries = [dictionaries_of([b"\n".join(d) for d in own]) for own in unshared({q: [t.encode().split(b"\n") for t in texts[q][::2]] for q in (True, False)}).values()]
     sizer = Sizer(dictionaries)
     held = [(q, t) for q in (True, False) for t in texts[q][1::2] or texts[q]]
     x = np.array([quality_features(sizer, t) for _, t in held])
@@ -169,24 +156,25 @@ def letters_of(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(NOT_LETTER).split())
 
 
-def language_dictionaries(rows: list[tuple], langs: list[str]) -> list[bytes]:
-    """A dictionary for each language, without lines that languages share or that the other half gives to another one.
+def language_dictionaries(rows: list[tuple], langs: list[str]) -> list[list[bytes]]:
+    """The dictionaries of each language, without lines that languages share or that the other half gives to another one.
 
     Documents quote passages of other languages; such a line would claim every text that quotes it too.
     """
     own = unshared({g: [[letters_of(x) for x in t.split("\n")] for label, t in rows if label == g] for g in langs})
-    first = [Sizer([dictionary([b"\n".join(d) for d in own[g][half::2]]) for g in langs]) for half in (0, 1)]
+    first = [Sizer([dictionaries_of([b"\n".join(d) for d in own[g][half::2]]) for g in langs]) for half in (0, 1)]
     lines: dict[str, list[bytes]] = {g: [] for g in langs}
     for k, g in enumerate(langs):
         for i, document in enumerate(own[g]):
             lines[g] += [x for x in document if x and (len(x) < 20 or int(np.argmin(first[1 - i % 2].sizes(x, LANGUAGE_PIECE))) == k)]
-    return [dictionary(list(dict.fromkeys(lines[g]))) for g in langs]
+    return [dictionaries_of(list(dict.fromkeys(lines[g]))) for g in langs]
 
 
-def learn_languages(docs: DataFrame, *, limit: int = MAX_TEXTS) -> dict:
-    """One raw-content dictionary for each learned language."""
+def learn_languages(docs: DataFrame, *, limit: int = MAX_LANGUAGE_TEXTS) -> dict:
+    """Raw-content dictionaries of each learned language, from limit texts of all languages together (one each at least)."""
     known = docs.where(F.col("lang").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1))
-    rows = sample_of(docs, known.select("doc_id", "lang"), "lang", limit)
+    keys = known.select("doc_id", "lang")
+    rows = sample_of(docs, keys, "lang", max(1, limit // max(1, keys.select("lang").distinct().count())))
     langs = sorted({label for label, _ in rows})
     return {"langs": langs, "dictionaries": language_dictionaries(rows, langs)}
 

@@ -22,7 +22,12 @@ def corpus(spark):
     return rows, spark.createDataFrame(rows, DOCS).repartition(3)
 
 
-def size(raw, data):
+def size(dictionaries, data):
+    """Behind the best of a class's dictionaries."""
+    return min(behind(raw, data) for raw in dictionaries)
+
+
+def behind(raw, data):
     held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(level=compression.LEVEL)
     return len(zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data))
@@ -60,7 +65,7 @@ def test_language_is_the_smallest_size(spark):
 
 
 def test_long_texts_train_too(spark):
-    """A class of long texts only is learned, from parts all over them."""
+    """A class of long texts only is learned, from whole texts, in as many dictionaries as they fill."""
     rng = random.Random(2)
     words = {k: ["".join(rng.choice(a) for _ in range(6)) for _ in range(150)] for k, a in enumerate(("abcdefgh", "klmnopqr"))}
     rows = [(i, make(rng, words[i % 2], 12_000 if i % 2 else 400), "lo" if i % 2 else "sh", "s", 1.0, "x") for i in range(40)]
@@ -69,8 +74,10 @@ def test_long_texts_train_too(spark):
     assert compression.learn_quality(docs, labels)["dictionaries"] is not None
     got = {r["doc_id"]: r["lang_pred"] for r in compression.identify(docs, compression.learn_languages(docs)).collect()}
     assert sum(got[i] == ("lo" if i % 2 else "sh") for i in range(40)) >= 38
-    one = docs.where("doc_id = 1").select(compression.excerpt(docs["text"]).alias("x")).first()["x"]
-    assert len(one) <= compression.MAX_TEXT_CHARS + 19 and one.startswith(rows[1][1][:1000]) and one.endswith(rows[1][1][-1000:])
+    texts = [random.Random(k).randbytes(n).replace(b"\n", b" ") for k, n in enumerate((10, 300_000, 200_000, 0, 1_000_000, 5))]
+    cut = compression.dictionaries_of(texts)
+    assert max(map(len, cut)) <= compression.DICTIONARY_BYTES + 1 and b"".join(cut).replace(b"\n", b"") == b"".join(texts)
+    assert texts[1] in cut[0] and texts[2] in cut[1] and compression.dictionaries_of([b""]) == [b"\n" * 8]
 
 
 def test_rows_without_id_and_empty_tables(spark):
