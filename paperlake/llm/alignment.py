@@ -38,7 +38,7 @@ from .shared import shared_dir, table
 #: Where the vocabularies lie, and the files of A (byte-level BPE) and B (pieces with byte fallback).
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once, and of a block of texts that shares a list of pairs; a longer text is alone.
-SLICE_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
+SLICE_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
 #: How byte-level vocabularies split texts before merging (a fixed value of the format).
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,16 +54,12 @@ class ByteTokens:
     """Tokenizer A from its JSON file's text: ids of space and text, and the bytes of each id."""
 
     def __init__(self, source: str):
-        import tokenizers
-
         held, letters = json.loads(source), byte_letters()
         vocabulary, special = held["model"]["vocab"], {x["content"] for x in held["added_tokens"]}
         self.bytes = [b""] * (1 + max([*vocabulary.values(), *(x["id"] for x in held["added_tokens"])]))
         for word, i in vocabulary.items():
             self.bytes[i] = word.encode() if word in special else bytes(letters[c] for c in word)
-        self.plain = tokenizers.Tokenizer.from_str(source)
-        self.plain.encode_special_tokens = True
-        self.fast = None
+        self.source, self.plain, self.fast = source, None, None
         words, merges = held.get("pre_tokenizer") or {}, [m if isinstance(m, list) else m.split(" ") for m in held["model"]["merges"]]
         usual = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and not held.get("normalizer")
         order = [vocabulary["".join(m)] for m in merges]
@@ -79,6 +75,11 @@ class ByteTokens:
                 return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64)
             except ValueError:  # its regular expressions give up on a million spaces in a row; the other library does not
                 pass
+        if self.plain is None:  # held only where it is needed
+            import tokenizers
+
+            self.plain = tokenizers.Tokenizer.from_str(self.source)
+            self.plain.encode_special_tokens = True
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.int64)
 
 
