@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 TIERS = ("exact", "name", "text", "metadata")
 FIELDS = ("provider", "person", "doc_type")
 #: What is compared; the provider comes first.
@@ -132,9 +134,8 @@ def sync_plan(local: DataFrame, remote: DataFrame, *, force: bool = False) -> Da
 
 
 def reuse_neighbours(docs: DataFrame) -> DataFrame:
-    """The first known value within a neighbourhood serves later documents (docs: doc_id, key, hits)."""
-    w = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return docs.withColumn("served", F.first("hits", ignorenulls=True).over(w))
+    """The first known value within a neighbourhood serves later documents (docs: doc_id, key, hits). A neighbourhood may hold all."""
+    return running(docs, "key", ["doc_id"], {"served": ("first", "hits")})
 
 
 def prune(index: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:

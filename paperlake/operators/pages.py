@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ends, running
+
 
 def page_groups(pages: DataFrame) -> DataFrame:
     """Pages (folder, total, page, name) that make one document get their page number as suffix; not where one repeats."""
@@ -118,9 +120,10 @@ def sides(scans: DataFrame, *, minutes: int = 30) -> DataFrame:
 
 def conflict_suffixes(plan: DataFrame) -> DataFrame:
     """_000, _001 ... on names (folder, name, path) that repeat within a folder."""
-    w = Window.partitionBy("folder", "name")
-    number = F.lpad((F.row_number().over(w.orderBy("path")) - 1).cast("string"), 3, "0")
-    return plan.withColumn("final_name", F.when(F.count("*").over(w) > 1, F.concat("name", F.lit("_"), number)).otherwise(F.col("name")))
+    names = plan.withColumn("_both", F.struct("folder", "name"))
+    out = running(names, "_both", ["path"], {"_k": ("count", None), "_n": ("total", None)})
+    number = F.lpad((F.col("_k") - 1).cast("string"), 3, "0")
+    return out.withColumn("final_name", F.when(F.col("_n") > 1, F.concat("name", F.lit("_"), number)).otherwise(F.col("name"))).drop("_both", "_k", "_n")
 
 
 def unique_targets(plan: DataFrame, taken: DataFrame) -> DataFrame:
@@ -135,9 +138,7 @@ def unique_targets(plan: DataFrame, taken: DataFrame) -> DataFrame:
 
 def samples(rows: DataFrame, *, key: str = "destination", order: str = "name") -> DataFrame:
     """All members of small groups, else the first two and the last, with how many are left out."""
-    w = Window.partitionBy(key)
-    out = rows.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(order)))
-    return out.where((F.col("n") <= 3) | (F.col("k") <= 2) | (F.col("k") == F.col("n"))).withColumn("more", F.greatest(F.col("n") - 3, F.lit(0)))
+    return ends(rows, key, order)
 
 
 def stable(polls: DataFrame, *, checks: int = 2) -> DataFrame:

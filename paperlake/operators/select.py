@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields, text
+from .scan import running
 
 DONE = ("approved", "denied", "skipped")
 #: Document types that are one group when runs of pages are told apart, and where groups go.
@@ -69,8 +70,8 @@ def section_order(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 
 def batch_ids(rows: DataFrame, batch: str, order: str) -> DataFrame:
-    """Row ids from 1 within each batch."""
-    return rows.withColumn("row_id", F.row_number().over(Window.partitionBy(batch).orderBy(order)))
+    """Row ids from 1 within each batch, of which one may hold most rows."""
+    return running(rows, batch, [order], {"row_id": ("count", None)})
 
 
 def latest_batch(rows: DataFrame) -> DataFrame:

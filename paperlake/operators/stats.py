@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import CONFIDENCE_BANDS, band, percent_text
+from .scan import ends, first_rows
 
 APPROVED = "approved_at is not null"
 
@@ -111,8 +112,8 @@ def event_lists(rows: DataFrame, key: str, lists: dict[str, str], most: int = 10
     out = rows.groupBy(key).agg(F.count("*").alias("files"))
     for name, column in lists.items():
         distinct = rows.where(F.col(column).isNotNull()).select(key, column).distinct()
-        ranked = distinct.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(column)))
-        part = ranked.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("_k") <= most, F.col(column)))), ",").alias(name), F.count("*").alias(f"n_{name}"))
+        shown = first_rows(distinct, key, [F.col(column).asc()], most, rank="_k")  # cut in every task before the shuffle
+        part = shown.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(column)), ",").alias(name)).join(distinct.groupBy(key).agg(F.count("*").alias(f"n_{name}")).hint("merge"), key)
         out = out.join(part, key, "left")
     return out
 
@@ -124,3 +125,21 @@ def dashboard(parts: list[DataFrame]) -> DataFrame:
         p = p.withColumn("_k", F.lit(1))
         out = p if out is None else out.join(p, "_k")
     return out.drop("_k")
+
+
+def notification(results: DataFrame, *, review_below: float = 0.70, shown: int = 3) -> DataFrame:
+    """The table of a notification as rows (section, name, n, position, document, note, more): the groups by destination with
+    samples, and the lists of errors, of ambiguous documents and of those that need review, each with its first documents and its
+    last, and how many are left out. results: doc_id, destination, proposed_name, confidence, error, question."""
+    failed = F.col("error").isNotNull()
+    sections = (
+        ("group", ~failed, F.col("destination"), F.col("proposed_name")),
+        ("error", failed, F.lit(""), F.col("error")),
+        ("ambiguous", ~failed & F.col("question").isNotNull(), F.lit(""), F.col("question")),
+        ("review", ~failed & (F.col("confidence") < review_below), F.lit(""), F.format_string("%.2f", "confidence")))
+    out = None
+    for section, test, name, note in sections:
+        rows = results.where(test).select(F.struct(F.lit(section).alias("section"), name.alias("name")).alias("list"), F.col("doc_id").alias("document"), note.alias("note"))
+        few = ends(rows, "list", "document", shown=shown).select("list.section", "list.name", "n", F.col("k").alias("position"), "document", "note", "more")
+        out = few if out is None else out.unionByName(few)
+    return out

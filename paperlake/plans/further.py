@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import dates, fields, json
-from ..operators import classification, dedup, learning, lifecycle, pages, rules, select, stats
-from ..sources import readers, writers
+from ..operators import classification, dedup, learning, lifecycle, pages, rules, scan, select, stats
+from ..sources import buckets, readers, writers
+from ..sources.shared import shared_folder
 from .catalog import CLASSIFIED, as_of, classified, query
 from .views import FILE_INDEX, LIFECYCLE, SCAN_DOCS, file_index, scan_docs, t
 from .views import lifecycle as life
@@ -330,3 +333,46 @@ def corrected_confidence(spark, sf):
     """RUL-21 with RUL-22: the boost of a learned correction, and its type."""
     held = spark.createDataFrame([(1, None, ["patient", "prescription", "label", "total"], "rx", "1998-01-01")], "id long, org_id string, keywords array<string>, corrected_doc_type string, correction_date string")
     return rules.with_corrections(classified(spark, sf), held).select("doc_id", "doc_type", "confidence", "corrected")
+
+
+# ---- running values, notification, bucketed tables ------------------------------------------------------------------
+
+
+@query("select doc_id, first_value(hits ignore nulls) over (order by doc_id rows between unbounded preceding and current row) as served from (select doc_id, case when doc_id % 997 = 4 then doc_id end as hits from documents)")
+def served_by_one_neighbourhood(spark, sf):
+    """WIN-10 where one neighbourhood holds every document."""
+    d = t(spark, sf, "documents").select("doc_id", F.lit("all").alias("key"), F.when(F.col("doc_id") % 997 == 4, F.col("doc_id")).alias("hits"))
+    return dedup.reuse_neighbours(d).select("doc_id", "served")
+
+
+@query("""select l_orderkey, l_linenumber, count(*) over w as n, cast(sum(l_quantity) over w as double) as quantity, last_value(case when l_returnflag = 'R' then l_orderkey end ignore nulls) over w as returned
+ from lineitem window w as (partition by l_linestatus order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag rows between unbounded preceding and current row)""")
+def running_lines(spark, sf):
+    """Running count, sum and last known value over two keys that hold all rows (WIN-04, WIN-09)."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
+    lines = t(spark, sf, "lineitem").select(*order, "l_linestatus", F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")).alias("back"))
+    out = scan.running(lines, "l_linestatus", order, {"n": ("count", None), "quantity": ("sum", "l_quantity"), "returned": ("last", "back")})
+    return out.select("l_orderkey", "l_linenumber", "n", "quantity", "returned")
+
+
+@query("""with r as (select o_orderkey as doc_id, o_orderpriority as destination, concat('scan_', o_orderkey) as proposed_name, (o_orderkey % 100) / 100.0 as confidence, case when o_orderkey % 11 = 0 then concat('broken ', o_orderkey) end as error, case when o_orderkey % 13 = 0 then 'Whose?' end as question from orders),
+ s as (select 'group' as section, destination as name, doc_id as document, proposed_name as note from r where error is null union all select 'error', '', doc_id, error from r where error is not null
+  union all select 'ambiguous', '', doc_id, question from r where error is null and question is not null union all select 'review', '', doc_id, printf('%.2f', cast(confidence as double)) from r where error is null and confidence < 0.7),
+ k as (select *, count(*) over (partition by section, name) as n, row_number() over (partition by section, name order by document) as position from s)
+ select section, name, n, position, document, note, greatest(n - 3, 0) as more from k where n <= 3 or position <= 2 or position = n""")
+def notification_table(spark, sf):
+    """RPT-01: groups with samples, errors, ambiguous documents and those that need review."""
+    key = F.col("o_orderkey")
+    return stats.notification(t(spark, sf, "orders").select(
+        key.alias("doc_id"), F.col("o_orderpriority").alias("destination"), F.concat(F.lit("scan_"), key.cast("string")).alias("proposed_name"), ((key % 100) / 100).alias("confidence"),
+        F.when(key % 11 == 0, F.concat(F.lit("broken "), key.cast("string"))).alias("error"), F.when(key % 13 == 0, F.lit("Whose?")).alias("question")))
+
+
+@query("""with o as (select o_custkey as key, o_orderkey as seq, o_totalprice as price from orders) select key, max(seq) as seq, arg_max(price, seq) as price from o group by key""")
+def bucketed_upserts(spark, sf):
+    """SNK-02 to SNK-04: orders upserted by customer in three batches, of which the last comes twice."""
+    orders = t(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"))
+    store = buckets.BucketTable(spark, f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}", "key", ["seq"], "key long, seq long, price double", buckets=16)
+    for number in (0, 1, 2, 2):
+        store.upsert(orders.where(F.col("seq") % 3 == number), batch=number)
+    return store.read()
