@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 def reduce_events(events: DataFrame) -> DataFrame:
     """One row per document from its events (sha, ts, seq, kind, name, doc_type): latest proposal and final values,
-    attempts, first sight, the override's kind. One aggregation with map-side combine."""
+    attempts, first sight, the override's kind, and if events have a reason that of the last denial. One aggregation with map-side
+    combine."""
     at = F.struct("ts", "seq", "kind", "name", "doc_type")  # events of one time and number: the greater one counts
-    proposed, decided = F.col("kind") == "proposed", F.col("kind") == "approved"
+    proposed, decided, denied = (F.col("kind") == kind for kind in ("proposed", "approved", "denied"))
+    reason = [F.max_by(F.when(denied, F.col("reason")), F.when(denied, at)).alias("deny_reason")] if "reason" in events.columns else []
     out = events.groupBy("sha").agg(
         F.min("ts").alias("first_seen_at"), F.count_if(proposed).alias("attempts"),
         F.max_by(F.when(proposed, F.col("name")), F.when(proposed, at)).alias("proposed_name"), F.max_by(F.when(proposed, F.col("doc_type")), F.when(proposed, at)).alias("proposed_doc_type"),
         F.max_by(F.when(decided, F.col("name")), F.when(decided, at)).alias("final_name"), F.max_by(F.when(decided, F.col("doc_type")), F.when(decided, at)).alias("final_doc_type"),
-        F.max(F.when(decided, F.col("ts"))).alias("approved_at"), F.max_by("kind", at).alias("last_kind"))
+        F.max(F.when(decided, F.col("ts"))).alias("approved_at"), F.max_by("kind", at).alias("last_kind"), *reason)
     return out.withColumn("override_type", override_type(*[F.col(c) for c in ("proposed_name", "final_name", "proposed_doc_type", "final_doc_type", "last_kind")]))
 
 
@@ -33,9 +35,11 @@ def latest_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def expire(lifecycle: DataFrame, as_of, *, hours: int = 24) -> DataFrame:
-    """Documents not approved and older than `hours` at as_of become expired."""
+    """Documents not approved and older than `hours` at as_of become expired; their note (null if there is no such column) says so."""
+    note = F.col("note") if "note" in lifecycle.columns else F.lit(None).cast("string")
     old = F.col("approved_at").isNull() & (F.col("first_seen_at") < as_of - F.expr(f"interval {hours} hours"))
-    return lifecycle.withColumn("override_type", F.when(old, "expired").otherwise(F.col("override_type"))).withColumn("expired", old)
+    return lifecycle.withColumn("override_type", F.when(old, "expired").otherwise(F.col("override_type"))).withColumns(
+        {"expired": old, "note": F.when(old, F.concat_ws("; ", note, F.lit(f"expired after {hours} hours without approval"))).otherwise(note)})
 
 
 def attempts(proposals: DataFrame) -> DataFrame:

@@ -376,3 +376,32 @@ def bucketed_upserts(spark, sf):
     for number in (0, 1, 2, 2):
         store.upsert(orders.where(F.col("seq") % 3 == number), batch=number)
     return store.read()
+
+
+@query("""select cast(o_orderkey as varchar) as sha, case when o_orderkey % 5 = 0 then concat('no, ', o_orderpriority) end as deny_reason, case when o_orderkey % 5 = 0 then 'deny' else 'none' end as override_type from orders""")
+def deny_reasons(spark, sf):
+    """LIF-04: the reason of the last denial; documents that were never denied have none."""
+    key = F.col("o_orderkey")
+    orders = t(spark, sf, "orders").select(key.alias("k"), key.cast("string").alias("sha"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("n").alias("name"), F.lit("bill").alias("doc_type"), "o_orderpriority")
+    event = lambda kind, seq, reason: orders.select("sha", "ts", F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), "name", "doc_type", reason.alias("reason"), "k")
+    events = event("proposed", 0, F.lit("not a denial's")).unionByName(event("denied", 1, F.lit("first thoughts")).where("k % 10 = 0")).unionByName(event("denied", 2, F.concat(F.lit("no, "), "o_orderpriority")).where("k % 5 = 0"))
+    return lifecycle.reduce_events(events).select("sha", "deny_reason", "override_type")
+
+
+@query("""select sha256(cast(o_orderkey as varchar)) as sha256, o_orderkey % 10 in (3, 4, 9) and o_orderdate < timestamp '1998-08-01 00:00:00' as expired,
+ case when o_orderkey % 10 in (3, 4, 9) and o_orderdate < timestamp '1998-08-01 00:00:00' then concat(case when o_orderkey % 2 = 0 then 'seen; ' else '' end, 'expired after 24 hours without approval') when o_orderkey % 2 = 0 then 'seen' end as note from orders join customer on o_custkey = c_custkey""")
+def expiry_notes(spark, sf):
+    """LIF-06: what has expired says so in its note, behind what the note said before."""
+    seen = life(spark, sf).withColumn("note", F.when(F.regexp_extract("original_filename", r"(\d+)", 1).cast("long") % 2 == 0, "seen"))
+    return lifecycle.expire(seen, as_of()).select("sha256", "expired", "note")
+
+
+@query("""select doc_id, case when doc_id % 4 < 2 then concat('text ', source) when doc_id % 4 = 2 then 'by path' end as cached from documents""")
+def repeated_cache_keys(spark, sf):
+    """SRC-04: each document once, however often the cache has its hash or path; blank texts are no hits."""
+    docs = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("sha256"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), "source")
+    entry = lambda test, sha, path, words: docs.where(test).select(sha.alias("sha256"), path.alias("path"), words.alias("text"))
+    no, text_ = F.lit(None).cast("string"), F.concat(F.lit("text "), "source")
+    cache = entry("doc_id % 4 < 2", F.col("sha256"), no, text_).unionByName(entry("doc_id % 4 < 3", F.col("sha256"), no, F.lit("  "))).unionByName(entry("doc_id % 4 = 0", F.col("sha256"), no, text_))
+    cache = cache.unionByName(entry("doc_id % 4 < 3", no, F.col("path"), F.lit("by path"))).unionByName(entry("doc_id % 4 = 2", no, F.col("path"), F.lit("by path too")))
+    return readers.with_cache(docs.select("doc_id", "sha256", "path"), cache).select("doc_id", "cached")

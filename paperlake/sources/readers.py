@@ -33,11 +33,13 @@ def first_of_each(paths: DataFrame) -> DataFrame:
 
 
 def with_cache(docs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Cached text by hash, else by path; a hit is text that is not blank."""
-    by_hash, by_path = cache.select("sha256", F.col("text").alias("t1")), cache.select("path", F.col("text").alias("t2"))
-    out = docs.join(by_hash, "sha256", "left").join(by_path, "path", "left")
-    hit = lambda c: F.when(F.trim(c) != "", c)
-    return out.withColumn("cached", F.coalesce(hit(F.col("t1")), hit(F.col("t2")))).drop("t1", "t2")
+    """Cached text by hash, else by path; a hit is text that is not blank, of several for one key the least."""
+
+    def held(key: str, name: str) -> DataFrame:
+        return cache.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.when(F.trim("text") != "", F.col("text"))).alias(name))
+
+    out = docs.join(held("sha256", "t1"), "sha256", "left").join(held("path", "t2"), "path", "left")
+    return out.withColumn("cached", F.coalesce("t1", "t2")).drop("t1", "t2")
 
 
 def keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -47,7 +49,10 @@ def keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Rows of JSON lines; blank lines and broken ones are skipped."""
+    lines = spark.read.text(path)
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r")
+    return lines.where(F.trim("value") != "").select(parsed).where("r is not null and r._broken is null").select("r.*").drop("_broken")
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
