@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running
+from .scan import first_rows, running
 
 TIERS = ("exact", "name", "text", "metadata")
 FIELDS = ("provider", "person", "doc_type")
@@ -104,6 +104,23 @@ def restricted(pairs: DataFrame, root: str) -> DataFrame:
         F.count("*").alias("anywhere"), F.min("path").alias("first_anywhere"), F.count_if(inside).alias("at_destination"), F.min(F.when(inside, F.col("path"))).alias("first_at_destination"))
 
 
+def restricted_matches(docs: DataFrame, index: DataFrame, root: str) -> DataFrame:
+    """The same for exact duplicates without making the pairs: the index is counted by its hashes, with the first two paths of each,
+    anywhere and below the destination, since one of them may be the document's own. A path stands once in the index."""
+    inside = F.col("path").startswith(root.rstrip("/") + "/")
+    held = index.where(F.col("sha256").isNotNull()).select(F.col("sha256").alias("_sha"), "path", inside.alias("inside"))
+    counts = held.groupBy("_sha").agg(F.count("*").alias("n"), F.count_if("inside").alias("n_in"))
+    two = first_rows(held.withColumn("where", F.lit("all")).unionByName(held.where("inside").withColumn("where", F.lit("in"))), ["_sha", "where"], [F.col("path").asc()], 2)
+    firsts = two.groupBy("_sha").agg(*[F.max(F.when((F.col("where") == w) & (F.col("k") == k), F.col("path"))).alias(f"{w}{k}") for w in ("all", "in") for k in (1, 2)])
+    groups = counts.join(firsts.hint("merge"), "_sha")
+    own = held.select("_sha", F.col("path").alias("_path"), F.col("inside").alias("own_in")).withColumn("own", F.lit(1))
+    d = docs.select("doc_id", F.col("path").alias("_path"), F.col("sha256").alias("_sha")).join(own.hint("merge"), ["_sha", "_path"], "left").join(groups.hint("merge"), "_sha")
+    other = lambda w: F.when(~F.col(f"{w}1").eqNullSafe(F.col("_path")), F.col(f"{w}1")).otherwise(F.col(f"{w}2"))
+    out = d.select("doc_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("anywhere"), other("all").alias("first_anywhere"),
+                   (F.col("n_in") - F.coalesce(F.col("own_in").cast("int"), F.lit(0))).alias("at_destination"), other("in").alias("first_at_destination"))
+    return out.where("anywhere > 0")
+
+
 def duplicate_groups(files: DataFrame, key: str = "sha256") -> DataFrame:
     """Groups of equal files with their first path and size: no pairs are made."""
     return files.groupBy(key).agg(F.count("*").alias("copies"), F.min("path").alias("first_path"), F.min("doc_id").alias("first_id")).where("copies > 1")

@@ -109,6 +109,20 @@ def listing(rows: DataFrame, *order: Column, most: int = 20, offset: int = 0) ->
     return rows.orderBy(*order).offset(offset).limit(most)
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], after: tuple | None = None, *, most: int = 20) -> DataFrame:
+    """The page that follows the row with the values `after` in the order's columns; the first page without it.
+
+    order: (column, descending), together unique and without nulls. What comes before is filtered out where it lies and each task
+    keeps a page at most, however deep the page is; nothing is sorted whole or skipped by counting."""
+    if after is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(order, after, strict=True):
+            later = later | (equal & ((F.col(name) < F.lit(value)) if descending else (F.col(name) > F.lit(value))))
+            equal = equal & (F.col(name) == F.lit(value))
+        rows = rows.where(later)
+    return rows.orderBy(*[F.desc(name) if descending else F.asc(name) for name, descending in order]).limit(most)
+
+
 def size_mb(n_bytes: Column) -> Column:
     return F.round(n_bytes / 1048576, 2)
 

@@ -143,9 +143,9 @@ def duplicate_matches(spark, sf):
 
 @query("with " + FILE_INDEX + """, h as (select d.doc_id, i.path from file_index d join file_index i on d.sha256 = i.sha256 and d.path <> i.path) select doc_id, count(*) as anywhere, min(path) as first_anywhere, count(*) filter (starts_with(path, 'src1/')) as at_destination, min(path) filter (starts_with(path, 'src1/')) as first_at_destination from h group by 1""")
 def duplicates_at_destination(spark, sf):
-    """SET-05."""
+    """SET-05, counted by hash; no pairs are made."""
     idx = file_index(spark, sf)
-    return dedup.restricted(dedup.exact(idx, idx), "src1/")
+    return dedup.restricted_matches(idx, idx, "src1/")
 
 
 @query("""select event_id, '{"type":"' || event_type || '"' || case when user_id % 2 = 0 then ',"user":"' || user_id || '"' else '' end || '}' as dimensions, '{"level":"INFO","message":"' || event_type || '"' || case when user_id % 2 = 0 then ',"user":' || user_id else '' end || '}' as line from events""")
@@ -405,3 +405,14 @@ def repeated_cache_keys(spark, sf):
     cache = entry("doc_id % 4 < 2", F.col("sha256"), no, text_).unionByName(entry("doc_id % 4 < 3", F.col("sha256"), no, F.lit("  "))).unionByName(entry("doc_id % 4 = 0", F.col("sha256"), no, text_))
     cache = cache.unionByName(entry("doc_id % 4 < 3", no, F.col("path"), F.lit("by path"))).unionByName(entry("doc_id % 4 = 2", no, F.col("path"), F.lit("by path too")))
     return readers.with_cache(docs.select("doc_id", "sha256", "path"), cache).select("doc_id", "cached")
+
+
+@query("select o_orderkey, o_custkey, cast(o_totalprice as double) as price from orders order by o_totalprice desc, o_orderkey limit 50 offset 100")
+def third_page(spark, sf):
+    """TOP-01, TOP-03: the third page of the dearest orders, each page after the last key of the one before."""
+    orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("price"))
+    order, after = [("price", True), ("o_orderkey", False)], None
+    for _ in range(2):
+        last = select.page_after(orders, order, after, most=50).collect()[-1]  # a page
+        after = (last["price"], last["o_orderkey"])
+    return select.page_after(orders, order, after, most=50)

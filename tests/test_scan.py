@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paperlake.operators import pages, scan, stats
+from paperlake.operators import dedup, pages, scan, select, stats
 
 
 def rows_of(seed, n=400):
@@ -72,3 +72,28 @@ def test_notification_lists(spark):
     of = lambda s: sorted((r["position"], r["document"], r["n"], r["more"]) for r in got if r["section"] == s)
     assert of("group") == [(1, 0, 9, 6), (2, 1, 9, 6), (9, 9, 9, 6)] and of("error") == [(1, 7, 1, 0)]
     assert of("ambiguous") == [(k + 1, k, 3, 0) for k in range(3)] and of("review") == [(1, 0, 5, 2), (2, 2, 5, 2), (5, 8, 5, 2)]
+
+
+def test_duplicates_are_counted_without_pairs(spark):
+    rng = random.Random(6)
+    index = [(k, f"{rng.choice(['to', 'x'])}/{k}", rng.choice(["hot", "hot", "b", f"own{k}", None])) for k in range(150)]
+    docs = index[:60] + [(900, "new/1", "hot"), (901, "to/5", "other"), (902, None, "b")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, path string, sha256 string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in dedup.restricted_matches(frame(docs), frame(index), "to/").collect()}
+    wanted = {}
+    for i, path, sha in docs:
+        found = sorted(p for _, p, s in index if s is not None and s == sha and p != path)
+        inside = [p for p in found if p.startswith("to/")]
+        if found:
+            wanted[i] = (len(found), found[0], len(inside), inside[0] if inside else None)
+    assert got == wanted
+
+
+def test_pages_by_key(spark):
+    rows = [(k % 7, k, f"v{k}") for k in range(100)]
+    df, order = spark.createDataFrame(rows, "a int, b int, v string").repartition(5), [("a", True), ("b", False)]
+    wanted, got, after = sorted(rows, key=lambda r: (-r[0], r[1])), [], None
+    while page := [tuple(r) for r in select.page_after(df, order, after, most=30).collect()]:
+        got, after = got + page, page[-1][:2]
+    assert got == wanted
+    assert "TakeOrderedAndProject" in select.page_after(df, order, (3, 10))._jdf.queryExecution().executedPlan().toString()
