@@ -21,6 +21,36 @@ def reduce_events(events: DataFrame) -> DataFrame:
     return out.withColumn("override_type", override_type(*[F.col(c) for c in ("proposed_name", "final_name", "proposed_doc_type", "final_doc_type", "last_kind")]))
 
 
+#: How the columns of a document's state are merged.
+MERGED = {"first_seen_at": F.min, "attempts": F.sum, "last_proposed": F.max, "last_decided": F.max, "approved_at": F.max, "last_event": F.max}
+
+
+def event_states(events: DataFrame) -> DataFrame:
+    """A mergeable state for each document of some events (sha, ts, seq, kind, name, doc_type): see merge_states."""
+    at = F.struct("ts", "seq", "kind", "name", "doc_type")
+    proposed, decided = F.col("kind") == "proposed", F.col("kind") == "approved"
+    return events.groupBy("sha").agg(
+        F.min("ts").alias("first_seen_at"), F.count_if(proposed).alias("attempts"), F.max(F.when(proposed, at)).alias("last_proposed"), F.max(F.when(decided, at)).alias("last_decided"),
+        F.max(F.when(decided, F.col("ts"))).alias("approved_at"), F.max(at).alias("last_event"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state for each document of states over disjoint parts of the events, in any order. What changes little is merged with
+    what came since, so that a day's statistics read a day's events and the stored states, not all events again."""
+    both = states[0]
+    for s in states[1:]:
+        both = both.unionByName(s)
+    return both.groupBy("sha").agg(*[merge(c).alias(c) for c, merge in MERGED.items()])
+
+
+def of_states(states: DataFrame) -> DataFrame:
+    """The rows of reduce_events from states."""
+    out = states.select(
+        "sha", "first_seen_at", "attempts", F.col("last_proposed.name").alias("proposed_name"), F.col("last_proposed.doc_type").alias("proposed_doc_type"),
+        F.col("last_decided.name").alias("final_name"), F.col("last_decided.doc_type").alias("final_doc_type"), "approved_at", F.col("last_event.kind").alias("last_kind"))
+    return out.withColumn("override_type", override_type(*[F.col(c) for c in ("proposed_name", "final_name", "proposed_doc_type", "final_doc_type", "last_kind")]))
+
+
 def override_type(name, final_name, doc_type, final_type, last):
     """retype if name and type differ, rename if the name does, redirect if the type alone does, else none or deny."""
     return (

@@ -143,3 +143,35 @@ def notification(results: DataFrame, *, review_below: float = 0.70, shown: int =
         few = ends(rows, "list", "document", shown=shown).select("list.section", "list.name", "n", F.col("k").alias("position"), "document", "note", "more")
         out = few if out is None else out.unionByName(few)
     return out
+
+
+#: Sums that the statistics of types are made of.
+SUMS = ("documents", "overridden", "approved", "attempts", "rated", "confidence")
+
+
+def tally(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """Mergeable sums for each proposed type of lifecycle rows; with sign -1 what these rows had added before they changed.
+
+    Confidences are summed in ten-thousandths, whole numbers, so that sums do not depend on the order in which they are merged."""
+    one, changed, approved = F.lit(sign), F.col("override_type") != "none", F.col("approved_at").isNotNull()
+    part = lambda test, value: F.sum(F.when(test, value * one).otherwise(0)).cast("long")
+    every = F.lit(True)
+    return rows.groupBy(F.col("proposed_doc_type").alias("doc_type")).agg(
+        part(every, F.lit(1)).alias("documents"), part(changed, F.lit(1)).alias("overridden"), part(approved, F.lit(1)).alias("approved"),
+        part(approved, F.coalesce("approval_attempts", F.lit(0))).alias("attempts"), part(F.col("classification_confidence").isNotNull(), F.lit(1)).alias("rated"),
+        part(F.col("classification_confidence").isNotNull(), F.round(F.col("classification_confidence") * 10_000)).alias("confidence"))
+
+
+def merge_tallies(*parts: DataFrame) -> DataFrame:
+    """The sums of disjoint rows, or of what was, less what has changed, and what it is now. Types that are left empty go."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("doc_type").agg(*[F.sum(c).alias(c) for c in SUMS]).where("documents <> 0")
+
+
+def of_tallies(sums: DataFrame) -> DataFrame:
+    """Accuracy, mean attempts of approved documents and mean confidence of each type."""
+    return sums.select(
+        "doc_type", "documents", F.round(1 - F.col("overridden") / F.col("documents"), 2).alias("accuracy"),
+        F.round(F.col("attempts") / F.nullif("approved", F.lit(0)), 2).alias("mean_attempts"), F.round(F.col("confidence") / 10_000 / F.nullif("rated", F.lit(0)), 4).alias("mean_confidence"))

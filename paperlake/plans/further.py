@@ -10,6 +10,7 @@ from ..functions import dates, fields, json
 from ..operators import classification, dedup, learning, lifecycle, pages, rules, scan, select, stats
 from ..sources import buckets, readers, writers
 from ..sources.shared import shared_folder
+from ..streaming import inbox
 from .catalog import CLASSIFIED, as_of, classified, query
 from .views import FILE_INDEX, LIFECYCLE, SCAN_DOCS, file_index, scan_docs, t
 from .views import lifecycle as life
@@ -416,3 +417,26 @@ def third_page(spark, sf):
         last = select.page_after(orders, order, after, most=50).collect()[-1]  # a page
         after = (last["price"], last["o_orderkey"])
     return select.page_after(orders, order, after, most=50)
+
+
+@query("with " + LIFECYCLE + """ select proposed_doc_type as doc_type, count(*) as documents, round(1 - count(*) filter (override_type <> 'none') / count(*), 2) as accuracy,
+ round(sum(approval_attempts) filter (approved_at is not null) / count(approved_at), 2) as mean_attempts, round(sum(cast(round(classification_confidence * 10000) as bigint)) / 10000 / count(classification_confidence), 4) as mean_confidence from lifecycle group by 1""")
+def merged_statistics(spark, sf):
+    """AGG-03 to AGG-08 from sums of three parts, of which one was first counted with other values and then changed."""
+    rows = life(spark, sf).withColumn("part", F.crc32("sha256") % 3)
+    was = rows.where("part = 2").withColumns({"proposed_doc_type": F.lit("5-LOW"), "override_type": F.lit("deny")})
+    stored = stats.merge_tallies(stats.tally(rows.where("part = 0")), stats.tally(rows.where("part = 1")), stats.tally(was))
+    return stats.of_tallies(stats.merge_tallies(stored, stats.tally(was, -1), stats.tally(rows.where("part = 2"))))
+
+
+@query("""with q as (select cast(event_id as varchar) as file, case event_id % 4 when 0 then 'queued' when 1 then 'done' else 'working' end as status, ts as since, cast(event_id % 3 + 1 as int) as attempts, ts < (select max(ts) from events) - interval 30 minute as old from events where event_id % 5 <> 0)
+ select file, case when status = 'working' and old then case when attempts >= 3 then 'dead' else 'queued' end else status end as status, case when status = 'working' and old and attempts < 3 then attempts + 1 else attempts end as attempts,
+ case when status = 'working' and old and attempts >= 3 then 'given up after 3 attempts' end as note from q union all select cast(event_id as varchar), 'queued', 1, null from events where event_id % 5 = 0""")
+def retry_queue(spark, sf):
+    """STR-06: stuck files go back to the queue or are given up; late files join it."""
+    events = t(spark, sf, "events").withColumn("file", F.col("event_id").cast("string"))
+    kind = F.when(F.col("event_id") % 4 == 0, "queued").when(F.col("event_id") % 4 == 1, "done").otherwise("working")
+    queue = events.where("event_id % 5 <> 0").select("file", kind.alias("status"), F.col("ts").alias("since"), (F.col("event_id") % 3 + 1).cast("int").alias("attempts"), F.lit(None).cast("string").alias("note"))
+    newest = events.agg(F.max("ts")).first()[0]
+    arrivals = events.select("file", "ts")  # files that the queue knows come again too
+    return inbox.merged_arrivals(inbox.requeued(queue, F.lit(newest)), arrivals).select("file", "status", "attempts", "note")

@@ -36,6 +36,24 @@ def stuck(staged: DataFrame, as_of, *, minutes: int = 30) -> DataFrame:
     return staged.where(F.col("ts") < as_of - F.expr(f"interval {minutes} minutes"))
 
 
+def requeued(queue: DataFrame, as_of, *, minutes: int = 30, most: int = 3) -> DataFrame:
+    """The queue (file, status, since, attempts, note) after files that were left behind go back: one that has been at work for more
+    than `minutes` at as_of is queued again and has one attempt more, after `most` attempts it is dead and says why. Files that wait,
+    are done or dead stay as they are; a file that comes late is queued like any other (see merged_arrivals)."""
+    left = (F.col("status") == "working") & (F.col("since") < as_of - F.expr(f"interval {minutes} minutes"))
+    last = left & (F.col("attempts") >= most)
+    return queue.withColumns({
+        "status": F.when(last, "dead").when(left, "queued").otherwise(F.col("status")), "since": F.when(left, as_of).otherwise(F.col("since")),
+        "attempts": F.col("attempts") + F.when(left & ~last, 1).otherwise(0), "note": F.when(last, F.format_string("given up after %d attempts", "attempts")).otherwise(F.col("note"))})
+
+
+def merged_arrivals(queue: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The queue with new files (file, ts) of a batch, late or not, each once and queued for its first attempt; files that the queue
+    knows already keep their state."""
+    new = arrivals.groupBy("file").agg(F.min("ts").alias("since")).join(queue.select("file").hint("merge"), "file", "left_anti")
+    return queue.unionByName(new.select("file", F.lit("queued").alias("status"), "since", F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("note")))
+
+
 def delivery(log: DataFrame, *, most: int = 3) -> DataFrame:
     """Attempts per message (key, ok) and how it ended."""
     out = log.groupBy("key").agg(F.count("*").alias("attempts"), F.max(F.col("ok").cast("int")).alias("ok"))
