@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def reduce_events(events: DataFrame) -> DataFrame:
     """One row per document from its events (sha, ts, seq, kind, name, doc_type): latest proposal and final values,
@@ -73,9 +75,9 @@ def expire(lifecycle: DataFrame, as_of, *, hours: int = 24) -> DataFrame:
 
 
 def attempts(proposals: DataFrame) -> DataFrame:
-    """Attempt numbers per document in time; all but the last are denied by the next proposal."""
-    w = Window.partitionBy("sha").orderBy("ts", "seq")
-    return proposals.withColumn("attempt", F.row_number().over(w)).withColumn("status", F.when(F.lead("ts").over(w).isNotNull(), "denied").otherwise("pending"))
+    """Attempt numbers per document in time; all but the last are denied by the next proposal. One document may have most rows."""
+    out = running(proposals, "sha", ["ts", "seq"], {"attempt": ("count", None), "_n": ("total", None)})
+    return out.withColumn("status", F.when(F.col("attempt") < F.col("_n"), "denied").otherwise("pending")).drop("_n")
 
 
 def history(lifecycle: DataFrame, proposals: DataFrame) -> DataFrame:
