@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import first_rows, running
@@ -30,6 +30,12 @@ def _hits(docs, index, on, tier, score):
     return d.join(i, on).where("d.path <> i.path").select(F.col("d.doc_id").alias("doc_id"), F.col("i.path").alias("path"), F.lit(tier).alias("tier"), score.cast("double").alias("score"))
 
 
+def comparable(files: DataFrame) -> DataFrame:
+    """doc_id, path and what is compared, blanks and case aside; a column that files lack is empty."""
+    field = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) if c in files.columns else F.lit("")
+    return files.select("doc_id", "path", *[field(c).alias(c) for c in COMPARED])
+
+
 def metadata_overlap(docs: DataFrame, index: DataFrame, *, least: float = 0.95) -> DataFrame:
     """Equal or containing metadata over COMPARED, blanks and case aside; a column that a side lacks is empty there.
 
@@ -39,7 +45,7 @@ def metadata_overlap(docs: DataFrame, index: DataFrame, *, least: float = 0.95)
     """
     if least <= 0.5:
         raise ValueError("least must be over 0.5")
-    docs, index = (f.select("doc_id", "path", *[(F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) if c in f.columns else F.lit("")).alias(c) for c in COMPARED]) for f in (docs, index))
+    docs, index = comparable(docs), comparable(index)
     total, same = F.lit(0.0), F.lit(0.0)
     for f in COMPARED:
         a, b = F.col(f"d.{f}"), F.col(f"i.{f}")
@@ -75,6 +81,51 @@ def metadata_overlap(docs: DataFrame, index: DataFrame, *, least: float = 0.95)
     return parts
 
 
+def metadata_matches(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """For each document how many indexed paths metadata_overlap finds at 0.95 and the first of them, without pairs.
+
+    One of five fields that differs, or is only part of the other, leaves 0.9 at most; so at 0.95 all fields that both sides have
+    are equal, and which rows are candidates depends on which fields they have. Distinct metadata of the index are counted under
+    each selection of their fields (31 at most); distinct metadata of the documents ask once for every set of fields that indexed
+    rows may have. They meet on equal keys, each once on the index's side: a person with a million documents costs a million rows.
+
+    A document's own path does not count; without a path it has none of its own there. Indexed rows without a path are left out. A
+    path stands once in the index. Documents without a match give no row, equal documents a row each."""
+    bits = {f: 1 << k for k, f in enumerate(COMPARED)}
+    every, asked = range(1, 1 << len(COMPARED)), sum(bits[f] for f in FIELDS)
+    have = lambda value=F.col: sum((F.when(value(f) != "", b).otherwise(0) for f, b in bits.items()), F.lit(0))
+    chosen = lambda mask: [F.when(mask.bitwiseAND(b) != 0, F.col(f)).otherwise("").alias(f"_{f}") for f, b in bits.items()]
+    key = ["_has", *[f"_{f}" for f in COMPARED]]
+
+    def candidate(mine: Column, theirs: Column) -> Column:
+        needed = mine.bitwiseAND(asked)
+        return (mine.bitwiseAND(theirs) != 0) & ((needed.bitwiseAND(theirs) == needed) | (theirs.bitwiseAND(bits["provider"]) == 0))
+
+    docs, index = comparable(docs), comparable(index).where("path is not null")
+    # the index by its distinct metadata, then by each selection of their fields; the first two paths, as one may be the document's own
+    sets = lambda mask, test: F.explode(F.filter(F.array(*map(F.lit, every)), lambda s: test(mask, s)))
+    part_of = lambda mask, s: s.bitwiseAND(mask) == s
+    counts = index.groupBy(*COMPARED).agg(F.count("*").alias("n")).withColumn("_has", have()).withColumn("_set", sets(F.col("_has"), part_of))
+    counts = counts.select("_has", *chosen(F.col("_set")), "n").groupBy(*key).agg(F.sum("n").alias("n"))
+    firsts = first_rows(index, list(COMPARED), [F.col("path").asc()], 2).withColumn("_has", have()).withColumn("_set", sets(F.col("_has"), part_of))
+    firsts = first_rows(firsts.select("_has", *chosen(F.col("_set")), "path"), key, [F.col("path").asc()], 2)
+    firsts = firsts.groupBy(*key).agg(F.sort_array(F.collect_list("path")).alias("paths"))  # two at most
+    held = counts.hint("merge").join(firsts.hint("merge"), key)
+
+    ask = docs.select(*COMPARED).distinct().withColumn("_mine", have()).withColumn("_has", sets(F.col("_mine"), candidate))
+    ask = ask.select(*COMPARED, "_has", *chosen(F.col("_mine").bitwiseAND(F.col("_has"))))
+    found = ask.hint("merge").join(held, key).groupBy(*COMPARED).agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("paths"))).alias("paths"))  # 31 sets of two at most
+    own = index.select("path", F.struct(*COMPARED).alias("own"))
+    out = docs.join(own.hint("merge"), "path", "left").join(found.hint("merge"), list(COMPARED))
+    theirs = lambda f: F.col(f"own.{f}")
+    same = F.lit(True)
+    for f in COMPARED:
+        same = same & ((F.col(f) == "") | (theirs(f) == "") | (F.col(f) == theirs(f)))
+    mine = F.coalesce(candidate(have(), have(theirs)) & same & F.col("own").isNotNull(), F.lit(False))
+    out = out.select("doc_id", (F.col("n") - mine.cast("int")).alias("n"), F.when(mine & (F.get("paths", F.lit(0)) == F.col("path")), F.get("paths", F.lit(1))).otherwise(F.get("paths", F.lit(0))).alias("first_path"))
+    return out.where("n > 0")
+
+
 def tiered(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Each indexed path once per document, at its earliest tier. Aggregation, so that hot hashes combine map-side."""
     hits = exact(docs, index).unionByName(name_conflict(docs, index)).unionByName(same_text(docs, index))
