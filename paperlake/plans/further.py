@@ -12,7 +12,7 @@ from ..sources import buckets, readers, writers
 from ..sources.shared import shared_folder
 from ..streaming import inbox
 from .catalog import CLASSIFIED, as_of, classified, query
-from .views import FILE_INDEX, LIFECYCLE, SCAN_DOCS, file_index, scan_docs, t
+from .views import FILE_INDEX, LIFECYCLE, RULES, SCAN_DOCS, file_index, scan_docs, t
 from .views import lifecycle as life
 
 KINDS = ("DischargeSummary", "LabReport", "MRI", "Rx", "Vision", "Dental", "Referral", "Letter")
@@ -336,6 +336,32 @@ def corrected_confidence(spark, sf):
     return rules.with_corrections(classified(spark, sf), held).select("doc_id", "doc_type", "confidence", "corrected")
 
 
+@query(CLASSIFIED + """, c(id, kw, corrected, who, spot) as (values (1, ['patient', 'prescription', 'label', 'total'], 'prescription', 'Dee', 'Unknown'), (2, ['account', 'statement', 'credit', 'limit'], 'BILL', 'Unknown', 'Bank'), (3, ['lab', 'requisition', 'fasting'], 'no such type', 'Eve', null)),
+ w as (select *, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x not in ('date', 'page', 'name', 'number'))) as words from scored),
+ j as (select doc_id, id, corrected, who, spot, len(list_intersect(words, kw)) as overlap, len(kw) as n from w join c on true), b as (select *, row_number() over (partition by doc_id order by overlap desc, id desc) as k from j where overlap >= 3)
+ select s.doc_id, case lower(b.corrected) when 'prescription' then 'prescription' when 'bill' then 'bill' else doc_type end as doc_type, coalesce(nullif(b.who, 'Unknown'), person) as person, coalesce(nullif(b.spot, 'Unknown'), provider) as provider,
+ case when lower(b.corrected) = 'prescription' and coalesce(doc_type, '') <> 'prescription' then 'Rx' when lower(b.corrected) = 'bill' and coalesce(doc_type, '') <> 'bill' then 'Bill' else label end as label,
+ round(least(1.0, confidence + case when b.id is null then 0.0 else least(0.10, 0.05 + 0.05 * overlap / n) end), 4) as confidence, b.id is not null as corrected from scored s left join b on s.doc_id = b.doc_id and b.k = 1""")
+def corrected_documents(spark, sf):
+    """RUL-22: type with its label, person and provider of the best learned correction; what is unknown corrects nothing."""
+    held = spark.createDataFrame(
+        [(1, None, ["patient", "prescription", "label", "total"], "prescription", "Dee", "Unknown", "1998-01-01"), (2, None, ["account", "statement", "credit", "limit"], "BILL", "Unknown", "Bank", "1998-01-02"),
+         (3, None, ["lab", "requisition", "fasting"], "no such type", "Eve", None, "1998-01-03")],
+        "id long, org_id string, keywords array<string>, corrected_doc_type string, corrected_person string, corrected_provider string, correction_date string")
+    return rules.with_corrections(classified(spark, sf), held, RULES).select("doc_id", "doc_type", "person", "provider", "label", "confidence", "corrected")
+
+
+@query("with " + FILE_INDEX + """, x as (select doc_id, path, case when doc_id % 13 = 0 then '' else doc_type end as doc_type, case when doc_id % 4 = 3 then '' else 'day ' || cast(doc_id % 4 as varchar) end as date, person, case when doc_id % 11 = 0 then '' else provider end as p from file_index)
+ select d.doc_id, count(*) as n, min(i.path) as first_path from x d join x i on d.path <> i.path and (d.date = '' or i.date = '' or d.date = i.date) and d.person = i.person and (d.doc_type = '' or d.doc_type = i.doc_type or (i.doc_type = '' and i.p = '')) and (d.p = '' or i.p = '' or d.p = i.p)
+ where d.person <> '' or d.p <> '' group by 1""")
+def metadata_matches(spark, sf):
+    """JN-04, JN-05 for every document against the whole index, with blanks in each field, counted without pairs."""
+    k = F.col("doc_id")
+    idx = file_index(spark, sf).withColumns({
+        "doc_type": F.when(k % 13 == 0, "").otherwise(F.col("doc_type")), "date": F.when(k % 4 == 3, "").otherwise(F.concat(F.lit("day "), (k % 4).cast("string"))), "provider": F.when(k % 11 == 0, "").otherwise(F.col("provider"))})
+    return dedup.metadata_matches(idx, idx)
+
+
 # ---- running values, notification, bucketed tables ------------------------------------------------------------------
 
 
