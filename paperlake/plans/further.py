@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import dates, fields, json
-from ..operators import classification, dedup, learning, lifecycle, pages, rules, scan, select, stats
+from ..operators import classification, dedup, indexing, learning, lifecycle, pages, rules, scan, select, stats
 from ..sources import buckets, readers, writers
 from ..sources.shared import shared_folder
 from ..streaming import inbox
@@ -466,3 +466,63 @@ def retry_queue(spark, sf):
     newest = events.agg(F.max("ts")).first()[0]
     arrivals = events.select("file", "ts")  # files that the queue knows come again too
     return inbox.merged_arrivals(inbox.requeued(queue, F.lit(newest)), arrivals).select("file", "status", "attempts", "note")
+
+
+# ---- index upkeep ---------------------------------------------------------------------------------------------------
+
+LINES = """with n as (select l_returnflag || '/' || l_linestatus || '/' || cast(l_suppkey % 10 as varchar) as dir, cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as file, l_suppkey % 10 as s, l_returnflag as r from lineitem group by all),
+ f as (select *, not (r = 'R' and s = 7) as now, not (r = 'N' and s = 5) as was, s = 3 and r = 'A' as moved from n)"""
+
+
+def line_files(spark, sf):
+    """(listing, index): lines as files of folders, of which some are new, gone or changed."""
+    k, r = F.col("l_suppkey") % 10, F.col("l_returnflag")
+    path = F.concat_ws("/", r, "l_linestatus", k.cast("string"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    f = t(spark, sf, "lineitem").groupBy(path.alias("path"), k.alias("s"), r.alias("r")).agg(F.min("l_shipdate").alias("mtime"), F.max("l_quantity").cast("long").alias("size"))
+    moved = F.when((F.col("s") == 3) & (F.col("r") == "A"), F.col("mtime") - F.expr("interval 1 day")).otherwise(F.col("mtime"))
+    listing = f.where("not (r = 'R' and s = 7)").select("path", "mtime", "size")
+    return listing, f.where("not (r = 'N' and s = 5)").select("path", moved.alias("mtime"), "size")
+
+
+@query(LINES + """, a as (select unnest(['', split_part(dir, '/', 1), split_part(dir, '/', 1) || '/' || split_part(dir, '/', 2), dir]) as folder, now, was, moved from f)
+ select folder, case when count(*) filter (was) = 0 then 'new' when count(*) filter (now) = 0 then 'gone' when count(*) filter (now <> was or moved) > 0 then 'changed' else 'same' end as state, count(*) filter (now) as n, count(*) filter (was) as n_before from a group by 1""")
+def folder_states(spark, sf):
+    """JN-13: which folders, at every level, have changed, by their digests."""
+    return indexing.folder_states(*map(indexing.folder_digests, line_files(spark, sf)))
+
+
+@query(LINES + """, c as (select dir from f group by 1 having count(*) filter (now <> was or moved) > 0)
+ select dir || '/' || file as path, case when not was then 'new' when not now then 'gone' when moved then 'changed' else 'unchanged' end as state from f join c using (dir)""")
+def folder_delta(spark, sf):
+    """JN-13: files of folders that have changed; the others are skipped."""
+    return indexing.folder_delta(*line_files(spark, sf))
+
+
+INDEX_BUILD = "with " + FILE_INDEX + """, r as (select *, doc_id % 5 <> 0 as listed, doc_id % 7 <> 0 as known, doc_id % 4 = 1 as touched, doc_id % 11 <> 0 as readable, doc_id % 3 = 0 as sided from file_index),
+ b as (select *, case when known and not touched then 'unchanged' when not readable then 'error' when known then 'changed' else 'new' end as state from r where listed)"""
+
+
+def index_parts(spark, sf):
+    """(listing, index, hashes, sidecars) of documents as files."""
+    k, day = F.col("doc_id"), F.lit("2024-01-02").cast("timestamp")
+    f = file_index(spark, sf).withColumn("mtime", day)
+    old = f.where("doc_id % 7 <> 0").select(
+        "path", F.concat(F.lit("old "), "sha256").alias("sha256"), "size", F.when(k % 4 == 1, day - F.expr("interval 1 hour")).otherwise(day).alias("mtime"), F.lit("{}").alias("meta"), F.lit("old").alias("ocr_hash"),
+        F.lit(True).alias("has_meta"), F.lit(False).alias("has_ocr"), F.lit("old provider").alias("provider"), F.lit("").alias("person"), F.lit("").alias("doc_type"))
+    meta = F.to_json(F.struct(F.concat(F.lit(" "), F.upper("provider")).alias("provider"), F.col("person").alias("patient"), "doc_type"))
+    side = f.where("doc_id % 3 = 0").select("path", meta.alias("meta"), F.lit(None).cast("string").alias("ocr"), F.lit(True).alias("has_meta"), F.lit(False).alias("has_ocr"))
+    return f.where("doc_id % 5 <> 0").select("path", "size", "mtime"), old, f.where("doc_id % 11 <> 0").select("path", "sha256"), side
+
+
+@query(INDEX_BUILD + """ select path, state, case when state in ('unchanged', 'error') then 'old ' || sha256 else sha256 end as sha256, case when state <> 'error' and sided then lower(provider) when state in ('unchanged', 'error') then 'old provider' end as provider,
+ state in ('unchanged', 'error') or sided as has_meta, state <> 'error' and sided as sidecar_found from b where state <> 'error' or known""")
+def refreshed_index(spark, sf):
+    """JN-13: new and changed files are hashed, unchanged ones keep their hash, sidecars are taken anew; unreadable files keep their row."""
+    return indexing.refreshed(*index_parts(spark, sf)).select("path", "state", "sha256", "provider", "has_meta", "sidecar_found")
+
+
+@query(INDEX_BUILD + " select count(*) filter (state in ('new', 'changed')) as indexed, count(*) filter (state = 'unchanged') as skipped, count(*) filter (state = 'error') as errors, count(*) filter (state <> 'error' and sided) as sidecars_found from b")
+def index_statistics(spark, sf):
+    """JN-13: what a run over the listing has done."""
+    parts = index_parts(spark, sf)
+    return indexing.build_statistics(indexing.refreshed(*parts), parts[0])
