@@ -11,7 +11,9 @@ pairs), and the components of those edges are verified exactly on the whole text
 document only the number of links and one edge leave a tile.
 
 Defined results: texts without a word (null, empty) link to nothing; texts of under five words have one shingle, the whole;
-rows without a doc_id are left out of the join (no class, no links); repeated rows count as copies of each other.
+rows without a doc_id are left out of the join (no class, no links); repeated rows count as copies of each other. Ids may be of
+any type that has an order; of equal documents, and of a class, the least id stands for all. Long texts are shingled whole, in
+slices; an empty table gives no rows; columns other than doc_id and text are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -89,8 +91,9 @@ def fingerprints(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1, dtype=np.int32) * T), flat)],
                 ["doc_id", "text_hash", "size", "set_id", "sign"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(prints, "doc_id long, text_hash long, size int, set_id long, sign array<int>")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    type_ = docs.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(prints, f"doc_id {type_}, text_hash long, size int, set_id long, sign array<int>")
 
 
 def buckets(nodes: DataFrame, *, threshold: float, recall: float, limit: int) -> DataFrame:
@@ -250,7 +253,7 @@ def join_classes(docs: DataFrame, *, words: int = WORDS, threshold: float = THRE
     members = store(groups_.join(sizes, "component").join(nodes.drop("sign"), groups_["node"] == nodes["set_id"]).select("set_id", "component", "n", "copies", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "members")
     texts = docs.select("doc_id", "text")
     # sort-merge at every size: members grow with the corpus
-    texts = texts.join(members.hint("merge"), (texts["doc_id"].cast("long") == members["_id"]) & (F.xxhash64(texts["text"]) == members["_hash"]))
+    texts = texts.join(members.hint("merge"), (texts["doc_id"] == members["_id"]) & (F.xxhash64(texts["text"]) == members["_hash"]))
     found = store(verified(tiles(texts.select("set_id", "component", "n", "copies", "text"), "component", "n", limit), threshold=threshold, words=words), "links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b")))
@@ -273,7 +276,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     best = found.where("doc_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
     best = store(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")), "kept")
     hash_ = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
-    kept = docs.join(best, (docs["doc_id"].cast("long") == best["_id"]) & (hash_ == F.coalesce(best["_hash"], F.lit(0))), "left_semi")
+    kept = docs.join(best, (docs["doc_id"] == best["_id"]) & (hash_ == F.coalesce(best["_hash"], F.lit(0))), "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows: one of them
         name = free_name(docs, "_hash")
         kept = kept.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)

@@ -21,8 +21,9 @@ Text leaves its document only where a phrase is unique but its trigger context i
 of strings of several parts is judged by 64-bit polynomial hashes, mixed; within a part bytes are compared.
 
 Defined results: null and empty texts have no bytes; texts under 200 bytes keep all; exact copies of a text of 200 bytes or
-more lose all of it, each copy; repeated rows are copies; a null id is an id; empty tables give no rows; other columns are
-not read.
+more lose all of it, each copy; repeated rows are copies; a null id is an id, and ids may be of any type that has an order;
+long texts are parsed whole, in slices; of equal phrases the one with the least id, text and place is cut out, which one does not
+show in the result; empty tables give no rows; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -101,6 +102,10 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, lo - offsets[text], p - lo, hi - lo + 1, context.view(np.int64), phrase.view(np.int64)
 
 
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def phrases(docs: DataFrame) -> DataFrame:
     """The parse: one row for each phrase of each row of docs (doc_id, text_id, text)."""
 
@@ -114,7 +119,7 @@ def phrases(docs: DataFrame) -> DataFrame:
                     [pa.array(context), pa.array(phrase), own.column("doc_id").take(at), own.column("text_id").take(at), pa.array(lo.astype(np.int32)), pa.array(off.astype(np.int16)), pa.array(span.astype(np.int16))],
                     ["context", "phrase", "doc_id", "text_id", "lo", "off", "span"])
 
-    return docs.mapInArrow(rows, "context long, phrase long, doc_id long, text_id long, lo int, off short, span short")
+    return docs.mapInArrow(rows, f"context long, phrase long, doc_id {id_type(docs)}, text_id long, lo int, off short, span short")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -237,7 +242,7 @@ def repeated_spans(docs: DataFrame, *, part: int = PART) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that remain)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("text_id"), "text")
     spans = store(repeated_spans(texts, **options), "spans")
     joined = texts.join(spans.withColumnRenamed("text_id", "_id").hint("merge"), F.col("text_id") == F.col("_id"), "left").select("doc_id", "text", "spans.start", "spans.end")
@@ -263,7 +268,7 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(v, t) for v, t in zip(out, types, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(cut, f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op10_repeated_bytes(spark, sf_dir: str) -> DataFrame:
