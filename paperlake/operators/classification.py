@@ -49,6 +49,9 @@ RUN_DESTINATIONS = {
     "": ("fmla", "workexcuse", "disability", "insurance", "referral"),
 }
 
+#: Tasks for each core.
+SPREAD = 4
+
 
 def either(column: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [column.contains(w) for w in words])
@@ -261,6 +264,8 @@ def with_suffixes(out: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, rules: Rules, *, default_person: str = "Shared") -> DataFrame:
     """docs (doc_id, path, text, mtime) with doc_type, org, orgs, person, label, shown_type, doc_date, amount, provider,
     destination, proposed_name, ambiguous, question, rule_confidence, rule_match_id and confidence."""
+    tasks = SPREAD * docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.repartition(tasks, "doc_id")  # a few files would be a few tasks: rules take far longer than the shuffle
     out = with_suffixes(with_name(with_label(with_business(with_type(docs, rules, default_person), rules), rules), rules))
     return with_confidence(out).withColumn("doc_date", F.coalesce(F.when(F.col("doc_type").isNull(), F.col("folder.date")), F.col("date")))
 

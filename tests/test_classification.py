@@ -102,3 +102,9 @@ def test_corrections_and_moves(spark):
 def test_quality_of_odd_texts(spark):
     got = values(spark, text.quality, None, "", "short", "|||||||| ||||||||\n--------", "The patient has an invoice and the total amount due.\n" * 3)
     assert got[:3] == [0.0, 0.0, 0.0] and got[3] == 0.1 and got[4] > 0.9
+
+
+def test_work_on_a_few_files_is_dealt_to_all_tasks(spark):
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.lit("/x/y.pdf").alias("path"), F.lit("Invoice of Acme").alias("text"), F.lit(dt.datetime(2020, 1, 2)).alias("mtime"))
+    out = classification.classify(docs, rules.rules_of(DOCUMENT))
+    assert out.groupBy(F.spark_partition_id()).count().count() > 4 and out.where("doc_type = 'bill'").count() == 40
