@@ -177,27 +177,41 @@ def with_corrections(results: DataFrame, corrections: DataFrame, rules: Rules |
     With rules, a type counts only if it is one of theirs, in any case, and brings its default label; without, every type counts.
     Null and Unknown correct nothing. Proposed names and destinations stay as they were found."""
     says = {c: f"corrected_{c}" for c in ("doc_type", "person", "provider") if f"corrected_{c}" in corrections.columns and c in results.columns}
-    best = apply_corrections(results, corrections, **options).select(F.col("doc_id").alias("_id"), *[F.nullif(v, F.lit("Unknown")).alias(f"_{c}") for c, v in says.items()], "boost")
+    out = best_correction(results, corrections, **options).withColumn("_boost", boost())
+    out = out.withColumns({f"_{c}": F.nullif(F.col(f"_best.{v}"), F.lit("Unknown")) for c, v in says.items()})
     if rules is not None and "doc_type" in says:
-        best = best.withColumn("_doc_type", F.when(F.lower("_doc_type").isin(*[r.id for r in rules.types]), F.lower("_doc_type")))
-    out = results.join(best, F.col("doc_id") == F.col("_id"), "left")
+        out = out.withColumn("_doc_type", F.when(F.lower("_doc_type").isin(*[r.id for r in rules.types]), F.lower("_doc_type")))
     changed = {c: F.coalesce(f"_{c}", c) for c in says}
-    changed["confidence"] = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.coalesce("boost", F.lit(0.0)))), 4)
+    changed["confidence"] = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.coalesce("_boost", F.lit(0.0)))), 4)
     if rules is not None and "doc_type" in says and "label" in results.columns:
         names = {r.id: r.labels.get("default", r.id) for r in rules.types}
         label = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("_doc_type")) if names else F.lit(None).cast("string")
         changed["label"] = F.when(F.col("_doc_type").isNotNull() & ~F.col("_doc_type").eqNullSafe(F.col("doc_type")), label).otherwise(F.col("label"))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in results.columns], F.col("boost").isNotNull().alias("corrected"))
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in results.columns], F.col("_boost").isNotNull().alias("corrected"))
 
 
-def apply_corrections(results: DataFrame, corrections: DataFrame, *, newest: int = 100, overlap: int = 3) -> DataFrame:
+def best_correction(results: DataFrame, corrections: DataFrame, *, newest: int = 100, overlap: int = 3) -> DataFrame:
+    """results with _best, what apply_corrections finds for each, or null. The newest corrections are one row of `newest` at most,
+    which every task has beside its documents: no shuffle, and no second run of what results are made of."""
+    says = [c for c in ("corrected_doc_type", "corrected_person", "corrected_provider") if c in corrections.columns]
+    held = corrections.orderBy(F.desc("correction_date"), F.desc("id")).limit(newest).select("id", "org_id", "keywords", *says, "correction_date")
+    held = held.agg(F.collect_list(F.struct(*held.columns)).alias("_held"))
+    out = results.withColumn("_words", text.keywords(F.col("text"))).crossJoin(F.broadcast(held))
+    fits = lambda h: h["org_id"].isNull() | F.col("org").isNull() | (h["org_id"] == F.col("org"))
+    shared = F.transform(F.filter("_held", fits), lambda h: F.struct(
+        F.size(F.array_intersect("_words", h["keywords"])).alias("overlap"), h["correction_date"].alias("correction_date"), h["id"].alias("id"), *[h[c].alias(c) for c in says], F.size(h["keywords"]).alias("n")))
+    best = F.array_max(F.filter(shared, lambda x: x["overlap"] >= overlap))
+    return out.withColumn("_best", best).drop("_words", "_held")
+
+
+def boost() -> Column:
+    """The boost of the confidence by _best, null without."""
+    return F.when(F.col("_best").isNotNull(), F.least(F.lit(0.10), 0.05 + 0.05 * F.col("_best.overlap") / F.col("_best.n")))
+
+
+def apply_corrections(results: DataFrame, corrections: DataFrame, **options) -> DataFrame:
     """Each document's best learned correction: newest `newest` ones, same organisation or none on either side, largest keyword
     overlap, of equal ones the newest."""
     says = [c for c in ("corrected_doc_type", "corrected_person", "corrected_provider") if c in corrections.columns]
-    held = corrections.orderBy(F.desc("correction_date"), F.desc("id")).limit(newest).select("id", "org_id", "keywords", *says, "correction_date")
-    words = text.keywords(F.col("text"))
-    # at most `newest` rows
-    joined = results.withColumn("words", words).join(F.broadcast(held), F.col("org_id").isNull() | F.col("org").isNull() | (F.col("org_id") == F.col("org")))
-    joined = joined.withColumn("overlap", F.size(F.array_intersect("words", "keywords"))).where(F.col("overlap") >= overlap)
-    best = joined.groupBy("doc_id").agg(F.max(F.struct("overlap", "correction_date", "id", *says, F.size("keywords").alias("n"))).alias("b"))
-    return best.select("doc_id", F.col("b.id").alias("correction_id"), *[F.col(f"b.{c}").alias(c) for c in says], F.least(F.lit(0.10), 0.05 + 0.05 * F.col("b.overlap") / F.col("b.n")).alias("boost"))
+    best = best_correction(results, corrections, **options).where(F.col("_best").isNotNull())
+    return best.select("doc_id", F.col("_best.id").alias("correction_id"), *[F.col(f"_best.{c}").alias(c) for c in says], boost().alias("boost"))

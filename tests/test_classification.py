@@ -108,3 +108,13 @@ def test_work_on_a_few_files_is_dealt_to_all_tasks(spark):
     docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.lit("/x/y.pdf").alias("path"), F.lit("Invoice of Acme").alias("text"), F.lit(dt.datetime(2020, 1, 2)).alias("mtime"))
     out = classification.classify(docs, rules.rules_of(DOCUMENT))
     assert out.groupBy(F.spark_partition_id()).count().count() > 4 and out.where("doc_type = 'bill'").count() == 40
+
+
+def test_corrections_read_their_documents_once(spark):
+    """Neither a join with the documents nor a shuffle by them."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "patient label total").otherwise("no such words").alias("text"), F.lit(None).cast("string").alias("org"), F.lit("x").alias("doc_type"), F.lit(0.5).alias("confidence"))
+    held = spark.createDataFrame([(1, None, ["patient", "label", "total"], "rx", "1998-01-01"), (2, None, ["patient", "label", "total"], "bill", "1998-01-02"), (3, "a", None, "none", "1998-01-03")], "id long, org_id string, keywords array<string>, corrected_doc_type string, correction_date string")
+    out = rules.with_corrections(docs, held)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {(r["doc_id"] % 2, r["doc_type"], r["confidence"], r["corrected"]) for r in out.collect()} == {(0, "bill", 0.6, True), (1, "x", 0.5, False)}
+    assert rules.with_corrections(docs, held.where("false")).where("corrected").isEmpty()
