@@ -34,3 +34,21 @@ def test_hot_person_and_odd_rows(spark):
     assert dedup.metadata_matches(blank, hot).isEmpty() and dedup.metadata_matches(hot, blank).isEmpty()
     no_path = spark.createDataFrame([(1, None, "", "", "", "ADA ", "")], SCHEMA)
     assert [tuple(r) for r in dedup.metadata_matches(no_path, hot).collect()] == [(1, 3000, "p0")]
+
+
+def test_overlap_compares_metadata_not_files(spark):
+    """A million pairs of one date among which none can match: rows with a provider are no candidates of another's documents."""
+    names = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("n"), "id").alias("path"), (F.col("id") % 3).cast("string").alias("provider"), F.lit("today").alias("date"), F.lit("ada").alias("person"))
+    index = names.withColumns({"path": F.concat(F.lit("o"), "doc_id"), "provider": F.lit("other")})
+    links = dedup.metadata_overlap(names, index)
+    assert links.isEmpty()
+    copies = names.where("doc_id < 90")
+    assert dedup.metadata_overlap(copies, copies).count() == 3 * 30 * 29
+
+
+def test_links_of_every_document(spark):
+    """One row a document, however many copies it meets."""
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), "id").alias("path"), F.lit("Ada").alias("person"), F.when(F.col("id") < 2999, "bill").otherwise("none").alias("doc_type"))
+    got = {r["doc_id"]: r for r in dedup.metadata_links(hot, hot).collect()}
+    assert len(got) == 3000 and {got[k]["n_links"] for k in range(2999)} == {2998} and (got[2999]["n_links"], got[2999]["first_path"]) == (0, None)
+    assert len({r["class_id"] for r in got.values()}) == 2
