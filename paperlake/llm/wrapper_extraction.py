@@ -56,7 +56,6 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([A-Za-z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|</?[A-Za-z][^<>]*+(?:>|\Z)",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-SPACES = re.compile(r"\s+")
 
 
 class Node:
@@ -136,7 +135,7 @@ def blocks(node: Node, dropped=frozenset()) -> list[str]:
     run: list[str] = []
 
     def flush():
-        text = SPACES.sub(" ", html.unescape("".join(run))).strip()
+        text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
             out.append(text)
@@ -177,7 +176,7 @@ def shapes(page: Node, articles=frozenset()) -> list[Shape]:
         run: list[str] = []
 
         def flush(s=s, run=run):
-            text = SPACES.sub(" ", html.unescape("".join(run))).strip()
+            text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
                 s.content.append(text)
@@ -237,8 +236,10 @@ def align(slots: list[Slot], own: list[Shape], memo: dict) -> list[tuple[Slot, S
     these by simple tree matching; lists too long for that are paired name by name."""
     names = {s.name for s in slots} & {s.name for s in own}
     label = lambda s: s.name if s.name in names else s.tag  # noqa: E731  a name that only one side has is compared by its tag
-    labels = set(map(label, slots)) & set(map(label, own))
-    slots, own = [s for s in slots if label(s) in labels], [s for s in own if label(s) in labels]
+    a, b = list(map(label, slots)), list(map(label, own))
+    labels = set(a) & set(b)
+    slots, own = [s for s, x in zip(slots, a) if x in labels], [s for s, x in zip(own, b) if x in labels]
+    a, b = [x for x in a if x in labels], [x for x in b if x in labels]
     if len(slots) == len(own) == 1:
         return [(slots[0], own[0])]
     once: dict[int, int] = {}
@@ -265,33 +266,37 @@ def align(slots: list[Slot], own: list[Shape], memo: dict) -> list[tuple[Slot, S
     out: list[tuple[Slot, Shape]] = []
     i0 = j0 = 0
     for i, j in [*reversed(fixed), (len(slots), len(own))]:
-        out += between(slots[i0:i], own[j0:j], memo, label)
+        out += between(slots[i0:i], own[j0:j], a[i0:i], b[j0:j], memo)
         if i < len(slots):
             out.append((slots[i], own[j]))
         i0, j0 = i + 1, j + 1
     return out
 
 
-def between(slots: list[Slot], own: list[Shape], memo: dict, label) -> list[tuple[Slot, Shape]]:
+def between(slots: list[Slot], own: list[Shape], a: list[str], b: list[str], memo: dict) -> list[tuple[Slot, Shape]]:
+    """The same of lists without fixed pairs; a and b are what they are called."""
     m, n = len(slots), len(own)
     if not m or not n:
         return []
+    if m == n == 1:
+        return [(slots[0], own[0])] if a == b else []
     if m * n > CELLS:
         out, at = [], 0
         places: dict[str, list[int]] = {}
-        for i, s in enumerate(slots):
-            places.setdefault(label(s), []).append(i)
-        for s in own:
-            p = places.get(label(s), [])
+        for i, x in enumerate(a):
+            places.setdefault(x, []).append(i)
+        for s, x in zip(own, b):
+            p = places.get(x, [])
             if (k := bisect_left(p, at)) < len(p):
                 out.append((slots[p[k]], s))
                 at = p[k] + 1
         return out
-    inner = [[likeness(a, b, memo) if label(a) == label(b) else 0 for b in own] for a in slots]
+    inner = [[likeness(s, t, memo) if x == y else 0 for t, y in zip(own, b)] for s, x in zip(slots, a)]
     best = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m):
-        for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + inner[i][j])
+        above, row, left = best[i], best[i + 1], 0
+        for j, x in enumerate(inner[i]):
+            left = row[j + 1] = max(above[j + 1], left, above[j] + x) if x else max(above[j + 1], left)
     out, i, j = [], m, n
     while i and j:
         if inner[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + inner[i - 1][j - 1]:

@@ -85,3 +85,17 @@ def test_deep_pages(page):
         assert "text" in learned([page])[0] and time.perf_counter() - began < 60
     finally:
         sys.setrecursionlimit(old)
+
+
+def test_a_single_pair_is_not_measured(monkeypatch):
+    """Between fixed texts a slot and a shape of one name are a pair, whatever is in them."""
+    pages = [f"<h1>Same head</h1><div><p>{i} a</p><p>{i} b</p></div><h2>Same foot</h2>" for i in range(4)]
+    want = learned(pages)
+    monkeypatch.setattr(w, "likeness", lambda *_: pytest.fail("measured"))
+    assert w.between([w.Slot("p", "p")], [w.Slot("p", "p")], ["p"], ["p"], {}) and not w.between([w.Slot("p", "p")], [w.Slot("b", "b")], ["p"], ["b"], {})
+    wrapper = w.Wrapper()
+    for p in pages[:1]:
+        wrapper.learn(w.parse(p))
+    assert want == [f"{i} a\n{i} b" for i in range(4)]
+    root = wrapper.root.children
+    assert len(w.align(root, w.shapes(w.parse(pages[1]))[0].children, {})) == 3
