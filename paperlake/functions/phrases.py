@@ -102,8 +102,9 @@ class PhraseIndex:
         marks = lambda k: F.get(F.filter(F.get(table, (F.crc32(k) % size).cast("int")), lambda e: e["key"] == k), F.lit(0))["marks"]
         return F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1))), marks))
 
-    def found(self, low: Column) -> Column:
-        """The marks of all rules with a phrase in a text in lower case, rising; empty for null."""
+    def found(self, low: Column, *, plain: bool = False) -> Column:
+        """The marks of all rules with a phrase in a text in lower case, rising; empty for null. plain: the text is a column as it
+        stands, no expression; then the phrases are looked for in compiled code, without a function over an array."""
         out, single = [], list(self.raw)
         for bounded, own in self.phrases.items():
             if len(own) > FEW or (own and bounded):
@@ -112,7 +113,8 @@ class PhraseIndex:
                 single += [(p, m) for p, marks in own.items() for m in marks]
         if single:
             raw = set(self.raw)
-            out.append(let(low, lambda x: F.array_compact(F.array(*[F.when(x.rlike(p) if (p, m) in raw else x.contains(p), F.lit(m)) for p, m in single]))))
+            marks = lambda x: F.array(*[F.when(x.rlike(p) if (p, m) in raw else x.contains(p), F.lit(m)) for p, m in single])
+            out.append(F.array_except(marks(low), F.array(F.lit(None).cast("int"))) if plain else let(low, lambda x: F.array_compact(marks(x))))
         none = F.array().cast("array<int>")
         return F.coalesce(F.sort_array(F.array_distinct(F.concat(*out))), none) if out else none
 

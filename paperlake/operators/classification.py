@@ -93,10 +93,10 @@ def with_type(docs: DataFrame, rules: Rules, default_person: str) -> DataFrame:
     index = phrase_index(rules, bank=rules.bank_words or BANK_WORDS, company=COMPANY_WORDS, lab=LAB_WORDS, doubt=DOUBT_WORDS)
     in_stem = PhraseIndex().add("type", [r.patterns for r in rules.types], patterns=True).add("person", [names for _, names in rules.people])
     says = lambda type_: index.has(F.col("marks"), "type", ids[type_]) if type_ in ids else F.lit(False)
-    out = docs.withColumn("norm", text.normalise_spaces(F.coalesce("text", F.lit("")))).withColumn("low", F.lower("norm")).withColumn("stem", text.stem(F.col("path")))
+    out = docs.withColumn("norm", text.normalise_spaces(F.coalesce("text", F.lit("")))).withColumn("low", F.lower("norm")).withColumn("stem", text.stem(F.col("path"))).withColumn("low_stem", F.lower("stem"))
     out = out.withColumns({
         "folder": fields.folder_walk(F.col("path"), rules), "scanner": fields.scanner_default(F.col("stem")), "scan_date": F.date_format("mtime", "yyyy-MM-dd"),
-        "marks": index.found(low), "stem_marks": in_stem.found(F.lower("stem"))})
+        "marks": index.found(low, plain=True), "stem_marks": in_stem.found(F.col("low_stem"), plain=True)})
     numbers = lambda group: [index.first(F.col("marks"), group), in_stem.first(F.col("stem_marks"), group)]
     out = out.withColumns({
         "person0": person_match(numbers("person"), rules, default_person, F.col("path")), "type0": nth([r.id for r in rules.types], F.coalesce(*numbers("type"))), "matched": matched_orgs(index, F.col("marks"), rules),

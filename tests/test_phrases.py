@@ -65,3 +65,12 @@ def test_ten_thousand_names(spark):
     a, b = ({r["doc_id"]: r for r in classification.classify(docs, rules).select(*columns).collect()} for rules in (small, large))
     assert all(a[k] == b[k] for k in range(20))
     assert b[100]["org"] == "org4711" and b[100]["doc_type"] == "test" and b[101]["org"] is None
+
+
+def test_marks_of_a_column_need_no_function_over_arrays(spark):
+    index = PhraseIndex().add("a", [("one",), ("two", "three"), (r"\bfo+ur\b",)], patterns=True).add("b", [("one",), ("five",)])
+    rows = spark.createDataFrame([("one three",), ("xfour",), ("foour five five",), ("",), (None,)], "low string")
+    out = rows.select(index.found(F.col("low"), plain=True).alias("m"), index.found(F.col("low")).alias("want"))
+    assert [list(r["m"]) for r in out.collect()] == [list(r["want"]) for r in out.collect()] == [[0, 1, 3], [], [2, 4], [], []]
+    anywhere = PhraseIndex().add("a", [("three",), (r"\bfo+ur\b",)], patterns=True)  # bounded phrases have a tree
+    assert "lambda" not in rows.select(anywhere.found(F.col("low"), plain=True))._jdf.queryExecution().optimizedPlan().toString()
