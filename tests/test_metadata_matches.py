@@ -52,3 +52,17 @@ def test_links_of_every_document(spark):
     got = {r["doc_id"]: r for r in dedup.metadata_links(hot, hot).collect()}
     assert len(got) == 3000 and {got[k]["n_links"] for k in range(2999)} == {2998} and (got[2999]["n_links"], got[2999]["first_path"]) == (0, None)
     assert len({r["class_id"] for r in got.values()}) == 2
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    """Keys of many rows on one side or on both are dealt into blocks: the pairs are those of a join, in more tasks for more pairs."""
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    monkeypatch.setattr(dedup, "BLOCKS", 2)
+    left = spark.range(200).select(F.when(F.col("id") < 150, "hot").when(F.col("id") < 180, "cold").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(300).select(F.when(F.col("id") < 90, "hot").when(F.col("id") == 90, "cold").when(F.col("id") > 290, None).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("b"))
+    blocks = dedup.paired(left, right, "k")
+    got = sorted(map(tuple, blocks.select("k", "a", "b").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect())) and len(got) == 150 * 90 + 30 + 20
+    most = max(r["n"] for r in blocks.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+    assert most < 150 * 90 / 10
+    assert dedup.paired(left, right.where("k = 'none'"), "k").isEmpty()
